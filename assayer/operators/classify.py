@@ -90,6 +90,18 @@ def _with_cleaner(model: PipelineModel, text: str) -> _CleaningModel:
     return _CleaningModel(model, text)
 
 
+ROWS_PER_TASK = 20_000
+
+
+def training_blocks(df: DataFrame, rows: int) -> DataFrame:
+    """Fewer, fuller partitions for small training sets; large ones keep theirs.
+
+    Every optimizer iteration is one job, so tiny partitions cost more in
+    scheduling than in arithmetic.
+    """
+    return df.coalesce(max(1, -(-rows // ROWS_PER_TASK)))
+
+
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """n / (classes * class count): balanced weights from one aggregation."""
     counts = df.groupBy(label).agg(F.count("*").alias("_c"))
@@ -100,11 +112,11 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def fit_logistic(train: DataFrame, c: float, rows: int, label: str = "label",
-                 max_iter: int = 100) -> LogisticRegressionModel:
+                 max_iter: int = 100, tol: float = 1e-4) -> LogisticRegressionModel:
     """L2 logistic regression; inverse strength ``c`` becomes 1 / (c * rows)."""
     return LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight",
                               regParam=1.0 / (c * rows), elasticNetParam=0.0,
-                              standardization=False, maxIter=max_iter).fit(train)
+                              standardization=False, maxIter=max_iter, tol=tol).fit(train)
 
 
 @dataclass
@@ -136,9 +148,10 @@ def tfidf_lr_classifier(train: DataFrame, validation: DataFrame, text: str = "te
     check = fitted.transform(validation).select(label, "features").cache()
     try:
         rows = ready.count()
+        blocks = training_blocks(ready, rows)
         best, scores = None, []
         for c in candidates:
-            model = fit_logistic(ready, c, rows, label)
+            model = fit_logistic(blocks, c, rows, label)
             predicted = classifier_predictions(model, check, label, keep=[])
             macro = multiclass_summary(predicted, [0, 1], label="is_hallucinated").first()["macro_f1"]
             scores.append((c, float(macro)))
@@ -163,8 +176,9 @@ def top_features(classifier: FittedClassifier, spark, n: int = 50) -> DataFrame:
 
 def embedding_lr_classifier(train: DataFrame, vector: str = "embedding", label: str = "label",
                             c: float = 1.0) -> LogisticRegressionModel:
-    ready = class_weights(vector_features(train, vector), label)
-    return fit_logistic(ready.select(label, "weight", "features"), c, train.count(), label)
+    ready = class_weights(vector_features(train, vector), label).select(label, "weight", "features")
+    rows = train.count()
+    return fit_logistic(training_blocks(ready, rows), c, rows, label)
 
 
 def vector_features(df: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -187,7 +201,8 @@ def ablation_metrics(train: DataFrame, test: DataFrame, label: str = "label",
         view = lambda df: df.withColumn("text", tx.fill_template(template, **slots))
         fitted = fit_text_features(view(train), **features)
         ready = class_weights(fitted.transform(view(train)), label).select(label, "weight", "features")
-        model = fit_logistic(ready, c, train.count(), label)
+        rows = train.count()
+        model = fit_logistic(training_blocks(ready, rows), c, rows, label)
         predicted = classifier_predictions(model, fitted.transform(view(test)), label, keep=[])
         row = binary_metrics(predicted).withColumn("feature_set", F.lit(name))
         out = row if out is None else out.unionByName(row)

@@ -1 +1,64 @@
-"""placeholder"""
+"""MLlib classifiers trained on the labelled documents (rows-only checks)."""
+
+from pyspark.sql import functions as F
+
+from assayer.operators import classify as cl
+from assayer.operators.metrics import binary_metrics
+from assayer.operators.splits import hash_percent
+from assayer.plans import views as v
+from assayer.plans.registry import query
+
+
+def _rows(spark, sf_dir):
+    return v.answers(spark, sf_dir).select(
+        "record_id", "question", "knowledge", "answer", F.col("answer").alias("text"),
+        F.col("is_hallucinated").cast("double").alias("label"),
+        hash_percent("record_id").alias("_slot"))
+
+
+def _parts(rows):
+    slot = F.col("_slot")
+    return rows.filter(slot < 60), rows.filter((slot >= 60) & (slot < 80)), rows.filter(slot >= 80)
+
+
+def _fit(spark, sf_dir):
+    train, validation, test = _parts(_rows(spark, sf_dir))
+    return cl.tfidf_lr_classifier(train, validation), validation, test
+
+
+@query("tfidf_lr_classifier")
+def _(spark, sf_dir):
+    fitted, _, test = _fit(spark, sf_dir)
+    predicted = cl.classifier_predictions(fitted.model, fitted.features.transform(test))
+    return binary_metrics(predicted).withColumn("selected_c", F.lit(fitted.best_c))
+
+
+@query("classifier_predictions")
+def _(spark, sf_dir):
+    fitted, validation, test = _fit(spark, sf_dir)
+    part = lambda df, name: cl.classifier_predictions(
+        fitted.model, fitted.features.transform(df)).withColumn("split", F.lit(name))
+    return part(validation, "validation").unionByName(part(test, "test"))
+
+
+@query("top_features")
+def _(spark, sf_dir):
+    fitted, _, _ = _fit(spark, sf_dir)
+    return cl.top_features(fitted, spark)
+
+
+@query("embedding_lr_classifier")
+def _(spark, sf_dir):
+    rows = v.vectors(spark, sf_dir).select(
+        F.col("vec_id").cast("string").alias("record_id"), "embedding",
+        (F.col("label") >= 5).cast("double").alias("label"), hash_percent("vec_id").alias("_slot"))
+    train, test = rows.filter(F.col("_slot") < 80), rows.filter(F.col("_slot") >= 80)
+    model = cl.embedding_lr_classifier(train)
+    return binary_metrics(cl.classifier_predictions(model, cl.vector_features(test)))
+
+
+@query("ablation_metrics")
+def _(spark, sf_dir):
+    rows = _rows(spark, sf_dir)
+    return cl.ablation_metrics(rows.filter(F.col("_slot") < 80), rows.filter(F.col("_slot") >= 80),
+                               vocabulary=20_000)
