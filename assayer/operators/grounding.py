@@ -7,12 +7,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, functions as F
 
 from assayer import terms
 from assayer.functions import arrays as ar, text as tx
-from assayer.operators.ranking import exact_median, join_on
+from assayer.operators.ranking import collapse_values, join_on, median_of
 
 
 @dataclass(frozen=True)
@@ -45,11 +46,13 @@ def with_overlap(df: DataFrame, answer: str = "answer", knowledge: str = "knowle
 
 
 def distribution(df: DataFrame, by: list[str], value: str, prefix: str = "") -> DataFrame:
-    """count / mean / exact median / min / max per group."""
-    base = df.groupBy(*by).agg(
-        F.count(value).alias(f"{prefix}count"), F.avg(value).alias(f"{prefix}mean"),
-        F.min(value).alias(f"{prefix}min"), F.max(value).alias(f"{prefix}max"))
-    return join_on(base, exact_median(df, by, value, name=f"{prefix}median"), by)
+    """count / mean / exact median / min / max per group, from one collapsed exchange."""
+    values = collapse_values(df, by, value)
+    base = values.groupBy(*by).agg(
+        F.sum("_n").alias(f"{prefix}count"),
+        (F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias(f"{prefix}mean"),
+        F.min("_v").alias(f"{prefix}min"), F.max("_v").alias(f"{prefix}max"))
+    return join_on(base, median_of(values, by, name=f"{prefix}median"), by)
 
 
 def overlap_summary(df: DataFrame, label: str = "is_hallucinated", **kw) -> DataFrame:
@@ -86,15 +89,19 @@ def paired_answer_comparison(df: DataFrame, suffixes=("_ground_truth", "_halluci
 
 
 def paired_summary(pairs: DataFrame) -> DataFrame:
-    means = pairs.agg(
-        F.count("*").alias("paired_examples"),
-        F.avg("answer_similarity").alias("mean_answer_similarity"),
-        F.avg("knowledge_grounded_similarity").alias("mean_grounded_answer_knowledge_similarity"),
-        F.avg("knowledge_hallucinated_similarity").alias(
-            "mean_hallucinated_answer_knowledge_similarity"),
-        F.avg("grounding_similarity_delta").alias("mean_grounding_similarity_delta"),
-        F.avg("clinical_direction_similarity").alias("mean_clinical_direction_similarity"))
-    median = exact_median(pairs, [], "answer_similarity", name="median_answer_similarity")
+    """Means of the similarities and the median answer similarity, in one pass."""
+    others = ["knowledge_grounded_similarity", "knowledge_hallucinated_similarity",
+              "grounding_similarity_delta", "clinical_direction_similarity"]
+    values = collapse_values(pairs, [], "answer_similarity", others)
+    mean = lambda c: (F.sum(f"_s_{c}") / F.sum("_n"))
+    means = values.agg(
+        F.sum("_n").alias("paired_examples"),
+        (F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("mean_answer_similarity"),
+        mean(others[0]).alias("mean_grounded_answer_knowledge_similarity"),
+        mean(others[1]).alias("mean_hallucinated_answer_knowledge_similarity"),
+        mean(others[2]).alias("mean_grounding_similarity_delta"),
+        mean(others[3]).alias("mean_clinical_direction_similarity"))
+    median = median_of(values, [], name="median_answer_similarity")
     return means.withColumn("median_answer_similarity", median.scalar())
 
 
@@ -105,21 +112,31 @@ def explode_claims(df: DataFrame, keep: list[str], lists: TermLists = TermLists(
     """One row per claim with the evidence token sets computed once per record.
 
     The evidence side is reduced to the sets the scorer reads *before* the
-    explode; the claim text itself rides along.
+    explode.  A record without claims keeps one row with a null claim: nothing
+    has to be joined back, and the optimizer does not evaluate the split a
+    second time to filter empty arrays.
     """
-    evidence = df.select(
-        *keep, tx.split_claims(answer).alias("_claims"),
-        lists.tokens(knowledge).alias("_et"), tx.numbers_set(knowledge).alias("_en"))
-    evidence = evidence.select(
-        *keep, "_claims", "_et", "_en",
-        *[F.array_intersect("_et", tx.literal_array(words)).alias(f"_e_{name}")
-          for name, words in _aligned(lists)])
+    sets = _evidence_sets(lists)
+    evidence = with_evidence_sets(df, lists, knowledge).select(
+        *keep, tx.split_claims(answer).alias("_claims"), *sets)
     return evidence.select(
-        *keep, F.posexplode("_claims").alias("_pos", "claim_text"), "_et", "_en",
-        *[f"_e_{name}" for name, _ in _aligned(lists)],
+        *keep, F.posexplode_outer("_claims").alias("_pos", "claim_text"), *sets,
     ).withColumn("claim_index", F.col("_pos") + 1).drop("_pos")
 
 
+def with_evidence_sets(df: DataFrame, lists: TermLists, knowledge: str = "knowledge") -> DataFrame:
+    """Token, number and term sets of the evidence, once per record."""
+    tokens = df.withColumn("_et", lists.tokens(knowledge)).withColumn(
+        "_en", tx.numbers_set(knowledge))
+    return tokens.withColumns({
+        f"_e_{name}": F.array_intersect("_et", tx.literal_array(words))
+        for name, words in _aligned(lists)})
+
+
+def _evidence_sets(lists: TermLists) -> list[str]:
+    return ["_et", "_en", *[f"_e_{name}" for name, _ in _aligned(lists)]]
+
+
 def _aligned(lists: TermLists):
     return [("direction", lists.direction), ("negation", lists.negation),
             ("uncertainty", lists.uncertainty)]
@@ -156,29 +173,61 @@ def score_claims(claims: DataFrame, keep: list[str], lists: TermLists = TermList
 
 
 def claim_scores(df: DataFrame, keep: list[str], lists: TermLists = TermLists()) -> DataFrame:
-    return score_claims(explode_claims(df, keep, lists), keep, lists)
+    """Scored claims; records without claims have no row here."""
+    return score_claims(explode_claims(df, keep, lists), keep, lists).filter(
+        F.col("claim_index").isNotNull())
+
+
+ROLLUP_COUNTS = [
+    "claim_count", "supported_claim_count", "partial_claim_count", "unsupported_claim_count",
+    "unsupported_high_impact_claim_count", "contradiction_risk_count",
+]
+
+
+def _lexical_aggregates() -> list[Column]:
+    real = F.col("claim_index").isNotNull()
+    labelled = lambda label: F.count_if(real & (F.col("claim_support_label") == label))
+    return [
+        F.count("claim_index").alias("claim_count"),
+        labelled("supported").alias("supported_claim_count"),
+        labelled("partial").alias("partial_claim_count"),
+        labelled("unsupported").alias("unsupported_claim_count"),
+        F.count_if(real & F.col("unsupported_high_impact_claim")).alias(
+            "unsupported_high_impact_claim_count"),
+        F.count_if(real & F.col("contradiction_risk")).alias("contradiction_risk_count"),
+        F.coalesce(F.avg(F.when(real, F.col("claim_support_score"))), F.lit(0.0)).alias(
+            "answer_claim_grounding_score"),
+    ]
 
 
 def claim_grounding_rollup(df: DataFrame, keep: list[str],
-                           lists: TermLists = TermLists(), row_id: str = "record_id") -> DataFrame:
+                           lists: TermLists = TermLists()) -> DataFrame:
     """Per answer: mean score and counts; answers without claims stay with score 0.
 
-    All claims of a record leave one input row, so the partial aggregation
-    reduces them before the exchange.  Records without claims are re-attached
-    from the input by a left join on the key.
+    ``keep`` starts with the record id.  All claims of a record leave one input
+    row, so the partial aggregation reduces them to one row before the exchange.
     """
-    scored = claim_scores(df, [row_id], lists)
-    rolled = scored.groupBy(row_id).agg(
-        F.count("*").alias("claim_count"),
-        F.count_if(F.col("claim_support_label") == "supported").alias("supported_claim_count"),
-        F.count_if(F.col("claim_support_label") == "partial").alias("partial_claim_count"),
-        F.count_if(F.col("claim_support_label") == "unsupported").alias("unsupported_claim_count"),
-        F.count_if("unsupported_high_impact_claim").alias("unsupported_high_impact_claim_count"),
-        F.count_if("contradiction_risk").alias("contradiction_risk_count"),
-        F.avg("claim_support_score").alias("answer_claim_grounding_score"))
-    counts = [c for c in rolled.columns if c != row_id]
-    zero = {c: (0.0 if c == "answer_claim_grounding_score" else 0) for c in counts}
-    return df.select(*keep).join(rolled, row_id, "left").fillna(zero, counts)
+    scored = score_claims(explode_claims(df, keep, lists), keep, lists)
+    return scored.groupBy(*keep).agg(*_lexical_aggregates())
+
+
+def claim_grounding_with_semantics(df: DataFrame, keep: list[str], semantic: Column,
+                                   lists: TermLists = TermLists()) -> DataFrame:
+    """Lexical and combined grounding from the same claim rows in one aggregation.
+
+    ``semantic`` is the claim's semantic score (null where none was computed);
+    the combined columns are null for records without one.
+    """
+    scored = claim_support_combined(
+        score_claims(explode_claims(df, keep, lists), keep, lists).withColumn(
+            "semantic_claim_support_score", F.when(F.col("claim_index").isNotNull(), semantic)))
+    known = F.col("semantic_claim_support_score").isNotNull()
+    unsupported = F.col("combined_claim_support_label") == "unsupported"
+    return scored.groupBy(*keep).agg(
+        *_lexical_aggregates(),
+        F.avg("combined_claim_support_score").alias("combined_answer_grounding_score"),
+        F.when(F.count_if(known) > 0, F.count_if(known & unsupported)).alias(
+            "combined_unsupported_claim_count"))
 
 
 def claim_grounding_summary(scored: DataFrame, label: str = "is_hallucinated") -> DataFrame:
@@ -200,93 +249,120 @@ def claim_grounding_overall(rollup: DataFrame) -> DataFrame:
 ENGLISH_STOPWORDS = "english"
 
 
-def _ngrams(text: Column, stopwords: list[str]) -> Column:
-    """Words of two or more characters, stopwords removed, plus their bigrams."""
+def _gram_hashes(text: Column, stopwords: list[str]) -> Column:
+    """64-bit hashes of the kept words and of their bigrams (tf preserved)."""
     words = F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]{2,}"), F.lit(0)),
                      lambda w: ~w.isin(stopwords))
-    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))),
-                       lambda a, b: F.concat_ws(" ", a, b))
+    hashed = F.transform(words, lambda w: F.xxhash64(w))
+    shifted = F.slice(hashed, 2, F.greatest(F.size(hashed), F.lit(1)))
+    pairs = F.zip_with(hashed, shifted, lambda a, b: F.xxhash64(a, b))
     # zip_with pads the shorter side: the last pair has no partner
-    return F.concat(words, F.slice(pairs, 1, F.greatest(F.size(words) - 1, F.lit(0))))
+    return F.concat(hashed, F.slice(pairs, 1, F.greatest(F.size(hashed) - 1, F.lit(0))))
 
 
-def _best_cosine(claims, sentences) -> tuple[np.ndarray, np.ndarray]:
-    """Best (score, index) over the sentences for every claim of one record.
+CLAIMS_AT_ONCE = 256
+
+
+def _best_cosine(claim_sizes, claim_terms, sentence_sizes, sentence_terms):
+    """Best (score, sentence index) for every claim of one record.
 
     The idf of a claim's model is fitted on {claim} + sentences.  Only terms
-    shared with the claim depend on the claim, so every sentence norm is a base
-    norm plus a correction over the shared terms.
+    shared with the claim depend on the claim, so a sentence norm is a base norm
+    plus a correction over the shared terms.
     """
-    n_docs = len(sentences) + 1
-    postings: dict[str, dict[int, int]] = {}
-    for j, grams in enumerate(sentences):
-        for g in grams:
-            slot = postings.setdefault(g, {})
-            slot[j] = slot.get(j, 0) + 1
-    idf = lambda df: np.log((1.0 + n_docs) / (1.0 + df)) + 1.0
-    base = np.zeros(len(sentences))
-    arrays = {}
-    for g, hits in postings.items():
-        at = np.fromiter(hits.keys(), int, len(hits))
-        tf = np.fromiter(hits.values(), float, len(hits))
-        arrays[g] = (at, tf)
-        base[at] += (tf * idf(len(hits))) ** 2
-    best_score, best_at = np.zeros(len(claims)), np.zeros(len(claims), int)
-    for i, grams in enumerate(claims):
-        counts: dict[str, int] = {}
-        for g in grams:
-            counts[g] = counts.get(g, 0) + 1
-        product, norms, own = np.zeros(len(sentences)), base.copy(), 0.0
-        for g, tf_claim in counts.items():
-            at, tf = arrays.get(g, (None, None))
-            weight = idf(1 + (0 if at is None else len(at)))
-            own += (tf_claim * weight) ** 2
-            if at is not None:
-                product[at] += tf_claim * weight * tf * weight
-                norms[at] += tf * tf * (weight ** 2 - idf(len(at)) ** 2)
-        scale = np.sqrt(own) * np.sqrt(norms)
-        cosine = np.divide(product, scale, out=np.zeros_like(product), where=scale > 0)
-        best_at[i] = int(cosine.argmax())
-        best_score[i] = cosine[best_at[i]]
+    n_claims, n_sentences = len(claim_sizes), len(sentence_sizes)
+    _, term = np.unique(np.concatenate([claim_terms, sentence_terms]), return_inverse=True)
+    terms_total = int(term.max()) + 1 if len(term) else 1
+    owner = np.repeat(np.arange(n_claims), claim_sizes)
+    key, claim_tf = np.unique(owner * terms_total + term[:len(claim_terms)], return_counts=True)
+    c_at, c_term = key // terms_total, key % terms_total
+    place = np.repeat(np.arange(n_sentences), sentence_sizes)
+    key, sent_tf = np.unique(term[len(claim_terms):] * n_sentences + place, return_counts=True)
+    s_term, s_at = key // n_sentences, key % n_sentences
+    frequency = np.bincount(s_term, minlength=terms_total)
+    start = np.cumsum(frequency) - frequency
+    idf = np.log((2.0 + n_sentences) / (2.0 + frequency)) + 1.0
+    idf_without = np.log((2.0 + n_sentences) / (1.0 + frequency)) + 1.0
+    base = np.bincount(s_at, (sent_tf * idf_without[s_term]) ** 2, n_sentences)
+    own = np.bincount(c_at, (claim_tf * idf[c_term]) ** 2, n_claims)
+    change = idf ** 2 - idf_without ** 2
+    best_score, best_at = np.zeros(n_claims), np.zeros(n_claims, np.int32)
+    for first in range(0, n_claims, CLAIMS_AT_ONCE):
+        last = min(first + CLAIMS_AT_ONCE, n_claims)
+        lo, hi = np.searchsorted(c_at, [first, last])
+        hits = frequency[c_term[lo:hi]]
+        entry = np.repeat(np.arange(lo, hi), hits)
+        step = np.arange(len(entry)) - np.repeat(np.cumsum(hits) - hits, hits)
+        posting = start[c_term[entry]] + step
+        t, cell = c_term[entry], (c_at[entry] - first) * n_sentences + s_at[posting]
+        shape, cells = (last - first, n_sentences), (last - first) * n_sentences
+        product = np.bincount(cell, claim_tf[entry] * sent_tf[posting] * idf[t] ** 2, cells)
+        correction = np.bincount(cell, sent_tf[posting] ** 2 * change[t], cells)
+        scale = np.sqrt(own[first:last])[:, None] * np.sqrt(base + correction.reshape(shape))
+        cosine = np.divide(product.reshape(shape), scale, out=np.zeros(shape), where=scale > 0)
+        best_at[first:last] = cosine.argmax(axis=1)
+        best_score[first:last] = cosine[np.arange(last - first), best_at[first:last]]
     return best_score, best_at
 
 
+def _row_terms(column: pa.ListArray):
+    """Per row: (sizes of its inner lists, all their values)."""
+    outer = column.offsets.to_numpy()
+    inner = column.values
+    bounds = inner.offsets.to_numpy()
+    values = inner.values.to_numpy(zero_copy_only=False)
+    for a, b in zip(outer[:-1], outer[1:]):
+        edges = bounds[a:b + 1]
+        yield np.diff(edges), values[edges[0]:edges[-1]]
+
+
+def _score_batch(batch: pa.RecordBatch, claims: str, sentences: str):
+    sizes, scores, places = [0], [], []
+    for (cs, ct), (ss, st) in zip(_row_terms(batch.column(claims)), _row_terms(batch.column(sentences))):
+        if len(cs) and len(ss):
+            score, at = _best_cosine(cs, ct, ss, st)
+        else:
+            score, at = np.zeros(len(cs)), np.full(len(cs), -1, np.int32)
+        sizes.append(len(cs))
+        scores.append(score)
+        places.append(at)
+    offsets = pa.array(np.cumsum(sizes), pa.int32())
+    joined = lambda parts, kind: pa.array(
+        np.concatenate(parts) if parts else np.zeros(0), kind)
+    return (pa.ListArray.from_arrays(offsets, joined(scores, pa.float64())),
+            pa.ListArray.from_arrays(offsets, joined(places, pa.int32())))
+
+
 def claim_best_sentence_tfidf(df: DataFrame, keep: list[str], answer: str = "answer",
                               knowledge: str = "knowledge",
                               stopwords: list[str] | None = None) -> DataFrame:
     """Per claim the most similar evidence sentence (1-2-gram TF-IDF cosine).
 
     Claims and sentences of a record come from the same input row, so this is a
-    map-only job: splitting and n-grams run in the JVM, the small per-record
-    scoring in Arrow batches, and no claim x sentence pair leaves a task.
+    map-only job: splitting, tokens and n-gram hashes run in the JVM, the
+    per-record scoring in Arrow batches, and no claim x sentence pair leaves a
+    task.
     """
     if stopwords is None:
         stopwords = StopWordsRemover.loadDefaultStopWords(ENGLISH_STOPWORDS)
-    grams = lambda c: F.transform(c, lambda s: _ngrams(s, stopwords))
+    grams = lambda c: F.transform(c, lambda s: _gram_hashes(s, stopwords))
     prepared = df.select(
         *keep, tx.split_claims(answer).alias("_claims"),
         tx.split_sentences(knowledge).alias("_sentences")).select(
         *keep, "_claims", "_sentences", grams("_claims").alias("_cg"),
         grams("_sentences").alias("_sg"))
+    carried = [*keep, "_claims", "_sentences"]
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores, places = [], []
-            for claims, sentences in zip(batch["_cg"], batch["_sg"]):
-                if len(claims) == 0 or len(sentences) == 0:
-                    scores.append(np.zeros(len(claims)))
-                    places.append(np.full(len(claims), -1))
-                else:
-                    s, p = _best_cosine(claims, sentences)
-                    scores.append(s)
-                    places.append(p)
-            out = batch[[*keep, "_claims", "_sentences"]].copy()
-            out["_score"], out["_at"] = scores, places
-            yield out
+            scores, places = _score_batch(batch, "_cg", "_sg")
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in carried], scores, places],
+                names=[*carried, "_score", "_at"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
                        for f in prepared.select(*keep).schema.fields)
-    scored = prepared.mapInPandas(
+    scored = prepared.mapInArrow(
         score, f"{fields}, _claims array<string>, _sentences array<string>, "
                "_score array<double>, _at array<int>")
     zipped = F.arrays_zip("_claims", "_score", "_at")
@@ -299,6 +375,21 @@ def claim_best_sentence_tfidf(df: DataFrame, keep: list[str], answer: str = "ans
                         F.lit("")).alias("best_evidence_sentence")))
 
 
+def semantic_claim_scores(df: DataFrame, keep: list[str], lists: TermLists = TermLists(),
+                          stopwords: list[str] | None = None) -> DataFrame:
+    """TF-IDF, lexical and combined support of every claim without any join.
+
+    The evidence sets travel with the record through the Arrow step, so the
+    lexical scorer reads the very claim rows the semantic scorer produced.
+    """
+    sets = _evidence_sets(lists)
+    matched = claim_best_sentence_tfidf(
+        with_evidence_sets(df, lists), [*keep, *sets], stopwords=stopwords)
+    scored = score_claims(
+        matched, [*keep, "semantic_claim_support_score", "best_evidence_sentence"], lists)
+    return claim_support_combined(scored)
+
+
 def claim_support_combined(df: DataFrame, semantic: str = "semantic_claim_support_score",
                            lexical: str = "claim_support_score") -> DataFrame:
     """0.7 semantic + 0.3 lexical, both labelled with the semantic cuts."""

@@ -94,22 +94,32 @@ def top_n_per_group(df: DataFrame, by: list[str], order: list, n: int,
     return out if rank else out.drop(name)
 
 
-def exact_median(df: DataFrame, by: list[str], value: str, lo: float = 0.0, hi: float = 1.0,
-                 bins: int = 4096, name: str = "median") -> DataFrame:
-    """Exact median of ``value`` per group.
+def collapse_values(df: DataFrame, by: list[str], value: str, sums: list[str] = ()) -> DataFrame:
+    """Distinct ``value`` per group with its row count ``_n`` and sums ``_s_<name>``.
+
+    Combines map-side; everything below reads this one exchange, so the input
+    is scanned once whatever is asked of the distribution.
+    """
+    kept = df.filter(F.col(value).isNotNull())
+    return kept.groupBy(*by, F.col(value).cast("double").alias("_v")).agg(
+        F.count("*").alias("_n"), *[F.sum(c).alias(f"_s_{c}") for c in sums])
+
 
-    Equal values collapse map-side; a fixed histogram over ``[lo, hi]`` finds
-    the bin(s) that hold the middle; only those bins are ordered.  ``lo`` and
-    ``hi`` steer balance only (outliers go to the edge bins).
+def median_of(values: DataFrame, by: list[str], lo: float = 0.0, hi: float = 1.0,
+              bins: int = 4096, name: str = "median") -> DataFrame:
+    """Exact median per group of collapsed values.
+
+    A fixed histogram over ``[lo, hi]`` finds the bin(s) that hold the middle;
+    only those bins are ordered.  ``lo`` and ``hi`` steer balance only (outliers
+    go to the edge bins).
     """
     by = list(by)
     width = (hi - lo) / bins
     slot = F.floor((F.col("_v") - lo) / width)
-    values = (df.filter(F.col(value).isNotNull())
-              .groupBy(*by, F.col(value).cast("double").alias("_v"))
-              .agg(F.count("*").alias("_n"))
-              .withColumn("_b", F.greatest(F.lit(0), F.least(F.lit(bins - 1), slot)).cast("int")))
+    values = values.select(*by, "_v", "_n").withColumn(
+        "_b", F.greatest(F.lit(0), F.least(F.lit(bins - 1), slot)).cast("int"))
     hist = values.groupBy(*by, "_b").agg(F.sum("_n").alias("_n"))
+    # one row per bin, so these windows are small whatever the data size
     inside = W.partitionBy(*by)
     cumulative = (hist
                   .withColumn("_end", F.sum("_n").over(
@@ -133,6 +143,11 @@ def exact_median(df: DataFrame, by: list[str], value: str, lo: float = 0.0, hi:
     return ends.select(*by, (F.col("_a") + (F.col("_z") - F.col("_a")) * 0.5).alias(name))
 
 
+def exact_median(df: DataFrame, by: list[str], value: str, lo: float = 0.0, hi: float = 1.0,
+                 name: str = "median") -> DataFrame:
+    return median_of(collapse_values(df, by, value), by, lo, hi, name=name)
+
+
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Null-safe equi-join that keeps the left key columns."""
     renamed = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys],

@@ -22,17 +22,21 @@ def clamp01(c: Column) -> Column:
 
 def final_grounding(lexical: DataFrame, semantic: DataFrame | None = None,
                     row_id: str = "record_id") -> DataFrame:
-    """Semantic grounding where present, lexical grounding otherwise."""
-    if semantic is None:
-        return (lexical.withColumn("final_grounding_score", F.col("answer_claim_grounding_score"))
-                .withColumn("final_unsupported_claim_count", F.col("unsupported_claim_count")))
-    extra = semantic.select(row_id, "combined_answer_grounding_score",
-                            "combined_unsupported_claim_count")
-    return (lexical.join(extra, row_id, "left")
-            .withColumn("final_grounding_score", F.coalesce(
-                "combined_answer_grounding_score", "answer_claim_grounding_score"))
-            .withColumn("final_unsupported_claim_count", F.coalesce(
-                "combined_unsupported_claim_count", "unsupported_claim_count")))
+    """Semantic grounding where present, lexical grounding otherwise.
+
+    The combined columns may already be part of ``lexical``, come from a
+    separate ``semantic`` table, or be absent altogether.
+    """
+    columns = ["combined_answer_grounding_score", "combined_unsupported_claim_count"]
+    joined = lexical
+    if semantic is not None:
+        joined = lexical.join(semantic.select(row_id, *columns), row_id, "left")
+    have = set(columns) <= set(joined.columns)
+    pick = lambda preferred, fallback: (
+        F.coalesce(preferred, fallback) if have else F.col(fallback))
+    return (joined
+            .withColumn("final_grounding_score", pick(columns[0], "answer_claim_grounding_score"))
+            .withColumn("final_unsupported_claim_count", pick(columns[1], "unsupported_claim_count")))
 
 
 def trust_score(predictions: DataFrame, grounding: DataFrame, row_id: str = "record_id",

@@ -200,10 +200,7 @@ FROM (SELECT t.record_id, t.claim_index, t.semantic, 0.70::DOUBLE * t.semantic +
 
 
 def _combined(spark, sf_dir):
-    lexical = _claims(spark, sf_dir).select("record_id", "claim_index", "claim_support_score")
-    # both sides come from the same record rows; the join key is (record, claim)
-    return gr.claim_support_combined(
-        _tfidf(spark, sf_dir).join(lexical, ["record_id", "claim_index"]))
+    return gr.semantic_claim_scores(v.answers(spark, sf_dir), ["record_id"], v.LISTS, TFIDF_STOP)
 
 
 @query("claim_support_combined", """

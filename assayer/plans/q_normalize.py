@@ -86,7 +86,7 @@ SELECT group_key, plain_key, count(*) AS rows FROM (
   SELECT substr(sha256(lang || '::' || q), 1, 20) AS group_key, 'group_' || substr(sha256(q), 1, 16) AS plain_key
   FROM (SELECT lang, lower({v.sql_clean("text")}) AS q FROM documents)) GROUP BY ALL""")
 def _(spark, sf_dir):
-    return v.table(spark, sf_dir, "documents").groupBy(
+    return v.documents(spark, sf_dir).groupBy(
         tx.question_group_key("text", "lang").alias("group_key"),
         tx.question_group_key("text", prefix="group_", digits=16).alias("plain_key")).agg(
         F.count("*").alias("rows"))
@@ -95,7 +95,7 @@ def _(spark, sf_dir):
 @query("whitespace_clean", f"""
 SELECT doc_id, md5({v.sql_clean("text")}) AS clean_md5, length({v.sql_clean("text")}) AS clean_chars FROM documents""")
 def _(spark, sf_dir):
-    return v.table(spark, sf_dir, "documents").select(
+    return v.documents(spark, sf_dir).select(
         "doc_id", F.md5(tx.whitespace_clean("text")).alias("clean_md5"),
         F.length(tx.whitespace_clean("text")).cast("bigint").alias("clean_chars"))
 
@@ -145,7 +145,7 @@ def _(spark, sf_dir):
 
 
 def _stance_pairs(spark, sf_dir):
-    d = v.table(spark, sf_dir, "documents").select(
+    d = v.documents(spark, sf_dir).select(
         F.col("doc_id").alias("sample_id"),
         F.when(F.col("doc_id") % 3 == 0, " Yes").otherwise("no").alias("ground_truth_label"))
     return nz.counterfactual_pairs(d)
@@ -204,7 +204,7 @@ SELECT doc_id, md5(CASE WHEN length(s) > 350 THEN substr(s, 1, 350) || '...' ELS
        md5(CASE WHEN length(f) > 350 THEN substr(f, 1, 350) || '...' ELSE f END) AS flat_md5
 FROM (SELECT doc_id, {v.sql_strip("text")} AS s, {v.sql_strip("replace(text, chr(10), ' ')")} AS f FROM documents)""")
 def _(spark, sf_dir):
-    return v.table(spark, sf_dir, "documents").select(
+    return v.documents(spark, sf_dir).select(
         "doc_id", F.md5(tx.truncate_ellipsis("text", 350)).alias("ellipsis_md5"),
         F.md5(tx.truncate_at_space("text", 600)).alias("clipped_md5"),
         F.md5(tx.truncate_flat("text", 350)).alias("flat_md5"))

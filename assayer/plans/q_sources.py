@@ -92,7 +92,7 @@ def _(spark, sf_dir):
 SELECT f.format, lang, count(*) AS rows, CAST(sum(length(text)) AS BIGINT) AS chars
 FROM documents, (SELECT unnest(['csv', 'jsonl', 'parquet']) AS format) f GROUP BY ALL""")
 def _(spark, sf_dir):
-    d = v.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    d = v.documents(spark, sf_dir).select("doc_id", "text", "lang")
     out = None
     for fmt in ("csv", "jsonl", "parquet"):
         path = scratch_path(spark, "any") + f".{fmt}"
@@ -110,7 +110,7 @@ SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN md5(lang || chr(10) || source || chr(
     WHEN 2 THEN md5(lang || ' ' || source) ELSE md5('') END AS text_md5
 FROM documents""")
 def _(spark, sf_dir):
-    d = v.table(spark, sf_dir, "documents")
+    d = v.documents(spark, sf_dir)
     slot = F.col("doc_id") % 4
     nested = F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source"))
     d = (d.withColumn("as_list", F.when(slot == 0, F.array("lang", "source", F.substring("text", 1, 40))))

@@ -61,7 +61,7 @@ NUMBERED = r"""list_filter(list_transform(string_split(regexp_replace(regexp_rep
     f"FROM (SELECT lang, {v.sql_strip('text')} AS s FROM documents))", "lang", "x"),
     doubles="mean_chars")
 def _(spark, sf_dir):
-    return _pieces(v.table(spark, sf_dir, "documents"), "lang", tx.split_claims_numbered("text"))
+    return _pieces(v.documents(spark, sf_dir), "lang", tx.split_claims_numbered("text"))
 
 
 @query("split_sentences", _pieces_sql(
@@ -69,7 +69,7 @@ def _(spark, sf_dir):
     f"WHEN {v.sql_strip('text')} = '' THEN [] ELSE [{v.sql_strip('text')}] END AS x FROM documents)",
     "lang", "x"), doubles="mean_chars")
 def _(spark, sf_dir):
-    return _pieces(v.table(spark, sf_dir, "documents"), "lang", tx.split_sentences("text"))
+    return _pieces(v.documents(spark, sf_dir), "lang", tx.split_sentences("text"))
 
 
 TERM_LISTS = {"short": ["tion", "ment", "der"], "phrase": ["in the", "de la", "of the"],
@@ -81,7 +81,7 @@ TERM_LISTS = {"short": ["tion", "ment", "der"], "phrase": ["in the", "de la", "o
         f"contains(lower(text), '{t}')" for t in words) + ") AS hits FROM documents GROUP BY lang"
     for name, words in TERM_LISTS.items()))
 def _(spark, sf_dir):
-    d = v.table(spark, sf_dir, "documents")
+    d = v.documents(spark, sf_dir)
     hits = F.array(*[F.struct(F.lit(n).alias("term_list"), tx.contains_any_term("text", w).alias("hit"))
                      for n, w in TERM_LISTS.items()])
     return (d.select("lang", F.explode(hits).alias("h")).groupBy("lang", "h.term_list")
@@ -141,7 +141,7 @@ SELECT lang, label, count(*) AS rows FROM (SELECT lang, CASE WHEN starts_with(c,
   FROM (SELECT lang, lower({v.sql_strip(v.sql_list(LABEL_TEXTS) + "[doc_id % 6 + 1] || text")}) AS c FROM documents))
 GROUP BY ALL""")
 def _(spark, sf_dir):
-    return (v.table(spark, sf_dir, "documents").groupBy(
+    return (v.documents(spark, sf_dir).groupBy(
         "lang", tx.label_extract_binary(_label_text()).alias("label")).agg(F.count("*").alias("rows")))
 
 
@@ -156,7 +156,7 @@ SELECT lang, decision, count(*) AS rows FROM (SELECT lang, coalesce(
 def _(spark, sf_dir):
     text = F.concat(F.element_at(F.array(*[F.lit(t) for t in DECISION_TEXTS]),
                                  (F.col("doc_id") % 6 + 1).cast("int")), "text")
-    return (v.table(spark, sf_dir, "documents").groupBy("lang", tx.decision_extract(text).alias("decision"))
+    return (v.documents(spark, sf_dir).groupBy("lang", tx.decision_extract(text).alias("decision"))
             .agg(F.count("*").alias("rows")))
 
 

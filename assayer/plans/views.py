@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assayer.operators.grounding import TermLists
 from assayer.plans.registry import SQL_VIEWS
+from assayer.session import spread_small_input
 
 # Term lists for the synthetic prose (the default medical lists never occur).
 LISTS = TermLists(
@@ -24,8 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark, sf_dir) -> DataFrame:
+    return spread_small_input(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def answers(spark, sf_dir) -> DataFrame:
-    d, l = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    d, l = documents(spark, sf_dir), table(spark, sf_dir, "labels")
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
     items = b.agg(F.count("*").alias("n"))
     joined = (d.join(l, "doc_id").withColumn("item_id", F.col("doc_id") % items.scalar())
@@ -311,7 +316,7 @@ def stances(spark, sf_dir) -> DataFrame:
     """Documents prefixed with an explicit (or no) stance."""
     prefix = F.element_at(F.array(*[F.lit(v) for v in (
         "Yes. ", "No. ", "Maybe ", "It is  unclear ", "")]), (F.col("doc_id") % 5 + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id", "lang", F.concat(prefix, "text", F.when(
             F.col("doc_id") % 11 == 4, " The evidence is mixed.").otherwise("")).alias("candidate_answer"))
 
@@ -589,21 +594,18 @@ def lexical_rollup(spark, sf_dir) -> DataFrame:
                                   ["record_id", "dataset_name", "is_hallucinated"], LISTS)
 
 
-def semantic_scored(spark, sf_dir) -> DataFrame:
-    from assayer.operators.grounding import claim_scores, claim_support_combined
-    a = answers(spark, sf_dir).filter(F.col("doc_id") % 2 == 0)
-    scored = claim_scores(a, ["record_id"], LISTS)
-    return claim_support_combined(
-        scored.withColumn("semantic_claim_support_score", F.col("claim_token_support")))
-
-
 def grounding(spark, sf_dir) -> DataFrame:
-    """Lexical grounding, semantic where available; every 11th record is missing."""
-    from assayer.operators.grounding import semantic_rollup
+    """Lexical grounding, semantic for even documents; every 11th record is missing.
+
+    Both come from the same claim rows, so the text is split and scored once.
+    """
+    from assayer.operators.grounding import claim_grounding_with_semantics
     from assayer.operators.trust import final_grounding
-    merged = final_grounding(lexical_rollup(spark, sf_dir),
-                             semantic_rollup(semantic_scored(spark, sf_dir)))
-    return merged.filter(F.col("record_id").cast("bigint") % 11 != 3)
+    even = F.col("record_id").cast("bigint") % 2 == 0
+    present = answers(spark, sf_dir).filter(F.col("doc_id") % 11 != 3)
+    both = claim_grounding_with_semantics(
+        present, ["record_id"], F.when(even, F.col("claim_token_support")), LISTS)
+    return final_grounding(both)
 
 
 def trust(spark, sf_dir) -> DataFrame:

@@ -55,3 +55,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread_small_input(df: DataFrame, key: str) -> DataFrame:
+    """Hash a small table over all cores before CPU-heavy work on its rows.
+
+    A few files with one row group each would occupy a few cores only.  Large
+    tables already have enough splits and are returned untouched, so nothing is
+    shuffled at scale.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, key) if size < cores * split else df
