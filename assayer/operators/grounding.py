@@ -436,15 +436,12 @@ def best_vector_match(claims: DataFrame, evidence: DataFrame, record: str = "rec
     product.  A tile emits one row per claim, never a pair; the final maximum
     over tiles combines map-side.
     """
-    def blocked(df, prefix, item):
-        sizes = df.groupBy(record).agg(
-            F.ceil(F.count("*") / block).cast("int").alias(f"{prefix}_blocks"))
-        return sizes
-
-    claim_blocks, evidence_blocks = blocked(claims, "c", claim_id), blocked(evidence, "e", evidence_id)
+    blocks = lambda df, name: df.groupBy(record).agg(
+        F.ceil(F.count("*") / block).cast("int").alias(name))
+    claim_blocks, evidence_blocks = blocks(claims, "c_blocks"), blocks(evidence, "e_blocks")
     shape = claim_blocks.join(evidence_blocks, record)
-    spot = lambda item, blocks: F.pmod(F.xxhash64(item), F.col(blocks)).cast("int")
-    spread = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    spot = lambda item, count: F.pmod(F.xxhash64(item), F.col(count)).cast("int")
+    spread = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
     left = (claims.select(record, claim_id, F.col(vector).alias("_cv")).join(shape, record)
             .withColumn("_cb", spot(claim_id, "c_blocks")).withColumn("_eb", spread("e_blocks"))
             .select(record, "_cb", "_eb", claim_id, "_cv"))

@@ -1,15 +1,17 @@
 """Exact ranks, medians and running totals without a hot or global window.
 
 A plain ``row_number() over (partition by label order by ...)`` puts a whole
-label into one task.  Here rows are first spread over even buckets (by hash
-digits or by sampled key boundaries), bucket sizes are summed map-side, and a
-rank is *rows in earlier buckets + position inside the bucket*.
+label into one task.  Here rows are first spread over even buckets (hash digits,
+ranges of a sort, histogram bins), bucket sizes are summed map-side, and a rank
+is *rows in earlier buckets + position inside the bucket*.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from assayer.session import materialize
+
 
 def seeded_hash(key: Column | str, seed: int = 42) -> Column:
     """Deterministic, partition-independent shuffle key."""
@@ -17,64 +19,62 @@ def seeded_hash(key: Column | str, seed: int = 42) -> Column:
     return F.md5(F.concat(key.cast("string"), F.lit(f"|{seed}")))
 
 
-def _bucket_offsets(df: DataFrame, by: list[str], bucket: str) -> DataFrame:
-    counts = df.groupBy(*by, bucket).agg(F.count("*").alias("_n"))
-    inside = W.partitionBy(*by)
-    before = inside.orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
-    # one row per bucket, so these windows are small whatever the data size
-    return counts.select(
-        *by, bucket,
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
-        F.sum("_n").over(inside).alias("_total"))
-
-
-def _attach(df: DataFrame, offsets: DataFrame, keys: list[str]) -> DataFrame:
-    renamed = offsets.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_offset", "_total")
-    on = [df[k].eqNullSafe(renamed[f"_k_{k}"]) for k in keys]
-    return df.join(renamed, on, "left").drop(*[f"_k_{k}" for k in keys])
-
-
 def hash_rank(df: DataFrame, key: str, by: list[str] = (), seed: int = 42,
               hex_digits: int = 4, rank: str = "rank", total: str | None = None) -> DataFrame:
     """Rank rows of each ``by`` group by ``md5(key|seed)`` (ties: key), from 1.
 
-    md5 digits are uniform, so ``16 ** hex_digits`` buckets stay even no matter
-    how large one group is.
+    md5 digits are uniform, so ``16 ** hex_digits`` buckets per group stay even
+    no matter how large one group is.  Position inside the bucket and bucket
+    offset use the same bucket key, hence one shuffle of the rows.
     """
     by = list(by)
-    bucketed = (df.withColumn("_h", seeded_hash(key, seed))
-                .withColumn("_b", F.substring("_h", 1, hex_digits)))
-    joined = _attach(bucketed, _bucket_offsets(bucketed, by, "_b"), by + ["_b"])
-    order = W.partitionBy(*by, "_b").orderBy("_h", key)
-    out = joined.withColumn(rank, F.col("_offset") + F.row_number().over(order))
+    prefix = F.substring("_h", 1, hex_digits)
+    # to_json leaves nulls out, so the key is never null and groups stay apart
+    bucket = F.concat(F.to_json(F.struct(*by)), prefix) if by else prefix
+    bucketed = df.withColumn("_h", seeded_hash(key, seed)).withColumn("_b", bucket)
+    counts = bucketed.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
+    group = W.partitionBy(*by)
+    before = group.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    # one row per bucket, so these windows are small whatever the data size
+    offsets = counts.select(
+        "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
+        F.sum("_n").over(group).alias("_total"))
+    inside = W.partitionBy("_b").orderBy("_h", key)
+    out = (bucketed.withColumn("_at", F.row_number().over(inside)).join(offsets, "_b")
+           .withColumn(rank, F.col("_offset") + F.col("_at")))
     if total:
         out = out.withColumn(total, F.col("_total"))
-    return out.drop("_h", "_b", "_offset", "_total")
+    return out.drop("_h", "_b", "_at", "_offset", "_total")
+
+
+ROW_BITS = 33  # monotonically_increasing_id: partition number above, row number below
 
 
-def sorted_rank(df: DataFrame, order: list[str], by: list[str] = (), rank: str = "rank",
-                buckets: int = 256, sample: int = 8192) -> DataFrame:
+def sorted_rank(df: DataFrame, order: list[str], by: list[str] = (),
+                rank: str = "rank") -> DataFrame:
     """Rank rows of each ``by`` group in ascending ``order``, from 1.
 
-    ``order`` must end in a unique column.  Bucket boundaries come from a
-    bounded hash sample of the keys; they only steer the balance, never the
-    result.
+    ``order`` must end in a unique column.  One range sort spreads even a single
+    huge group over all partitions; the sorted rows are written to the shared
+    folder once with their (partition, position) number, so the positions can
+    no longer change.  A rank is then position + rows of the group in earlier
+    partitions: no window over data rows and no second shuffle.
     """
     by, order = list(by), list(order)
-    key = F.struct(*order)
-    drawn = (df.select(key.alias("_key")).withColumn("_h", F.md5(F.to_json("_key")))
-             .orderBy("_h").limit(sample))
-    ordered = drawn.agg(F.sort_array(F.collect_list("_key")).alias("_keys"))
-    step = max(1, sample // buckets)
-    bounds = ordered.select(F.filter("_keys", lambda x, i: i % step == step - 1).alias("_b"))
-    bucketed = (df.withColumn("_key", key)
-                .withColumn("_bounds", bounds.scalar())
-                .withColumn("_b", F.size(F.filter("_bounds", lambda x: x <= F.col("_key"))))
-                .drop("_key", "_bounds"))
-    joined = _attach(bucketed, _bucket_offsets(bucketed, by, "_b"), by + ["_b"])
-    window = W.partitionBy(*by, "_b").orderBy(*order)
-    return (joined.withColumn(rank, F.col("_offset") + F.row_number().over(window))
-            .drop("_b", "_offset", "_total"))
+    placed = (df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+              .withColumn("_id", F.monotonically_increasing_id()))
+    stored = materialize(placed, "rank")
+    stored = (stored.withColumn("_part", F.shiftright("_id", ROW_BITS).cast("int"))
+              .withColumn("_row", F.col("_id").bitwiseAND(F.lit((1 << ROW_BITS) - 1))))
+    # one row per group and partition
+    parts = stored.groupBy(*by, "_part").agg(
+        F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    before = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select(*by, "_part", "_first",
+                         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    joined = join_on(stored, parts, by + ["_part"], "inner")
+    return (joined.withColumn(rank, F.col("_offset") + F.col("_row") - F.col("_first") + 1)
+            .drop("_id", "_part", "_row", "_first", "_offset"))
 
 
 def top_n_per_group(df: DataFrame, by: list[str], order: list, n: int,

@@ -74,15 +74,13 @@ def _(spark, sf_dir):
     item = F.struct(F.col("question").alias("QUESTION"), F.array(
         F.substr("answer", F.lit(1), half), F.substr("answer", half + 1)).alias("CONTEXTS"),
         F.when(F.col("is_hallucinated") == 1, "no").otherwise("yes").alias("final_decision"))
-    # one document per 50 consecutive ids: the file count grows, a document never does
+    # one document per 50 consecutive ids: the number of documents grows, their size does not
     documents = (v.answers(spark, sf_dir)
                  .groupBy(F.floor(F.col("doc_id") / 50).alias("part"))
                  .agg(F.map_from_entries(F.collect_list(F.struct("record_id", item))).alias("m")))
     path = scratch_path(spark, "objects")
-    count = documents.count()
-    (documents.repartition(max(1, count), "part").select(F.to_json("m").alias("value"))
-     .write.option("maxRecordsPerFile", 1).text(path))
-    return readers.read_object_map_json(spark, path).select(
+    documents.select(F.to_json("m").alias("value")).write.text(path)
+    return readers.read_object_map_json(spark, path, document_per_line=True).select(
         "record_id", F.md5("QUESTION").alias("question_md5"), F.size("CONTEXTS").alias("contexts"),
         F.aggregate("CONTEXTS", F.lit(0), lambda a, c: a + F.length(c)).cast("bigint").alias("context_chars"),
         F.col("final_decision").alias("decision"))

@@ -52,12 +52,14 @@ def read_headerless_pairs(spark: SparkSession, path: str, max_cells: int = 64) -
         F.md5(F.concat_ws("\u0001", "prompt_a", "prompt_b")), 1, 12)))
 
 
-def read_object_map_json(spark: SparkSession, path: str, value_type: str = OBJECT_MAP) -> DataFrame:
+def read_object_map_json(spark: SparkSession, path: str, value_type: str = OBJECT_MAP,
+                         document_per_line: bool = False) -> DataFrame:
     """``{id: {...}}`` documents -> one row per id.
 
-    One JSON document is parsed by one task; split large collections into files.
+    By default a file is one document (parsed by one task); with
+    ``document_per_line`` files hold many documents and can be split.
     """
-    text = spark.read.text(path, wholetext=True)
+    text = spark.read.text(path, wholetext=not document_per_line)
     return (text.select(F.explode(F.from_json("value", value_type)).alias("record_id", "_v"))
             .select("record_id", "_v.*"))
 

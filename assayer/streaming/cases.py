@@ -8,6 +8,7 @@ batch id, so a replayed batch overwrites itself instead of appending twice.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -15,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from assayer.operators.trust import evaluate_cases
+from assayer.sources.readers import path_exists
 from assayer.sources.writers import case_log_rows
 
 
@@ -50,22 +52,24 @@ def append_log(stream: DataFrame, path: str, checkpoint: str,
 def stream_incremental_scoring(events: DataFrame, score: Callable[[DataFrame], DataFrame],
                                result_path: str, checkpoint: str, key: str = "record_id",
                                event_time: str = "ts", watermark: str = "1 day") -> StreamingQuery:
-    """Score only ids without a finished result; safe under replay.
+    """Score only ids without a finished result; safe under replay and restart.
 
-    A batch writes to ``batch_id=<n>``.  On replay its own earlier output is
-    ignored by the anti-join and then overwritten.
+    A batch writes to ``run=<checkpoint hash>/batch_id=<n>``.  On replay its own
+    earlier output is ignored by the anti-join and then overwritten; a stream
+    with another checkpoint never touches the results of this one.
     """
     unique = (events.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark([key]))
+    run = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        from assayer.sources.readers import path_exists
-        spark = batch.sparkSession
-        todo = batch
+        spark, todo = batch.sparkSession, batch
         if path_exists(spark, result_path):
-            done = (spark.read.schema(f"`{key}` {dict(batch.dtypes)[key]}, batch_id bigint")
-                    .parquet(result_path).filter(F.col("batch_id") != batch_id).select(key))
-            todo = batch.join(done, key, "left_anti")
-        score(todo).write.mode("overwrite").parquet(f"{result_path}/batch_id={batch_id}")
+            schema = f"`{key}` {dict(batch.dtypes)[key]}, run string, batch_id bigint"
+            mine = (F.col("run") == run) & (F.col("batch_id") == batch_id)
+            done = spark.read.schema(schema).parquet(result_path).filter(~mine)
+            todo = batch.join(done.select(key), key, "left_anti")
+        score(todo).write.mode("overwrite").parquet(
+            f"{result_path}/run={run}/batch_id={batch_id}")
 
     return (unique.writeStream.foreachBatch(write).outputMode("append")
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
