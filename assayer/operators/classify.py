@@ -60,13 +60,17 @@ class TextFeatures:
 
 def fit_text_features(df: DataFrame, text: str = "text", min_df: float = 2, max_df: float = 0.98,
                       vocabulary: int = 60_000, sublinear: bool = True) -> TextFeatures:
-    """Vocabulary and inverse document frequencies from the training rows only."""
+    """Vocabulary and inverse document frequencies from the training rows only.
+
+    ``max_df`` is a share of the documents; 1.0 keeps every term.
+    """
+    ceiling = max_df if max_df < 1.0 else float(2 ** 63)
     cleaned = df.withColumn("_clean", strip_accents(F.lower(tx.text_of(text))))
     stages = [
         RegexTokenizer(inputCol="_clean", outputCol="_words", pattern=r"\w\w+", gaps=False),
         NGram(n=2, inputCol="_words", outputCol="_pairs"),
         SQLTransformer(statement="SELECT *, concat(_words, _pairs) AS _grams FROM __THIS__"),
-        CountVectorizer(inputCol="_grams", outputCol="_tf", minDF=min_df, maxDF=max_df,
+        CountVectorizer(inputCol="_grams", outputCol="_tf", minDF=min_df, maxDF=ceiling,
                         vocabSize=vocabulary),
     ]
     model = Pipeline(stages=stages).fit(cleaned)

@@ -300,7 +300,8 @@ def _best_cosine(claim_sizes, claim_terms, sentence_sizes, sentence_terms):
         correction = np.bincount(cell, sent_tf[posting] ** 2 * change[t], cells)
         scale = np.sqrt(own[first:last])[:, None] * np.sqrt(base + correction.reshape(shape))
         cosine = np.divide(product.reshape(shape), scale, out=np.zeros(shape), where=scale > 0)
-        best_at[first:last] = cosine.argmax(axis=1)
+        # equal sentences may differ in the last bit; after rounding the first one wins
+        best_at[first:last] = np.round(cosine, 12).argmax(axis=1)
         best_score[first:last] = cosine[np.arange(last - first), best_at[first:last]]
     return best_score, best_at
 
@@ -447,7 +448,8 @@ def best_vector_match(claims: DataFrame, evidence: DataFrame, record: str = "rec
             .select(record, "_cb", "_eb", claim_id, "_cv"))
     right = (evidence.select(record, evidence_id, F.col(vector).alias("_ev")).join(shape, record)
              .withColumn("_eb", spot(evidence_id, "e_blocks")).withColumn("_cb", spread("c_blocks"))
-             .select(record, "_cb", "_eb", evidence_id, "_ev"))
+             .select(F.col(record).alias("_er"), F.col("_cb").alias("_ecb"),
+                     F.col("_eb").alias("_eeb"), F.col(evidence_id).alias(evidence_id), "_ev"))
 
     def tile(c: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         if not len(c) or not len(e):
@@ -461,8 +463,9 @@ def best_vector_match(claims: DataFrame, evidence: DataFrame, record: str = "rec
                              "similarity": products[np.arange(len(at)), at]})
 
     kind = {f.name: f.dataType.simpleString() for f in claims.schema.fields + evidence.schema.fields}
-    keys = [record, "_cb", "_eb"]
-    tiles = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
+    # the evidence keys are renamed: both sides may come from the same table
+    tiles = left.groupBy(record, "_cb", "_eb").cogroup(
+        right.groupBy("_er", "_ecb", "_eeb")).applyInPandas(
         tile, f"`{record}` {kind[record]}, `{claim_id}` {kind[claim_id]}, "
               f"`{evidence_id}` {kind[evidence_id]}, similarity double")
     best = tiles.groupBy(record, claim_id).agg(

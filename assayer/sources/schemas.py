@@ -1,10 +1,21 @@
 """Declared schemas: ids stay text, nothing is inferred."""
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import (
+    ArrayType, DoubleType, FloatType, IntegerType, StringType, StructField, StructType,
+    TimestampType,
+)
 
+_TYPES = {
+    "string": StringType(), "int": IntegerType(), "double": DoubleType(),
+    "timestamp": TimestampType(), "array<string>": ArrayType(StringType()),
+    "array<float>": ArrayType(FloatType()),
+}
 
-def _schema(ddl: str) -> StructType:
-    return StructType.fromDDL(ddl)
+
+def _schema(columns: str) -> StructType:
+    """Schema from "name type, ..." without needing a running session."""
+    pairs = (c.split() for c in columns.split(","))
+    return StructType([StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 QA_BINARY = _schema(
