@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from assayer import terms
 from assayer.functions import arrays as ar, text as tx
 from assayer.operators.ranking import collapse_values, join_on, median_of
+from assayer.operators.tiles import tiled
 
 
 @dataclass(frozen=True)
@@ -260,7 +261,7 @@ def _gram_hashes(text: Column, stopwords: list[str]) -> Column:
     return F.concat(hashed, F.slice(pairs, 1, F.greatest(F.size(hashed) - 1, F.lit(0))))
 
 
-CLAIMS_AT_ONCE = 256
+CLAIMS_AT_ONCE = 64
 
 
 def _best_cosine(claim_sizes, claim_terms, sentence_sizes, sentence_terms):
@@ -431,46 +432,30 @@ def best_vector_match(claims: DataFrame, evidence: DataFrame, record: str = "rec
                       vector: str = "embedding", block: int = 2048) -> DataFrame:
     """Max inner product (and its evidence id) per claim within a record.
 
-    A record may hold any number of claims and evidence vectors, so both sides
-    are cut into blocks of about ``block`` rows by hash, and every
-    (claim block, evidence block) tile is scored on its own with one matrix
-    product.  A tile emits one row per claim, never a pair; the final maximum
+    A tile is one matrix product and emits one row per claim; the final maximum
     over tiles combines map-side.
     """
-    blocks = lambda df, name: df.groupBy(record).agg(
-        F.ceil(F.count("*") / block).cast("int").alias(name))
-    claim_blocks, evidence_blocks = blocks(claims, "c_blocks"), blocks(evidence, "e_blocks")
-    shape = claim_blocks.join(evidence_blocks, record)
-    spot = lambda item, count: F.pmod(F.xxhash64(item), F.col(count)).cast("int")
-    spread = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-    left = (claims.select(record, claim_id, F.col(vector).alias("_cv")).join(shape, record)
-            .withColumn("_cb", spot(claim_id, "c_blocks")).withColumn("_eb", spread("e_blocks"))
-            .select(record, "_cb", "_eb", claim_id, "_cv"))
-    right = (evidence.select(record, evidence_id, F.col(vector).alias("_ev")).join(shape, record)
-             .withColumn("_eb", spot(evidence_id, "e_blocks")).withColumn("_cb", spread("c_blocks"))
-             .select(F.col(record).alias("_er"), F.col("_cb").alias("_ecb"),
-                     F.col("_eb").alias("_eeb"), F.col(evidence_id).alias(evidence_id), "_ev"))
-
-    def tile(c: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+    left = claims.select(record, claim_id, F.col(vector).alias("_cv"))
+    right = evidence.select(record, evidence_id, F.col(vector).alias("_ev"))
+    kind = dict(left.dtypes) | dict(right.dtypes)
+
+    def score(c: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         if not len(c) or not len(e):
             return pd.DataFrame({record: [], claim_id: [], evidence_id: [], "similarity": []})
         e = e.sort_values(evidence_id)
         products = (np.stack(c["_cv"].to_numpy()).astype(float)
                     @ np.stack(e["_ev"].to_numpy()).astype(float).T)
-        at = products.argmax(axis=1)
+        at = np.round(products, 12).argmax(axis=1)
         return pd.DataFrame({record: c[record].to_numpy(), claim_id: c[claim_id].to_numpy(),
                              evidence_id: e[evidence_id].to_numpy()[at],
                              "similarity": products[np.arange(len(at)), at]})
 
-    kind = {f.name: f.dataType.simpleString() for f in claims.schema.fields + evidence.schema.fields}
-    # the evidence keys are renamed: both sides may come from the same table
-    tiles = left.groupBy(record, "_cb", "_eb").cogroup(
-        right.groupBy("_er", "_ecb", "_eeb")).applyInPandas(
-        tile, f"`{record}` {kind[record]}, `{claim_id}` {kind[claim_id]}, "
-              f"`{evidence_id}` {kind[evidence_id]}, similarity double")
-    best = tiles.groupBy(record, claim_id).agg(
-        F.max_by(F.struct("similarity", evidence_id),
-                 F.struct(F.col("similarity"), -F.col(evidence_id))).alias("_b"))
+    tiles = tiled(left, right, [record], claim_id, evidence_id, score,
+                  f"`{record}` {kind[record]}, `{claim_id}` {kind[claim_id]}, "
+                  f"`{evidence_id}` {kind[evidence_id]}, similarity double", block)
+    best = tiles.groupBy(record, claim_id).agg(F.max_by(
+        F.struct("similarity", evidence_id),
+        F.struct(F.round("similarity", 12), -F.col(evidence_id))).alias("_b"))
     return best.select(record, claim_id, F.col("_b.similarity").alias("similarity"),
                        F.col(f"_b.{evidence_id}").alias(evidence_id))
 
