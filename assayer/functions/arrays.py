@@ -16,13 +16,16 @@ def overlap_score(left: Column | str, right: Column | str) -> Column:
         F.size(F.array_intersect(left, right)) / F.size(left))
 
 
+def jaccard_sizes(left: Column | str, right: Column | str, common: Column | str) -> Column:
+    """Intersection over union from set sizes; both empty 1, one empty 0."""
+    left, right, common = _col(left), _col(right), _col(common)
+    return (F.when((left == 0) & (right == 0), 1.0).when((left == 0) | (right == 0), 0.0)
+            .otherwise(common / (left + right - common)))
+
+
 def jaccard(left: Column | str, right: Column | str) -> Column:
-    """Intersection over union of two sets; both empty 1, one empty 0."""
     left, right = _col(left), _col(right)
-    common = F.size(F.array_intersect(left, right))
-    return (F.when((F.size(left) == 0) & (F.size(right) == 0), 1.0)
-            .when((F.size(left) == 0) | (F.size(right) == 0), 0.0)
-            .otherwise(common / (F.size(left) + F.size(right) - common)))
+    return jaccard_sizes(F.size(left), F.size(right), F.size(F.array_intersect(left, right)))
 
 
 def alignment(claim_terms: Column | str, evidence_terms: Column | str) -> Column:

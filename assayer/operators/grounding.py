@@ -15,6 +15,7 @@ from assayer import terms
 from assayer.functions import arrays as ar, text as tx
 from assayer.operators.ranking import collapse_values, join_on, median_of
 from assayer.operators.tiles import tiled
+from assayer.session import materialize
 
 
 @dataclass(frozen=True)
@@ -79,21 +80,32 @@ def paired_answer_comparison(df: DataFrame, suffixes=("_ground_truth", "_halluci
     hallucinated = keyed.filter(F.col("is_hallucinated") == 1).select(
         "pair_id", F.col("record_id").alias("hallucinated_record_id"),
         tokens("answer").alias("_h")).withColumn("_hd", directed("_h"))
-    scored = grounded.join(hallucinated, "pair_id").select(
+    common = lambda x, y: F.size(F.array_intersect(x, y))
+    sized = grounded.join(hallucinated, "pair_id").select(
         "pair_id", "grounded_record_id", "hallucinated_record_id",
-        ar.jaccard("_g", "_h").alias("answer_similarity"),
-        ar.jaccard("_k", "_g").alias("knowledge_grounded_similarity"),
-        ar.jaccard("_k", "_h").alias("knowledge_hallucinated_similarity"),
-        ar.jaccard("_gd", "_hd").alias("clinical_direction_similarity"))
+        *[F.size(c).alias(c) for c in ("_g", "_h", "_k", "_gd", "_hd")],
+        common("_g", "_h").alias("_gh"), common("_k", "_g").alias("_kg"),
+        common("_k", "_h").alias("_kh"), common("_gd", "_hd").alias("_dd"))
+    scored = sized.select(
+        "pair_id", "grounded_record_id", "hallucinated_record_id",
+        ar.jaccard_sizes("_g", "_h", "_gh").alias("answer_similarity"),
+        ar.jaccard_sizes("_k", "_g", "_kg").alias("knowledge_grounded_similarity"),
+        ar.jaccard_sizes("_k", "_h", "_kh").alias("knowledge_hallucinated_similarity"),
+        ar.jaccard_sizes("_gd", "_hd", "_dd").alias("clinical_direction_similarity"))
     return scored.withColumn("grounding_similarity_delta", F.col("knowledge_grounded_similarity")
                              - F.col("knowledge_hallucinated_similarity"))
 
 
 def paired_summary(pairs: DataFrame) -> DataFrame:
-    """Means of the similarities and the median answer similarity, in one pass."""
+    """Means of the similarities and the median answer similarity.
+
+    The mean and the median read different columns, which would score the texts
+    twice; the narrow score table is written once instead.
+    """
     others = ["knowledge_grounded_similarity", "knowledge_hallucinated_similarity",
               "grounding_similarity_delta", "clinical_direction_similarity"]
-    values = collapse_values(pairs, [], "answer_similarity", others)
+    scores = materialize(pairs.select("answer_similarity", *others), "pairs")
+    values = collapse_values(scores, [], "answer_similarity", others)
     mean = lambda c: (F.sum(f"_s_{c}") / F.sum("_n"))
     means = values.agg(
         F.sum("_n").alias("paired_examples"),
