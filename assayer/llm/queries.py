@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from assayer.llm import minmax_dedup
+from public_tokenizers import path as vocabulary
+from pyspark.sql import DataFrame, SparkSession
 
+from assayer.llm import minmax_dedup, packing, word_bpe
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -15,5 +15,15 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup,)}
+def op4_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = word_bpe.encode_decode(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return word_bpe.digests(encoded)
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"),
+                                  packing.ranks_path(vocabulary("byte_bpe_50k.json")))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op4_bpe_encode_decode, op5_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
