@@ -5,7 +5,8 @@ from __future__ import annotations
 from public_tokenizers import path as vocabulary
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import minmax_dedup, packing, word_bpe
+from assayer.llm import lempel_ziv, minmax_dedup, packing, word_bpe
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -15,6 +16,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lempel_ziv.digests(lempel_ziv.duplicate_words(_table(spark, sf_dir, "documents")))
+
+
 def op4_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = word_bpe.encode_decode(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
     return word_bpe.digests(encoded)
@@ -25,5 +30,6 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   packing.ranks_path(vocabulary("byte_bpe_50k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op4_bpe_encode_decode, op5_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (
+    op1_minhash_near_dedup, op3_substring_dedup, op4_bpe_encode_decode, op5_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
