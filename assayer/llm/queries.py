@@ -5,7 +5,7 @@ from __future__ import annotations
 from public_tokenizers import path as vocabulary
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import lempel_ziv, minmax_dedup, packing, word_bpe
+from assayer.llm import lempel_ziv, minmax_dedup, packing, secrets_crf, toxicity, word_bpe
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,16 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   packing.ranks_path(vocabulary("byte_bpe_50k.json")))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return secrets_crf.scan(docs, secrets_crf.train(docs))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_minhash_near_dedup, op3_substring_dedup, op4_bpe_encode_decode, op5_best_fit_packing)}
+    op1_minhash_near_dedup, op3_substring_dedup, op4_bpe_encode_decode, op5_best_fit_packing, op8_toxicity,
+    op9_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
