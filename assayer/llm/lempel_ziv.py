@@ -114,9 +114,16 @@ def _listed(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
 
 
 def duplicate_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    window: int = WINDOW, k: int = GRAM) -> DataFrame:
-    """``id_col``, ``n_words``, ``factors`` (start and end word) and ``kept_text`` of each row."""
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+                    window: int = WINDOW, k: int = GRAM, carry: bool = False) -> DataFrame:
+    """``id_col``, ``n_words``, ``factors`` (start and end word) and ``kept_text`` of each row.
+
+    ``carry`` adds the whole input row as ``rest`` (its text null) and leaves a text that loses
+    nothing as it was, so that nobody has to join the texts again.
+    """
+    none = F.lit(None).cast(docs.schema[text_col].dataType)
+    rest = F.struct(*[none.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"),
+                         *([rest.alias("rest")] if carry else []))
     base = source.filter("id IS NOT NULL")
     kind = source.schema["id"].dataType.simpleString()
 
@@ -166,15 +173,19 @@ def duplicate_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 sizes.append(n)
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
                 spans.append(edge.tolist())
-                if not text:
+                if carry and not len(edge):
+                    kept.append(text)
+                elif not text:
                     kept.append(b"")
                 elif not len(edge):
                     kept.append(b" ".join(text.split()))
                 else:
                     kept.append(b" ".join([w for w, g in zip(text.split(), gone.tolist(), strict=True) if not g]))
+            more = [batch.column("rest")] if carry else []
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.int64())),
-                 pa.array(kept, pa.binary()).cast(pa.string())], ["id", "n_words", "factors", "kept_text"])
+                 pa.array(kept, pa.binary()).cast(pa.string()), *more],
+                ["id", "n_words", "factors", "kept_text"] + ["rest"] * carry)
 
     selected = base.mapInArrow(anchors, f"id {kind}, anchor long")
     shared = selected.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
@@ -194,6 +205,7 @@ def duplicate_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     flags = copied.unionByName(single).groupBy("id").agg(
         F.collect_set("block").alias("blocks"), F.collect_set("win").alias("wins"))
     out = f"id {kind}, n_words long, factors array<bigint>, kept_text string"
+    out += f", rest {source.schema['rest'].dataType.simpleString()}" if carry else ""
     parsed = base.join(flags, "id", "left").mapInArrow(parse, out)
     unnamed = (source.filter("id IS NULL").selectExpr("*", "cast(null AS array<bigint>) AS blocks",
                                                       "cast(null AS array<bigint>) AS wins").mapInArrow(parse, out))
@@ -213,12 +225,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Ids must be unique.  Documents that lose every word go; empty ones that lost nothing stay.
     ``n_chars``, if there, is set anew.
     """
-    parsed = materialize(duplicate_words(docs, id_col, text_col).filter("size(factors) > 0")
-                         .select(F.col(id_col).alias("_id"), "kept_text"), "parsed")
-    out = docs.join(parsed, docs[id_col] == parsed["_id"], "left").filter("kept_text IS NULL OR kept_text <> ''")
-    text = F.when(F.col("_id").isNull(), F.col(text_col)).otherwise(F.col("kept_text"))
-    out = out.withColumn(text_col, text)
+    parsed = duplicate_words(docs, id_col, text_col, carry=True).filter("size(factors) = 0 OR kept_text <> ''")
+    changed = F.size("factors") > 0
+    columns = {c: F.col("rest").getField(c) for c in docs.columns} | {text_col: F.col("kept_text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_id").isNull(), F.col("n_chars"))
-                             .otherwise(F.char_length("kept_text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        columns["n_chars"] = F.when(changed, F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(
+            columns["n_chars"])
+    return parsed.select(*[v.alias(c) for c, v in columns.items()])

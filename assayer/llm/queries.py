@@ -5,7 +5,7 @@ from __future__ import annotations
 from public_tokenizers import path as vocabulary
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import lempel_ziv, minmax_dedup, packing, secrets_crf, toxicity, word_bpe
+from assayer.llm import caps, lempel_ziv, log_bilinear, minmax_dedup, packing, secrets_crf, toxicity, warc, winnow, word_bpe
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_bilinear.score(_table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lempel_ziv.digests(lempel_ziv.duplicate_words(_table(spark, sf_dir, "documents")))
 
@@ -30,6 +34,14 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   packing.ranks_path(vocabulary("byte_bpe_50k.json")))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -39,7 +51,11 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_crf.scan(docs, secrets_crf.train(docs))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_minhash_near_dedup, op3_substring_dedup, op4_bpe_encode_decode, op5_best_fit_packing, op8_toxicity,
-    op9_secret_scan)}
+    op1_minhash_near_dedup, op2_lm_scoring, op3_substring_dedup, op4_bpe_encode_decode, op5_best_fit_packing,
+    op6_warc, op7_embedding_near_dedup, op8_toxicity, op9_secret_scan, op10_fingerprints)}
 ORACLE_SQL: dict[str, str] = {}
