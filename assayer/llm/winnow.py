@@ -58,12 +58,12 @@ def likeness(left: Column, right: Column) -> Column:
 
 
 def ring(rows: DataFrame) -> DataFrame:
-    """``id``, ``h``, ``n`` of distinct rows with ``next_id``, ``next_h``: the next by falling id, then the first.
+    """``id``, ``k``, ``h``, ``n`` of distinct rows with ``next_k``, ``next_h``: the next by falling id, then the first.
 
     A range sort numbers the rows; the next number is the next row but at the end of a partition, and
     there is one such row per partition.
     """
-    placed = (rows.select("id", "h", "n").distinct().repartitionByRange(F.desc("id"), "h")
+    placed = (rows.select("id", "k", "h", "n").distinct().repartitionByRange(F.desc("id"), "h")
               .sortWithinPartitions(F.desc("id"), "h").withColumn("at", F.monotonically_increasing_id()))
     placed = materialize(placed, "ring")
     part = F.shiftright("at", ROW_BITS)
@@ -74,31 +74,30 @@ def ring(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     jumps = spark.createDataFrame(list(jump.items()), "at long, jump long")
     linked = placed.join(jumps, "at", "left").withColumn("next_at", F.coalesce("jump", F.col("at") + 1))
-    after = placed.select(F.col("at").alias("next_at"), F.col("id").alias("next_id"), F.col("h").alias("next_h"))
-    return linked.join(after, "next_at").select("id", "h", "n", "next_id", "next_h")
+    after = placed.select(F.col("at").alias("next_at"), F.col("k").alias("next_k"), F.col("h").alias("next_h"))
+    return linked.join(after, "next_at").select("id", "k", "h", "n", "next_k", "next_h")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, w: int = W) -> DataFrame:
     """Fingerprints of each text and its edited text, and how alike they are."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    rows = rows.withColumns({"h": F.xxhash64("text"), "n": F.char_length("text").cast("long")})
+    # a row's key: never null, so that aggregates and joins deal it alike
+    key = F.coalesce(F.col("id").cast("string"), F.lit("no id"))
+    rows = rows.withColumns({"k": key, "h": F.xxhash64("text"), "n": F.char_length("text").cast("long")})
     order = ring(rows)
-    # one exchange of texts serves both joins
-    base = rows.select("id", "h", "text", kept_grams(F.col("text"), k, w).alias("kept"))
+    # the same columns and no lambda before the exchange, so that one exchange of texts serves both joins
+    base = rows.select("k", "h", "text")
     take = F.floor(F.col("n") / 3)
-    nxt = base.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.col("text").alias("next_text"),
-                       F.col("kept").alias("next_kept"))
-    on_next = order["next_id"].eqNullSafe(nxt["next_id"]) & (order["next_h"] == nxt["next_h"])
-    heads = order.join(nxt, on_next).select(
-        F.col("id").alias("own_id"), F.col("h").alias("own_h"), "n",
-        F.substring(F.col("next_text"), F.lit(1), take.cast("int")).alias("head"), "next_kept")
+    nxt = base.select(F.col("k").alias("next_k"), F.col("h").alias("next_h"), F.col("text").alias("next_text"))
+    heads = order.join(nxt, ["next_k", "next_h"]).select(
+        "id", "k", "h", "n", F.substring(F.col("next_text"), F.lit(1), take.cast("int")).alias("head"),
+        kept_grams(F.col("next_text"), k, w).alias("next_kept"))
     # a next row that is repeated gives equal heads
-    heads = heads.groupBy("own_id", "own_h").agg(*[F.first(c).alias(c) for c in ("n", "head", "next_kept")])
-    on_own = base["id"].eqNullSafe(heads["own_id"]) & (base["h"] == heads["own_h"])
-    joined = base.join(heads, on_own)
+    heads = heads.groupBy("k", "h").agg(*[F.first(c).alias(c) for c in ("id", "n", "head", "next_kept")])
+    joined = base.join(heads, ["k", "h"])
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n") - take).cast("int")), "head")
-    joined = joined.select("id", "n", "kept", "next_kept", edited.alias("edited"))
+    joined = joined.select("id", "n", kept_grams(F.col("text"), k, w).alias("kept"), "next_kept", edited.alias("edited"))
     joined = joined.select("id", "n", "kept", "next_kept", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
                            kept_grams(F.col("edited"), k, w).alias("edited_kept"))
     return joined.select(
