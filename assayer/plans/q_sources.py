@@ -103,7 +103,7 @@ def _(spark, sf_dir):
 
 
 @query("normalise_nested_text", """
-SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN md5(lang || chr(10) || source || chr(10) || substr(text, 1, 40))
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN md5(lang || chr(10) || source || chr(10) || text)
     WHEN 1 THEN md5(CAST(to_json({'lang': lang, 'source': source}) AS VARCHAR))
     WHEN 2 THEN md5(lang || ' ' || source) ELSE md5('') END AS text_md5
 FROM documents""")
@@ -111,7 +111,7 @@ def _(spark, sf_dir):
     d = v.documents(spark, sf_dir)
     slot = F.col("doc_id") % 4
     nested = F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source"))
-    d = (d.withColumn("as_list", F.when(slot == 0, F.array("lang", "source", F.substring("text", 1, 40))))
+    d = (d.withColumn("as_list", F.when(slot == 0, F.array("lang", "source", "text")))
          .withColumn("as_map", F.when(slot.isin(1, 2), nested)))
     text = (F.when(slot == 0, tx.normalise_nested_list("as_list"))
             .when(slot == 1, tx.normalise_nested_map("as_map"))

@@ -32,7 +32,8 @@ def _events(spark, sf_dir):
     """Events copied as several files, so the stream sees more than one batch."""
     source = v.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     path = scratch_path(spark, "events")
-    source.repartitionByRange(4, "ts").write.parquet(path)
+    # latest rows in the first file: arrival is out of order
+    source.repartitionByRange(8, F.desc("ts")).write.parquet(path)
     return path, source.schema
 
 
@@ -51,7 +52,7 @@ FROM event_keys e LEFT JOIN (SELECT d.case_group, d.disposition_label FROM dispo
 def _(spark, sf_dir):
     path, schema = _events(spark, sf_dir)
     log, checkpoint = scratch_path(spark, "stream-log"), scratch_path(spark, "stream-state")
-    arriving = _keyed(st.read_case_stream(spark, path, schema, files_per_trigger=2))
+    arriving = _keyed(st.read_case_stream(spark, path, schema, files_per_trigger=1))
     routed = st.stream_case_disposition(arriving, signals(spark, sf_dir))
     query = st.append_log(routed, log, checkpoint)
     query.awaitTermination()
@@ -80,7 +81,7 @@ def _(spark, sf_dir):
     result = scratch_path(spark, "scores")
     score = lambda df: df.select("event_id", "event_type", F.round("value", 2).alias("scored_value"))
     for name in ("first", "second"):
-        arriving = st.read_case_stream(spark, path, schema, files_per_trigger=2)
+        arriving = st.read_case_stream(spark, path, schema, files_per_trigger=1)
         st.stream_incremental_scoring(arriving, score, result, scratch_path(spark, f"state-{name}"),
                                       key="event_id").awaitTermination()
     done = spark.read.schema("event_id bigint, event_type string, scored_value double").parquet(result)

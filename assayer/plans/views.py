@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assayer.operators.grounding import TermLists
 from assayer.plans.registry import SQL_VIEWS
-from assayer.session import spread_small_input
 
 # Term lists for the synthetic prose (the default medical lists never occur).
 LISTS = TermLists(
@@ -26,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark, sf_dir) -> DataFrame:
-    return spread_small_input(table(spark, sf_dir, "documents"), "doc_id")
+    return table(spark, sf_dir, "documents")
 
 
 def answers(spark, sf_dir) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -31,8 +32,8 @@ def build_session(app: str = "assayer", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that setting
-    is missing (tests, a laptop) do we fall back to a fresh local folder.
+    The cluster names it in ``spark.checkpoint.dir``.  Only in local mode, where
+    one machine runs everything, does a fresh local folder stand in for it.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
@@ -41,6 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         configured = current.get() if current.isDefined() else None
     if not configured:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")
@@ -55,17 +58,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread_small_input(df: DataFrame, key: str) -> DataFrame:
-    """Hash a small table over all cores before CPU-heavy work on its rows.
-
-    A few files with one row group each would occupy a few cores only.  Large
-    tables already have enough splits and are returned untouched, so nothing is
-    shuffled at scale.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, key) if size < cores * split else df

@@ -19,7 +19,8 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 def read_csv_typed(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Headered CSV with quoted multi-line text.
 
-    Columns are matched by header name, a byte order mark is ignored, and ids
+    Columns are matched by header name (a file with another header fails the
+    read), a byte order mark is ignored, and ids
     keep their declared type (``007`` stays text).  Multi-line files cannot be
     split, so write many files of moderate size.
     """
@@ -27,8 +28,9 @@ def read_csv_typed(spark: SparkSession, path: str, schema: StructType) -> DataFr
     names = spark.read.options(**options).csv(path).columns
     as_text = StructType()
     for name in names:
-        as_text = as_text.add(name.lstrip("﻿").strip(), "string")
-    raw = spark.read.schema(as_text).options(**options, enforceSchema=True).csv(path)
+        as_text = as_text.add(name, "string")
+    raw = spark.read.schema(as_text).options(**options, enforceSchema=False).csv(path)
+    raw = raw.toDF(*[name.lstrip("﻿").strip() for name in names])
     missing = [f.name for f in schema.fields if f.name not in raw.columns]
     if missing:
         raise ValueError(f"missing columns: {missing}")

@@ -1,9 +1,8 @@
 """Streaming case disposition and incremental scoring.
 
-State is bounded by the watermark: duplicates inside it are dropped by
-``dropDuplicatesWithinWatermark``; anything later is caught by an anti-join
-against the result table when a batch is written.  Output files are keyed by
-batch id, so a replayed batch overwrites itself instead of appending twice.
+Every arriving id gets exactly one result, however late or out of order it comes: nothing is dropped
+by event time.  A micro-batch is deduplicated by id and anti-joined with the results written so far.
+It writes below its own checkpoint and batch number, so a replayed batch overwrites itself.
 """
 
 from __future__ import annotations
@@ -31,45 +30,52 @@ def read_case_stream(spark: SparkSession, path: str, schema: StructType,
 def stream_case_disposition(cases: DataFrame, signals: DataFrame, key: str = "case_key",
                             case_id: str = "case_id", event_time: str = "ts",
                             watermark: str = "1 day") -> DataFrame:
-    """Route each arriving case once with the batch rules.
+    """Route each arriving case with the batch rules.
+
+    ``case_id``, ``event_time`` and ``watermark`` are accepted for earlier callers;
+    no case is dropped for being late.
 
     ``signals`` is a static table (one row per key); cases without a match take
-    the insufficient-evidence branch.
+    the insufficient-evidence branch.  ``append_log`` keeps one row per case.
     """
-    unique = (cases.withWatermark(event_time, watermark)
-              .dropDuplicatesWithinWatermark([case_id]))
-    return evaluate_cases(unique.join(signals, key, "left"))
-
+    return evaluate_cases(cases.join(signals, key, "left"))
 
-def append_log(stream: DataFrame, path: str, checkpoint: str,
-               case_id: str = "case_id") -> StreamingQuery:
-    """Append-only audit log (file sink: exactly once per case)."""
-    return (case_log_rows(stream, case_id).writeStream.format("parquet").outputMode("append")
-            .option("path", path).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
 
-
-def stream_incremental_scoring(events: DataFrame, score: Callable[[DataFrame], DataFrame],
-                               result_path: str, checkpoint: str, key: str = "record_id",
-                               event_time: str = "ts", watermark: str = "1 day") -> StreamingQuery:
-    """Score only ids without a finished result; safe under replay and restart.
+def _write_new(stream: DataFrame, result_path: str, checkpoint: str, key: str,
+               shape: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
+    """Shape and write the rows of each batch whose ``key`` has no result yet.
 
     A batch writes to ``run=<checkpoint hash>/batch_id=<n>``.  On replay its own
     earlier output is ignored by the anti-join and then overwritten; a stream
     with another checkpoint never touches the results of this one.
     """
-    unique = (events.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark([key]))
     run = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark, todo = batch.sparkSession, batch
+        spark, todo = batch.sparkSession, batch.dropDuplicates([key])
         if path_exists(spark, result_path):
             schema = f"`{key}` {dict(batch.dtypes)[key]}, run string, batch_id bigint"
             mine = (F.col("run") == run) & (F.col("batch_id") == batch_id)
             done = spark.read.schema(schema).parquet(result_path).filter(~mine)
-            todo = batch.join(done.select(key), key, "left_anti")
-        score(todo).write.mode("overwrite").parquet(
-            f"{result_path}/run={run}/batch_id={batch_id}")
+            todo = todo.join(done.select(key), key, "left_anti")
+        shape(todo).write.mode("overwrite").parquet(f"{result_path}/run={run}/batch_id={batch_id}")
 
-    return (unique.writeStream.foreachBatch(write).outputMode("append")
+    return (stream.writeStream.foreachBatch(write).outputMode("append")
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def append_log(stream: DataFrame, path: str, checkpoint: str,
+               case_id: str = "case_id") -> StreamingQuery:
+    """Audit log with one row per case."""
+    return _write_new(stream, path, checkpoint, case_id, lambda new: case_log_rows(new, case_id))
+
+
+def stream_incremental_scoring(events: DataFrame, score: Callable[[DataFrame], DataFrame],
+                               result_path: str, checkpoint: str, key: str = "record_id",
+                               event_time: str = "ts", watermark: str = "1 day") -> StreamingQuery:
+    """Score only ids without a finished result; safe under replay and restart.
+
+    ``event_time`` and ``watermark`` are accepted for earlier callers; no row is
+    dropped for being late.
+    """
+    return _write_new(events, result_path, checkpoint, key, score)

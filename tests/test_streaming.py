@@ -57,3 +57,14 @@ def test_incremental_scoring_skips_finished_and_late_rows(spark, tmp_path):
     assert run("s2") == [("a", 10), ("b", 20), ("c", 30)]
     _put(spark, src, [("d", T0 + dt.timedelta(days=4), 4)], "three")
     assert run("s3") == [("a", 10), ("b", 20), ("c", 30), ("d", 40)]
+
+
+def test_late_files_lose_nothing(spark, tmp_path):
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    for day in range(6, -1, -1):  # the latest file first, one file per batch
+        _put(spark, src, [(f"c{day}", T0 + dt.timedelta(days=day), day), ("again", T0, 1)], str(day))
+    stream = st.read_case_stream(spark, src, spark.read.parquet(src).schema, files_per_trigger=1)
+    st.stream_incremental_scoring(stream, lambda df: df.select("case_id"), out, str(tmp_path / "state"),
+                                  key="case_id").awaitTermination()
+    done = sorted(r["case_id"] for r in spark.read.schema("case_id string").parquet(out).collect())
+    assert done == ["again", *(f"c{day}" for day in range(7))]
