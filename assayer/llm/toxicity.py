@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from assayer.llm import words
 
@@ -139,7 +140,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c) for c in columns), pa.array(scores, pa.float64())], [*columns, "_score"])
 
-    fields = docs.schema.add("_score", "double")
+    fields = StructType([*docs.schema.fields, StructField("_score", DoubleType())])
     return docs.withColumn("_text", F.col(text_col).cast("binary")).mapInArrow(run, fields)
 
 
