@@ -89,10 +89,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # the same columns and no lambda before the exchange, so that one exchange of texts serves both joins
     base = rows.select("k", "h", "text")
     take = F.floor(F.col("n") / 3)
-    nxt = base.select(F.col("k").alias("next_k"), F.col("h").alias("next_h"), F.col("text").alias("next_text"))
+    # the text keeps its name: a renamed column would make another exchange
+    nxt = base.select(F.col("k").alias("next_k"), F.col("h").alias("next_h"), "text")
     heads = order.join(nxt, ["next_k", "next_h"]).select(
-        "id", "k", "h", "n", F.substring(F.col("next_text"), F.lit(1), take.cast("int")).alias("head"),
-        kept_grams(F.col("next_text"), k, w).alias("next_kept"))
+        "id", "k", "h", "n", F.substring("text", F.lit(1), take.cast("int")).alias("head"),
+        kept_grams(F.col("text"), k, w).alias("next_kept"))
     # a next row that is repeated gives equal heads
     heads = heads.groupBy("k", "h").agg(*[F.first(c).alias(c) for c in ("id", "n", "head", "next_kept")])
     joined = base.join(heads, ["k", "h"])
