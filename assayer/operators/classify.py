@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
@@ -23,16 +24,27 @@ from assayer.operators.metrics import binary_metrics, multiclass_summary
 CANDIDATE_C = (0.1, 0.3, 1.0, 3.0)
 
 
+@lru_cache(maxsize=1)
+def _unaccented() -> tuple[str, str]:
+    """Characters of the basic plane and what their decomposition leaves without combining marks."""
+    changed, dropped = {}, []
+    for c in map(chr, [*range(0xA0, 0xD800), *range(0xE000, 0x10000)]):
+        left = [x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)]
+        if not left:
+            dropped.append(c)
+        elif left != [c] and len(left) == 1:
+            changed[c] = left[0]
+    # characters of the source beyond the target's length are removed
+    return "".join([*changed, *dropped]), "".join(changed.values())
+
+
 def strip_accents(c: Column | str) -> Column:
-    """Latin letters without their accents (mapping derived from Unicode)."""
-    source, target = [], []
-    for code in range(0xC0, 0x250):
-        base = unicodedata.normalize("NFKD", chr(code))[0]
-        if base.isascii():
-            source.append(chr(code))
-            target.append(base)
+    """Text without accents and combining marks, in any script (mapping derived from Unicode).
+
+    Characters that decompose into several letters (ligatures, Hangul syllables) stay as they are.
+    """
     c = F.col(c) if isinstance(c, str) else c
-    return F.translate(c, "".join(source), "".join(target))
+    return F.translate(c, *_unaccented())
 
 
 @F.udf(VectorUDT())
@@ -67,7 +79,7 @@ def fit_text_features(df: DataFrame, text: str = "text", min_df: float = 2, max_
     ceiling = max_df if max_df < 1.0 else float(2 ** 63)
     cleaned = df.withColumn("_clean", strip_accents(F.lower(tx.text_of(text))))
     stages = [
-        RegexTokenizer(inputCol="_clean", outputCol="_words", pattern=r"\w\w+", gaps=False),
+        RegexTokenizer(inputCol="_clean", outputCol="_words", pattern=terms.WORD_OF_TWO, gaps=False),
         NGram(n=2, inputCol="_words", outputCol="_pairs"),
         SQLTransformer(statement="SELECT *, concat(_words, _pairs) AS _grams FROM __THIS__"),
         CountVectorizer(inputCol="_grams", outputCol="_tf", minDF=min_df, maxDF=ceiling,

@@ -264,7 +264,7 @@ ENGLISH_STOPWORDS = "english"
 
 def _gram_hashes(text: Column, stopwords: list[str]) -> Column:
     """64-bit hashes of the kept words and of their bigrams (tf preserved)."""
-    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]{2,}"), F.lit(0)),
+    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(terms.WORD_OF_TWO), F.lit(0)),
                      lambda w: ~w.isin(stopwords))
     hashed = F.transform(words, lambda w: F.xxhash64(w))
     shifted = F.slice(hashed, 2, F.greatest(F.size(hashed), F.lit(1)))

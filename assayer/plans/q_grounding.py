@@ -150,7 +150,7 @@ def _sql_gram_rows(key: str, text: str, table: str) -> str:
     return f"""
 SELECT record_id, {key}, term, count(*) AS tf FROM (
   SELECT record_id, {key}, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term
-  FROM (SELECT record_id, {key}, list_filter(regexp_extract_all(lower({text}), '[a-z0-9_][a-z0-9_]+'),
+  FROM (SELECT record_id, {key}, list_filter(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]{{2,}}'),
                lambda t: t NOT IN ({kept})) AS w FROM {table})) GROUP BY ALL"""
 
 

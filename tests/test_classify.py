@@ -44,3 +44,10 @@ def test_class_weights_are_balanced(spark):
     df = spark.createDataFrame([(0.0,)] * 3 + [(1.0,)], "label double")
     got = {r["label"]: r["w"] for r in cl.class_weights(df).groupBy("label").agg(F.max("weight").alias("w")).collect()}
     assert got == {0.0: pytest.approx(4 / 6), 1.0: pytest.approx(2.0)}
+
+
+def test_accents_and_words_of_any_script(spark):
+    df = spark.createDataFrame([("e\u0301clair ni\u00f1o \u03ac\u03bb\u03c6\u03b1 \u0439 \ufb01n",)], "text string")
+    assert df.select(cl.strip_accents("text")).first()[0] == "eclair nino \u03b1\u03bb\u03c6\u03b1 \u0438 \ufb01n"
+    fitted = cl.fit_text_features(df.unionAll(df), max_df=1.0)
+    assert "\u03b1\u03bb\u03c6\u03b1" in fitted.vocabulary and "nino" in fitted.vocabulary

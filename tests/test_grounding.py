@@ -88,6 +88,16 @@ def test_tfidf_against_definition(spark):
         assert r["best_evidence_sentence"] == best
 
 
+def test_tfidf_words_of_any_script(spark):
+    """``niño`` is one word: it matches itself, not a shared beginning, and not letter by letter."""
+    rows = [("a", "Niño enfermo estaba hoy.", "Nike enferma vino ayer. Niño enfermo estaba hoy."), ("b", "Größe größe größe größe.", "Gr e gr e gr e gr e.")]
+    df = spark.createDataFrame(rows, "record_id string, answer string, knowledge string")
+    got = {r["record_id"]: r for r in gr.claim_best_sentence_tfidf(df, ["record_id"], stopwords=[]).collect()}
+    assert got["a"]["semantic_claim_support_score"] == pytest.approx(1.0)
+    assert got["a"]["best_evidence_sentence"] == "Niño enfermo estaba hoy."
+    assert got["b"]["semantic_claim_support_score"] == 0.0
+
+
 def test_tfidf_without_evidence(spark):
     df = spark.createDataFrame([("x", "A claim of some length.", "")], "record_id string, answer string, knowledge string")
     row = gr.claim_best_sentence_tfidf(df, ["record_id"]).first()
