@@ -106,18 +106,6 @@ def _with_cleaner(model: PipelineModel, text: str) -> _CleaningModel:
     return _CleaningModel(model, text)
 
 
-ROWS_PER_TASK = 20_000
-
-
-def training_blocks(df: DataFrame, rows: int) -> DataFrame:
-    """Fewer, fuller partitions for small training sets; large ones keep theirs.
-
-    Every optimizer iteration is one job, so tiny partitions cost more in
-    scheduling than in arithmetic.
-    """
-    return df.coalesce(max(1, -(-rows // ROWS_PER_TASK)))
-
-
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """n / (classes * class count): balanced weights from one aggregation."""
     counts = df.groupBy(label).agg(F.count("*").alias("_c"))
@@ -164,10 +152,9 @@ def tfidf_lr_classifier(train: DataFrame, validation: DataFrame, text: str = "te
     check = fitted.transform(validation).select(label, "features").cache()
     try:
         rows = ready.count()
-        blocks = training_blocks(ready, rows)
         best, scores = None, []
         for c in candidates:
-            model = fit_logistic(blocks, c, rows, label)
+            model = fit_logistic(ready, c, rows, label)
             predicted = classifier_predictions(model, check, label, keep=[])
             macro = multiclass_summary(predicted, [0, 1], label="is_hallucinated").first()["macro_f1"]
             scores.append((c, float(macro)))
@@ -194,7 +181,7 @@ def embedding_lr_classifier(train: DataFrame, vector: str = "embedding", label:
                             c: float = 1.0) -> LogisticRegressionModel:
     ready = class_weights(vector_features(train, vector), label).select(label, "weight", "features")
     rows = train.count()
-    return fit_logistic(training_blocks(ready, rows), c, rows, label)
+    return fit_logistic(ready, c, rows, label)
 
 
 def vector_features(df: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -218,7 +205,7 @@ def ablation_metrics(train: DataFrame, test: DataFrame, label: str = "label",
         fitted = fit_text_features(view(train), **features)
         ready = class_weights(fitted.transform(view(train)), label).select(label, "weight", "features")
         rows = train.count()
-        model = fit_logistic(training_blocks(ready, rows), c, rows, label)
+        model = fit_logistic(ready, c, rows, label)
         predicted = classifier_predictions(model, fitted.transform(view(test)), label, keep=[])
         row = binary_metrics(predicted).withColumn("feature_set", F.lit(name))
         out = row if out is None else out.unionByName(row)

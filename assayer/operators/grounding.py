@@ -15,7 +15,6 @@ from assayer import terms
 from assayer.functions import arrays as ar, text as tx
 from assayer.operators.ranking import collapse_values, join_on, median_of
 from assayer.operators.tiles import tiled
-from assayer.session import materialize
 
 
 @dataclass(frozen=True)
@@ -99,13 +98,11 @@ def paired_answer_comparison(df: DataFrame, suffixes=("_ground_truth", "_halluci
 def paired_summary(pairs: DataFrame) -> DataFrame:
     """Means of the similarities and the median answer similarity.
 
-    The mean and the median read different columns, which would score the texts
-    twice; the narrow score table is written once instead.
+    Both read the collapsed values, so the texts are scored once.
     """
     others = ["knowledge_grounded_similarity", "knowledge_hallucinated_similarity",
               "grounding_similarity_delta", "clinical_direction_similarity"]
-    scores = materialize(pairs.select("answer_similarity", *others), "pairs")
-    values = collapse_values(scores, [], "answer_similarity", others)
+    values = collapse_values(pairs, [], "answer_similarity", others)
     mean = lambda c: (F.sum(f"_s_{c}") / F.sum("_n"))
     means = values.agg(
         F.sum("_n").alias("paired_examples"),
@@ -465,9 +462,9 @@ def best_vector_match(claims: DataFrame, evidence: DataFrame, record: str = "rec
     tiles = tiled(left, right, [record], claim_id, evidence_id, score,
                   f"`{record}` {kind[record]}, `{claim_id}` {kind[claim_id]}, "
                   f"`{evidence_id}` {kind[evidence_id]}, similarity double", block)
-    best = tiles.groupBy(record, claim_id).agg(F.max_by(
+    best = tiles.groupBy(record, claim_id).agg(F.min_by(
         F.struct("similarity", evidence_id),
-        F.struct(F.round("similarity", 12), -F.col(evidence_id))).alias("_b"))
+        F.struct(-F.round("similarity", 12), evidence_id)).alias("_b"))
     return best.select(record, claim_id, F.col("_b.similarity").alias("similarity"),
                        F.col(f"_b.{evidence_id}").alias(evidence_id))
 

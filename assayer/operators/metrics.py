@@ -126,15 +126,16 @@ def confusion_matrix(df: DataFrame, labels: list[str], label: str = "true_label"
 
 
 def roc_auc(df: DataFrame, score: str = "hallucination_probability",
-            label: str = "is_hallucinated", lo: float = 0.0, hi: float = 1.0) -> DataFrame:
+            label: str = "is_hallucinated") -> DataFrame:
     """Rank AUC with half credit for ties; null when one class is missing.  Null scores are left out.
 
     Rows collapse to distinct scores first; the running count of negatives uses
     bucket offsets instead of one global window.
     """
-    dist = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("_score")).agg(
+    dist = df.filter(F.col(score).isNotNull()).groupBy(
+        F.col(score).cast("double").alias("_score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    placed = running_totals(dist, "_score", ["neg"], lo, hi)
+    placed = running_totals(dist, "_score", ["neg"])
     totals = placed.agg(
         F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)).alias("_u"),
         F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))

@@ -65,9 +65,15 @@ def label_unmap(c: Column | str) -> Column:
 
 
 def headerless_pairs(df: DataFrame, cells: list[str]) -> DataFrame:
-    """First two non-empty cells of a ragged row; rows without one are dropped."""
-    cleaned = F.filter(F.array(*[tx.whitespace_clean(c) for c in cells]), lambda x: x != "")
+    """``pairs_of_cells`` of a row's columns ``cells``."""
     rest = [c for c in df.columns if c not in cells]
+    return pairs_of_cells(df.select(*rest, F.array(*cells).alias("_row")), "_row")
+
+
+def pairs_of_cells(df: DataFrame, cells: str) -> DataFrame:
+    """First two non-empty cells of a ragged row; rows without one are dropped."""
+    cleaned = F.filter(F.transform(cells, tx.whitespace_clean), lambda x: x != "")
+    rest = [c for c in df.columns if c != cells]
     return (df.select(*rest, cleaned.alias("_cells")).filter(F.size("_cells") > 0)
             .select(*rest, F.element_at("_cells", 1).alias("prompt_a"),
                     F.coalesce(F.try_element_at("_cells", F.lit(2)), F.lit("")).alias("prompt_b"))

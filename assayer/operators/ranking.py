@@ -2,12 +2,15 @@
 
 A plain ``row_number() over (partition by label order by ...)`` puts a whole
 label into one task.  Here rows are first spread over even buckets (hash digits,
-ranges of a sort, histogram bins), bucket sizes are summed map-side, and a rank
+ranges of a sort, quantile bins), bucket sizes are summed map-side, and a rank
 is *rows in earlier buckets + position inside the bucket*.
 """
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from assayer.session import materialize
@@ -77,47 +80,66 @@ def sorted_rank(df: DataFrame, order: list[str], by: list[str] = (),
             .drop("_id", "_part", "_row", "_first", "_offset"))
 
 
+SALTS = 64
+
+
 def top_n_per_group(df: DataFrame, by: list[str], order: list, n: int,
                     rank: str | None = None) -> DataFrame:
-    """First ``n`` rows of each group under a total order.
+    """First ``n`` rows of each group under a total order, for any ``n``.
 
-    ``row_number() <= n`` compiles to a group limit *before* the exchange as
-    long as ``n`` is below the optimizer's threshold, so a hot group sends at
-    most ``n`` rows per map task.
+    A group is first cut into ``SALTS`` parts that keep ``n`` rows each, so the
+    task that orders the group sees at most ``SALTS * n`` of its rows however
+    many it has.  Below the optimizer's threshold the same cut is a group limit
+    *before* the exchange, and the salted step is left out of the plan.
     """
     limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if n > limit:
-        raise ValueError(f"n={n} exceeds the group-limit threshold {limit}; use a rank operator")
     name = rank or "_rn"
-    out = df.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order)))
-    out = out.filter(F.col(name) <= n)
+    place = lambda rows, keys: (rows.withColumn(name, F.row_number().over(
+        W.partitionBy(*keys).orderBy(*order))).filter(F.col(name) <= n))
+    if n > limit:
+        salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+        df = place(salted, [*by, "_salt"]).drop("_salt", name)
+    out = place(df, by)
     return out if rank else out.drop(name)
 
 
 def collapse_values(df: DataFrame, by: list[str], value: str, sums: list[str] = ()) -> DataFrame:
-    """Distinct ``value`` per group with its row count ``_n`` and sums ``_s_<name>``.
+    """Distinct ``value`` per group with its row count ``_n`` and sums ``_s_<name>``.  Nulls are left out.
 
-    Combines map-side; everything below reads this one exchange, so the input
-    is scanned once whatever is asked of the distribution.
+    Combines map-side and is written to the shared folder once: everything
+    below reads this narrow table, so the input is computed once whatever is
+    asked of the distribution.
     """
     kept = df.filter(F.col(value).isNotNull())
-    return kept.groupBy(*by, F.col(value).cast("double").alias("_v")).agg(
-        F.count("*").alias("_n"), *[F.sum(c).alias(f"_s_{c}") for c in sums])
+    return materialize(kept.groupBy(*by, F.col(value).cast("double").alias("_v")).agg(
+        F.count("*").alias("_n"), *[F.sum(c).alias(f"_s_{c}") for c in sums]), "values")
+
+
+BINS = 1024
+
+
+def with_bins(values: DataFrame, column: str, bins: int) -> DataFrame:
+    """Add ``_b``: the bin of ``column``, in ascending order of its values.
+
+    The edges are approximate quantiles of the rows themselves (``bins`` doubles,
+    the only thing that reaches the driver), so bins stay even however narrow
+    or shifted the range is.  They steer balance only.
+    """
+    edges = values.approxQuantile(column, [i / bins for i in range(1, bins)], 1 / (4 * bins))
+    inner = sorted({e for e in edges if math.isfinite(e)}) or [0.0]
+    cut = Bucketizer(splits=[-math.inf, *inner, math.inf], inputCol=column, outputCol="_b",
+                     handleInvalid="keep")
+    return cut.transform(values).withColumn("_b", F.col("_b").cast("int"))
 
 
-def median_of(values: DataFrame, by: list[str], lo: float = 0.0, hi: float = 1.0,
-              bins: int = 4096, name: str = "median") -> DataFrame:
+def median_of(values: DataFrame, by: list[str], bins: int = BINS, name: str = "median") -> DataFrame:
     """Exact median per group of collapsed values.
 
-    A fixed histogram over ``[lo, hi]`` finds the bin(s) that hold the middle;
-    only those bins are ordered.  ``lo`` and ``hi`` steer balance only (outliers
-    go to the edge bins).
+    A histogram over quantiles of all distinct values finds the bin(s) that hold
+    the middle; only those bins are ordered.
     """
     by = list(by)
-    width = (hi - lo) / bins
-    slot = F.floor((F.col("_v") - lo) / width)
-    values = values.select(*by, "_v", "_n").withColumn(
-        "_b", F.greatest(F.lit(0), F.least(F.lit(bins - 1), slot)).cast("int"))
+    values = with_bins(values.select(*by, "_v", "_n"), "_v", bins)
     hist = values.groupBy(*by, "_b").agg(F.sum("_n").alias("_n"))
     # one row per bin, so these windows are small whatever the data size
     inside = W.partitionBy(*by)
@@ -143,9 +165,8 @@ def median_of(values: DataFrame, by: list[str], lo: float = 0.0, hi: float = 1.0
     return ends.select(*by, (F.col("_a") + (F.col("_z") - F.col("_a")) * 0.5).alias(name))
 
 
-def exact_median(df: DataFrame, by: list[str], value: str, lo: float = 0.0, hi: float = 1.0,
-                 name: str = "median") -> DataFrame:
-    return median_of(collapse_values(df, by, value), by, lo, hi, name=name)
+def exact_median(df: DataFrame, by: list[str], value: str, name: str = "median") -> DataFrame:
+    return median_of(collapse_values(df, by, value), by, name=name)
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
@@ -156,14 +177,13 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left
     return left.join(renamed, on, how).drop(*[f"_k_{k}" for k in keys])
 
 
-def running_totals(df: DataFrame, order: str, sums: list[str], lo: float = 0.0,
-                   hi: float = 1.0, bins: int = 4096) -> DataFrame:
+def running_totals(df: DataFrame, order: str, sums: list[str], bins: int = BINS) -> DataFrame:
     """Add ``<name>_before`` (sum over smaller ``order`` values) for each name.
 
-    ``order`` must be unique per row.  Same bucket-offset scheme as above.
+    ``order`` must be a double, unique per row and never null.  Same bucket-offset
+    scheme as above; the rows are written to the shared folder once.
     """
-    slot = F.floor((F.col(order) - lo) / ((hi - lo) / bins))
-    placed = df.withColumn("_b", F.greatest(F.lit(0), F.least(F.lit(bins - 1), slot)).cast("int"))
+    placed = with_bins(materialize(df, "totals"), order, bins)
     hist = placed.groupBy("_b").agg(*[F.sum(c).alias(f"_s_{c}") for c in sums])
     # at most ``bins`` rows reach this ungrouped window
     before = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)

@@ -1,4 +1,7 @@
-"""MLlib classifiers trained on the labelled documents (rows-only checks)."""
+"""MLlib classifiers trained on the labelled documents.
+
+A model's figures have no SQL form; the queries return what SQL can decide about them.
+"""
 
 from pyspark.sql import functions as F
 
@@ -6,7 +9,11 @@ from assayer.operators import classify as cl
 from assayer.operators.metrics import binary_metrics
 from assayer.operators.splits import hash_percent
 from assayer.plans import views as v
-from assayer.plans.registry import query
+from assayer.plans.registry import SQL_VIEWS, query
+
+RATES = ["accuracy", "precision", "recall", "f1_score"]
+SQL_VIEWS["slotted"] = """
+SELECT record_id, is_hallucinated, CAST('0x' || substr(md5(record_id), 1, 8) AS BIGINT) % 100 AS slot FROM answers"""
 
 
 def _rows(spark, sf_dir):
@@ -21,44 +28,84 @@ def _parts(rows):
     return rows.filter(slot < 60), rows.filter((slot >= 60) & (slot < 80)), rows.filter(slot >= 80)
 
 
+_FITTED = {}
+
+
 def _fit(spark, sf_dir):
+    """The fitted classifier of a session and a folder; three queries share it."""
     train, validation, test = _parts(_rows(spark, sf_dir))
-    return cl.tfidf_lr_classifier(train, validation), validation, test
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FITTED:
+        _FITTED.clear()
+        _FITTED[key] = cl.tfidf_lr_classifier(train, validation)
+    return _FITTED[key], validation, test
+
+
+def _checked(metrics, *keep):
+    """Row and label counts, and whether all rates lie in [0, 1]."""
+    inside = [F.col(c).between(0.0, 1.0) for c in RATES]
+    sound = inside[0] & inside[1] & inside[2] & inside[3]
+    return metrics.select(*keep, "rows", (F.col("true_positives") + F.col("false_negatives")).alias("positives"),
+                          sound.alias("rates_in_range"))
 
 
-@query("tfidf_lr_classifier")
+@query("tfidf_lr_classifier", """
+SELECT count(*) AS rows, count(*) FILTER (WHERE is_hallucinated = 1) AS positives, true AS rates_in_range,
+       true AS candidate_selected FROM slotted WHERE slot >= 80""")
 def _(spark, sf_dir):
     fitted, _, test = _fit(spark, sf_dir)
     predicted = cl.classifier_predictions(fitted.model, fitted.features.transform(test))
-    return binary_metrics(predicted).withColumn("selected_c", F.lit(fitted.best_c))
+    best = max(fitted.candidates, key=lambda found: found[1])  # the first of equals
+    return _checked(binary_metrics(predicted)).withColumn(
+        "candidate_selected", F.lit(fitted.best_c in cl.CANDIDATE_C and fitted.best_c == best[0]))
 
 
-@query("classifier_predictions")
+@query("classifier_predictions", """
+SELECT record_id, is_hallucinated, CASE WHEN slot < 80 THEN 'validation' ELSE 'test' END AS split,
+       true AS probabilities_sum_to_one, true AS prediction_follows, true AS margin_is_gap
+FROM slotted WHERE slot >= 60""")
 def _(spark, sf_dir):
     fitted, validation, test = _fit(spark, sf_dir)
     part = lambda df, name: cl.classifier_predictions(
         fitted.model, fitted.features.transform(df)).withColumn("split", F.lit(name))
-    return part(validation, "validation").unionByName(part(test, "test"))
+    p, q = F.col("hallucination_probability"), F.col("probability_supported")
+    return part(validation, "validation").unionByName(part(test, "test")).select(
+        "record_id", "is_hallucinated", "split",
+        (p.between(0.0, 1.0) & q.between(0.0, 1.0) & (F.abs(p + q - 1) < 1e-9)).alias("probabilities_sum_to_one"),
+        ((p >= 0.5) == (F.col("predicted_label") == 1)).alias("prediction_follows"),
+        (F.abs(F.col("confidence_margin") - F.abs(p - q)) < 1e-9).alias("margin_is_gap"))
 
 
-@query("top_features")
+@query("top_features", """
+SELECT direction, 50 AS features, true AS right_order FROM (VALUES ('hallucinated'), ('grounded')) t(direction)""")
 def _(spark, sf_dir):
     fitted, _, _ = _fit(spark, sf_dir)
-    return cl.top_features(fitted, spark)
+    top = cl.top_features(fitted, spark)
+    weights = fitted.model.coefficients.toArray()
+    edge = F.when(F.col("direction") == "hallucinated", F.max("coefficient") == float(weights.max())).otherwise(
+        F.min("coefficient") == float(weights.min()))
+    return top.groupBy("direction").agg(
+        F.count_distinct("feature").cast("int").alias("features"), edge.alias("right_order"))
 
 
-@query("embedding_lr_classifier")
+@query("embedding_lr_classifier", """
+SELECT count(*) AS rows, count(*) FILTER (WHERE label >= 5) AS positives, true AS rates_in_range
+FROM embeddings WHERE CAST('0x' || substr(md5(CAST(vec_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 >= 80""")
 def _(spark, sf_dir):
     rows = v.vectors(spark, sf_dir).select(
         F.col("vec_id").cast("string").alias("record_id"), "embedding",
         (F.col("label") >= 5).cast("double").alias("label"), hash_percent("vec_id").alias("_slot"))
     train, test = rows.filter(F.col("_slot") < 80), rows.filter(F.col("_slot") >= 80)
     model = cl.embedding_lr_classifier(train)
-    return binary_metrics(cl.classifier_predictions(model, cl.vector_features(test)))
+    return _checked(binary_metrics(cl.classifier_predictions(model, cl.vector_features(test))))
 
 
-@query("ablation_metrics")
+@query("ablation_metrics", """
+SELECT feature_set, count(*) AS rows, count(*) FILTER (WHERE is_hallucinated = 1) AS positives,
+       true AS rates_in_range
+FROM slotted, (VALUES ('full_question_knowledge_answer'), ('answer_only'), ('question_knowledge_only')) f(feature_set)
+WHERE slot >= 80 GROUP BY feature_set""")
 def _(spark, sf_dir):
     rows = _rows(spark, sf_dir)
-    return cl.ablation_metrics(rows.filter(F.col("_slot") < 80), rows.filter(F.col("_slot") >= 80),
-                               vocabulary=20_000)
+    return _checked(cl.ablation_metrics(rows.filter(F.col("_slot") < 80), rows.filter(F.col("_slot") >= 80)),
+                    "feature_set")

@@ -60,7 +60,7 @@ def _(spark, sf_dir):
             .otherwise(F.concat_ws(",", quoted("question"), F.lit(" "), quoted("answer"))))
     path = scratch_path(spark, "pairs") + ".csv"
     v.pairs(spark, sf_dir).select(line.alias("value")).write.text(path)
-    pairs = readers.read_headerless_pairs(spark, path, max_cells=4)
+    pairs = readers.read_headerless_pairs(spark, path)
     return pairs.groupBy("prompt_type", "has_pair").agg(
         F.count("*").alias("rows"), F.sum(F.length("prompt_a")).alias("chars_a"),
         F.sum(F.length("prompt_b")).alias("chars_b"))

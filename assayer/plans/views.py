@@ -209,25 +209,54 @@ def vectors(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "embeddings")
 
 
+def evidence_table(spark, sf_dir) -> DataFrame:
+    """Every vector with a text id and, where a document has its number, that document as evidence."""
+    d = documents(spark, sf_dir).select(F.col("doc_id").alias("vec_id"), "source", F.col("text").alias("evidence"))
+    return vectors(spark, sf_dir).join(d, "vec_id", "left").select(
+        F.concat(F.lit("e"), "vec_id").alias("evidence_id"), "vec_id", "embedding",
+        F.when(F.col("vec_id") % 5 == 0, "validation").otherwise("train").alias("split"),
+        F.concat(F.lit("topic "), "label").alias("question"), "source", "evidence")
+
+
 def corpus(spark, sf_dir) -> DataFrame:
-    return vectors(spark, sf_dir).filter(F.col("vec_id") % 10 != 0)
+    return evidence_table(spark, sf_dir).filter(F.col("vec_id") % 10 != 0)
 
 
 def query_vectors(spark, sf_dir) -> DataFrame:
-    return vectors(spark, sf_dir).filter(F.col("vec_id") % 10 == 0)
+    return vectors(spark, sf_dir).filter(F.col("vec_id") % 10 == 0).select(
+        F.concat(F.lit("q"), "vec_id").alias("query_id"), "embedding")
+
+
+def near_queries(spark, sf_dir) -> DataFrame:
+    """One query near each vector: it and a smaller part of the next one."""
+    e = vectors(spark, sf_dir)
+    after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("_next"))
+    mixed = F.when(F.col("_next").isNull(), F.col("embedding").cast("array<double>")).otherwise(
+        F.zip_with(F.col("embedding").cast("array<double>"), F.col("_next").cast("array<double>"),
+                   lambda x, y: x + 0.6 * y))
+    norm = F.sqrt(F.aggregate("_m", F.lit(0.0), lambda a, x: a + x * x))
+    return (e.join(after, "vec_id", "left").withColumn("_m", mixed)
+            .select("vec_id", F.transform("_m", lambda x: x / norm).alias("embedding")))
 
 
 SQL_VIEWS["corpus_vecs"] = """
-SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding, label FROM embeddings WHERE vec_id % 10 <> 0"""
+SELECT 'e' || e.vec_id AS record_id, CAST(embedding AS DOUBLE[]) AS embedding,
+       CASE WHEN e.vec_id % 5 = 0 THEN 'validation' ELSE 'train' END AS split,
+       'topic ' || label AS question, d.source, d.text AS evidence
+FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id WHERE e.vec_id % 10 <> 0"""
 SQL_VIEWS["query_vecs"] = """
-SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding, label FROM embeddings WHERE vec_id % 10 = 0"""
+SELECT 'q' || vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings WHERE vec_id % 10 = 0"""
 # exact top 3 with the fixture guard
 SQL_VIEWS["topk_hits"] = """
 SELECT query_id, rank, record_id, round(score, 3) AS similarity_score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, record_id) AS rank FROM (
-    SELECT q.vec_id AS query_id, c.vec_id AS record_id,
-           round(list_dot_product(q.embedding, c.embedding), 12) AS score
+    SELECT q.query_id, c.record_id, round(list_dot_product(q.embedding, c.embedding), 12) AS score
     FROM query_vecs q, corpus_vecs c) WHERE score >= 0.30) WHERE rank <= 3"""
+SQL_VIEWS["near_vecs"] = """
+SELECT vec_id, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) AS embedding FROM (
+  SELECT e.vec_id, CASE WHEN n.vec_id IS NULL THEN CAST(e.embedding AS DOUBLE[]) ELSE list_transform(
+      list_zip(CAST(e.embedding AS DOUBLE[]), CAST(n.embedding AS DOUBLE[])), lambda p: p[1] + 0.6 * p[2]) END AS m
+  FROM embeddings e LEFT JOIN embeddings n ON n.vec_id = e.vec_id + 1)"""
 
 
 def claim_vectors(spark, sf_dir) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import os
+from itertools import islice
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from assayer.operators.normalize import headerless_pairs
+from assayer.operators.normalize import pairs_of_cells
 from assayer.sources.schemas import OBJECT_MAP
 
 
@@ -37,21 +41,31 @@ def read_csv_typed(spark: SparkSession, path: str, schema: StructType) -> DataFr
     return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
-def read_headerless_pairs(spark: SparkSession, path: str, max_cells: int = 64) -> DataFrame:
+def read_headerless_pairs(spark: SparkSession, path: str) -> DataFrame:
     """Ragged CSV without header -> prompt_a / prompt_b per row.
 
-    ``source_row`` is the row's own hash, so it does not depend on file order.
+    A row may have any number of cells.  ``source_row_id`` is the row's position in
+    its file (from 0, blank lines left out), and ``record_id`` names the data set and
+    the whole hash of path and position, so equal rows keep ids of their own.
+    Quoted cells may hold line breaks, hence one task parses a file.
     """
-    cells = [f"c{i}" for i in range(max_cells)]
-    raw = (spark.read.schema(", ".join(f"{c} string" for c in cells))
-           .options(header=False, multiLine=True, quote='"', escape='"', mode="PERMISSIVE")
-           .csv(path))
-    file = F.regexp_extract(F.col("_metadata.file_name"), r"([^/]+)$", 1)
+    def rows(batches):
+        csv.field_size_limit(2**31 - 1)
+        for batch in batches:
+            for file, text in zip(batch["source_path"], batch["value"], strict=True):
+                lines = (r for r in csv.reader(io.StringIO(text, newline="")) if r)
+                for start, part in enumerate(iter(lambda: list(islice(lines, 4096)), [])):
+                    yield pd.DataFrame({"source_path": file, "cells": part,
+                                        "source_row_id": range(start * 4096, start * 4096 + len(part))})
+
+    whole = spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("source_path"), "value")
+    raw = whole.mapInPandas(rows, "source_path string, cells array<string>, source_row_id long")
+    file = F.regexp_extract("source_path", r"([^/]+)$", 1)
     named = raw.withColumn("source_file", file).withColumn(
         "dataset_name", F.regexp_replace("source_file", r"\.csv$", ""))
-    pairs = headerless_pairs(named, cells)
-    return pairs.withColumn("record_id", F.concat_ws("_", "dataset_name", F.substring(
-        F.md5(F.concat_ws("\u0001", "prompt_a", "prompt_b")), 1, 12)))
+    return pairs_of_cells(named, "cells").withColumn("record_id", F.concat_ws("_", "dataset_name", F.md5(
+        F.concat_ws("|", "source_path", "source_row_id")))).drop("source_path")
 
 
 def read_object_map_json(spark: SparkSession, path: str, value_type: str = OBJECT_MAP,

@@ -151,13 +151,30 @@ def test_guard_boundary_is_kept(spark):
     assert (status["status"], status["sources"]) == ("no_relevant_evidence", 0)
 
 
-def test_lsh_recall(vectors):
-    _, _, df = vectors
-    df = df.select(F.col("item").alias("vec_id"), "embedding")
-    q, c = df.filter("vec_id % 10 = 0"), df.filter("vec_id % 10 != 0")
-    exact = rt.topk_retrieve(q, c, guard=0.7)
-    approximate = rt.topk_retrieve_lsh(q, c, guard=0.7, bucket_length=2.0, tables=10)
-    assert rt.retrieval_recall(approximate, exact).first()["recall"] > 0.9
+def test_cells_find_near_vectors_with_few_comparisons(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(1200, 32))
+    near = base + 0.35 * rng.normal(size=base.shape)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    frame = lambda m: spark.createDataFrame(
+        [(i, r.tolist()) for i, r in enumerate(unit(m))], "vec_id long, embedding array<double>")
+    q, c = frame(near), frame(base)
+    centres = rt.fit_cells(c, cells=48)
+    recall = rt.retrieval_recall(rt.topk_retrieve_cells(q, c, centres, probes=4), rt.topk_retrieve(q, c)).first()
+    assert recall["expected"] >= 1000 and recall["recall"] >= 0.9
+    assert rt.candidate_share(q, c, centres, probes=4).first()["share"] < 0.12
+
+
+def test_text_ids_and_evidence(spark):
+    q = spark.createDataFrame([("q1", [1.0, 0.0]), ("q2", None)], "id string, embedding array<double>")
+    c = spark.createDataFrame([("b", [1.0, 0.0], "of b"), ("a", [1.0, 0.0], "of a"), ("c", None, "of c")],
+                              "id string, embedding array<double>, text string")
+    found = rt.with_evidence(rt.topk_retrieve(q, c, query_id="id", corpus_id="id"), c, "id", ["text"])
+    assert [(r["query_id"], r["rank"], r["record_id"], r["text"]) for r in found.orderBy("rank").collect()] == [
+        ("q1", 1, "a", "of a"), ("q1", 2, "b", "of b")]
+    claims = q.select(F.lit(1).alias("record_id"), F.col("id").alias("claim_id"), "embedding").filter("claim_id = 'q1'")
+    evidence = c.filter("text <> 'of c'").select(F.lit(1).alias("record_id"), F.col("id").alias("evidence_id"), "embedding")
+    assert gr.best_vector_match(claims, evidence).first()["evidence_id"] == "a"
 
 
 def test_vector_grounding_branches(spark):

@@ -9,7 +9,6 @@ import __spark_entry__ as entry
 from tests.oracle import compare, duck
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-SLOW = {"tfidf_lr_classifier", "classifier_predictions", "top_features", "ablation_metrics"}
 QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 
 
@@ -24,7 +23,7 @@ def test_query_equals_sql(spark, con, key):
     assert problem in (None, "both empty")
 
 
-@pytest.mark.parametrize("key", [k for k in QUERIES if k not in ORACLE and k not in SLOW])
+@pytest.mark.parametrize("key", [k for k in QUERIES if k not in ORACLE])
 def test_query_has_rows(spark, key):
     assert QUERIES[key](spark, SF).count() > 0
 

@@ -61,8 +61,28 @@ def test_top_n_limits_before_the_exchange(skewed):
     plan = top._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
     assert top.filter("g = 'hot'").count() == 3
-    with pytest.raises(ValueError):
-        rk.top_n_per_group(df, ["g"], ["id"], 5000)
+
+
+def test_top_n_of_any_size(spark):
+    df = spark.range(0, 24_000, numPartitions=7).selectExpr("id", "CAST(id % 2 AS string) AS g", "-id AS v")
+    got = rk.top_n_per_group(df, ["g"], ["v"], 5000, rank="rank")
+    assert sorted((r["g"], r["n"], r["lo"]) for r in got.groupBy("g").agg(
+        F.count("*").alias("n"), F.min("id").alias("lo")).collect()) == [("0", 5000, 14000), ("1", 5000, 14001)]
+    assert got.filter("g = '1' AND rank = 5000").first()["id"] == 14001
+
+
+def test_values_in_a_narrow_range_spread_over_bins(spark):
+    df = spark.range(20_000).select((F.lit(0.999) + F.col("id") * 1e-11).alias("v"))
+    sizes = [r["count"] for r in rk.with_bins(df, "v", 64).groupBy("_b").count().collect()]
+    assert len(sizes) > 48 and max(sizes) < 4 * 20_000 / 64
+    assert rk.exact_median(df, [], "v").first()["median"] == pytest.approx(0.999 + 9999.5e-11, abs=1e-13)
+    assert rk.exact_median(df.limit(0), [], "v").first()["median"] is None
+
+
+def test_auc_leaves_null_scores_out(spark):
+    df = spark.createDataFrame([(0.9, 1), (0.1, 0), (None, 0)], "v double, y int")
+    got = mt.roc_auc(df, "v", "y").first()
+    assert (got["roc_auc"], got["negatives"]) == (1.0, 1)
 
 
 def test_roc_auc_against_all_pairs(skewed, spark):

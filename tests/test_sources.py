@@ -31,11 +31,21 @@ def test_headerless_pairs(spark, tmp_path):
     f = tmp_path / "prompts.csv"
     f.write_text('only one\n,"second  cell",third,fourth\n , \na,"b\nc"\n')
     got = sorted((r["prompt_a"], r["prompt_b"], r["prompt_type"], r["dataset_name"])
-                 for r in readers.read_headerless_pairs(spark, str(f), 6).collect())
+                 for r in readers.read_headerless_pairs(spark, str(f)).collect())
     assert got == [("a", "b c", "paired_prompt", "prompts"), ("only one", "", "single_prompt", "prompts"),
                    ("second cell", "third", "paired_prompt", "prompts")]
 
 
+def test_headerless_rows_of_any_width(spark, tmp_path):
+    wide = [""] * 200
+    wide[70], wide[199] = "first", "second"
+    (tmp_path / "w.csv").write_text(",".join(wide) + "\nsame,pair\nsame,pair\n" + '"' + "x" * 200_000 + '"\n')
+    got = {r["source_row_id"]: r for r in readers.read_headerless_pairs(spark, str(tmp_path / "w.csv")).collect()}
+    assert (got[0]["prompt_a"], got[0]["prompt_b"]) == ("first", "second")
+    assert got[1]["prompt_a"] == got[2]["prompt_a"] and len({r["record_id"] for r in got.values()}) == 4
+    assert len(got[3]["prompt_a"]) == 200_000
+
+
 def test_object_map(spark, tmp_path):
     doc = {"1": {"QUESTION": "q", "CONTEXTS": ["a", "b"], "final_decision": "yes"},
            "02": {"QUESTION": "p", "CONTEXTS": [], "final_decision": "no"}}
