@@ -279,7 +279,10 @@ def normalise_nested_list(c: Column | str, separator: str = "\n") -> Column:
 
 def normalise_nested_map(c: Column | str, as_json: bool = True,
                          separator: str = " ") -> Column:
+    """A map of texts as JSON, with a blank after each colon and comma, or its values only."""
     c = _col(c)
     if as_json:
-        return F.coalesce(F.to_json(c), F.lit(""))
+        quoted = lambda x: F.regexp_extract(F.to_json(F.array(x)), r"(?s)^\[(.*)\]$", 1)
+        pairs = F.transform(F.map_entries(c), lambda e: F.concat(quoted(e["key"]), F.lit(": "), quoted(e["value"])))
+        return F.coalesce(F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}")), F.lit(""))
     return F.coalesce(F.array_join(F.map_values(c), separator), F.lit(""))

@@ -104,7 +104,7 @@ def _(spark, sf_dir):
 
 @query("normalise_nested_text", """
 SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN md5(lang || chr(10) || source || chr(10) || text)
-    WHEN 1 THEN md5(CAST(to_json({'lang': lang, 'source': source}) AS VARCHAR))
+    WHEN 1 THEN md5('{"lang": ' || CAST(to_json(lang) AS VARCHAR) || ', "source": ' || CAST(to_json(source) AS VARCHAR) || '}')
     WHEN 2 THEN md5(lang || ' ' || source) ELSE md5('') END AS text_md5
 FROM documents""")
 def _(spark, sf_dir):

@@ -127,12 +127,12 @@ def test_whole_word_option(spark):
 
 
 def test_nested_text(spark):
-    df = spark.createDataFrame([(["a", "b"], {"k": "v"}, None)],
-                               "l array<string>, m map<string,string>, n array<string>")
+    df = spark.createDataFrame([(["a", "b"], 'v"\n]', None)], "l array<string>, v string, n array<string>")
+    df = df.withColumn("m", F.create_map(F.lit("k"), "v", F.lit("é"), F.lit(None).cast("string")))
     row = df.select(tx.normalise_nested_list("l").alias("a"), tx.normalise_nested_map("m").alias("b"),
                     tx.normalise_nested_map("m", as_json=False).alias("c"),
                     tx.normalise_nested_list("n").alias("d")).first()
-    assert tuple(row) == ("a\nb", '{"k":"v"}', "v", "")
+    assert tuple(row) == ("a\nb", '{"k": "v\\"\\n]", "é": null}', 'v"\n]', "")
 
 
 def test_set_scores(spark):
