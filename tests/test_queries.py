@@ -3,6 +3,7 @@
 import os
 import re
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -52,3 +53,13 @@ def test_text_scan_reads_needed_columns_only(spark):
                re.findall(r"ReadSchema: struct<([^>]*)>", plan)]
     assert {"doc_id", "text", "lang"} in schemas          # documents: no source, no n_chars
     assert all(s <= {"doc_id", "text", "lang", "item_id", ""} for s in schemas)
+
+
+def test_cell_recall_of_given_rows(spark):
+    from assayer.plans import views as v
+    rows = sorted((r["vec_id"], list(r["embedding"])) for r in v.vectors(spark, SF).collect())
+    m = np.array([x for _, x in rows], float)
+    near = (m[[i for i, (k, _) in enumerate(rows) if k % 20 == 0]] @ m.T).round(12) >= 0.30
+    got = QUERIES["topk_retrieve_cells"](spark, SF).first()
+    assert got["expected"] == np.minimum(near.sum(1), 3).sum() > near.any(1).sum()
+    assert got["recall"] >= 0.9 and round(got["found"] / got["expected"], 9) == got["recall"]
