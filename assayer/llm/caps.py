@@ -18,8 +18,9 @@ that are compared are exact.  A random pair shares a filter with probability 0.0
 beyond 10 ** 7 vectors want a higher ``cap`` with more ``codes``.
 
 Nulls and edges: vectors that are null, empty, zero or hold null or non-finite components link with
-nothing; so do vectors of a length other than the most common one of the table; a null id is
-returned with null component; rows that repeat an id are vectors of their own under it.
+nothing; vectors of each length are searched among themselves; a null id is returned with null
+component; rows that repeat an id are vectors of their own under it, each with its own result, and of
+equal rows one is kept.
 """
 
 from __future__ import annotations
@@ -87,37 +88,52 @@ def units(raw: list[bytes], kind: str, dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def valid_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``id`` and ``v`` (little-endian components) of the usable rows."""
+def numbered_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """``id``, ``v`` (little-endian components, null where not usable) and row number ``uid`` of all rows.
+
+    The numbers hold only once the table is written.
+    """
     kind = "<f4" if rows.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"
     v = F.col(vector_col) if kind == "<f4" else F.col(vector_col).cast("array<double>")
-    fine = (F.col("v").isNotNull() & (F.size("v") > 0)
+    fine = (F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)
             & F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
             & F.exists("v", lambda x: x != 0))
 
     def run(batches):
         for batch in batches:
-            out = [np.asarray(v.values).astype(kind).tobytes() for v in batch.column("v")]
+            out = [np.asarray(v.values).astype(kind).tobytes() if v.is_valid else None for v in batch.column("v")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], ["id", "v"])
 
-    source = rows.select(F.col(id_col).alias("id"), v.alias("v")).filter(fine & F.col("id").isNotNull())
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, v binary")
+    source = rows.select(F.col(id_col).alias("id"), v.alias("v"))
+    source = source.select("id", F.when(fine, F.col("v")).alias("v"))
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, v binary").withColumn(
+        "uid", F.monotonically_increasing_id())
 
 
-def filtered(classes: DataFrame, kind: str, dim: int, rotations: int, codes: int, cap: float) -> DataFrame:
-    """``classes`` with their ascending ``filters``."""
-    least, codes = fitted(dim, codes, cap)
-    columns = classes.columns
+def filtered(classes: DataFrame, kind: str, rotations: int, codes: int, cap: float) -> DataFrame:
+    """``classes`` with their ascending ``filters``, which vectors of one length share."""
+    columns, width = classes.columns, int(kind[-1])
 
     def run(batches):
-        families = [_code(dim, codes, seed) for seed in range(rotations)]
+        known: dict[int, tuple] = {}
         for batch in batches:
-            out = []
-            for at in range(0, batch.num_rows, 512):
-                x = units(batch.column("v").slice(at, 512).to_pylist(), kind, dim)
-                each = [[f + k * codes * codes for f in list_decode(x, *family, least)]
-                        for k, family in enumerate(families)]
-                out += [np.sort(np.concatenate(parts)).astype(np.int32) for parts in zip(*each, strict=True)]
+            out: list = [None] * batch.num_rows
+            raw = batch.column("v").to_pylist()
+            sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+            for size in np.unique(sizes).tolist():
+                dim = size // width
+                if dim not in known:  # families of one length at a time
+                    least, many = fitted(dim, codes, cap)
+                    known = {dim: (least, many, [_code(dim, many, seed) for seed in range(rotations)])}
+                least, many, families = known[dim]
+                places = np.flatnonzero(sizes == size)
+                for at in range(0, len(places), 512):
+                    some = places[at:at + 512].tolist()
+                    x = units([raw[i] for i in some], kind, dim)
+                    each = [[f + k * many * many for f in list_decode(x, *family, least)]
+                            for k, family in enumerate(families)]
+                    for i, parts in zip(some, zip(*each, strict=True), strict=True):
+                        out[i] = np.sort(np.concatenate(parts)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in columns), pa.array(out, pa.list_(pa.int32()))], [*columns, "filters"])
 
@@ -189,7 +205,7 @@ def _tile(own: int, ids, v: np.ndarray, many: np.ndarray, filters: list, side: n
     return weight, edges
 
 
-def tile_links(rows: DataFrame, kind: str, dim: int, threshold: float) -> DataFrame:
+def tile_links(rows: DataFrame, kind: str, threshold: float) -> DataFrame:
     """``a``, ``b``, ``links``: link weight of ``a`` where ``b`` is null, else a forest edge."""
     id_type = rows.schema["id"].dataType.simpleString()
 
@@ -197,14 +213,16 @@ def tile_links(rows: DataFrame, kind: str, dim: int, threshold: float) -> DataFr
         table = table.combine_chunks()
         column = lambda c: table.column(c).chunk(0)
         own, tile, many, side = (np.asarray(column(c)) for c in ("filter", "tile", "many", "side"))
-        v = units(column("v").to_pylist(), kind, dim)
+        raw = column("v")
         filters = [np.asarray(f.values) for f in column("filters")]
         ids, out = column("id"), ([], [], [])
         cuts = np.flatnonzero(np.concatenate([[True], (tile[1:] != tile[:-1]), [True]]))
         for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if e - s < 2:
                 continue
-            weight, edges = _tile(int(own[s]), range(e - s), v[s:e], many[s:e], filters[s:e], side[s:e], threshold)
+            part = raw.slice(s, e - s).to_pylist()  # of one length
+            v = units(part, kind, len(part[0]) // int(kind[-1]))
+            weight, edges = _tile(int(own[s]), range(e - s), v, many[s:e], filters[s:e], side[s:e], threshold)
             for i, w in weight.items():
                 out[0].append(s + i), out[1].append(None), out[2].append(w)
             for i, j in edges:
@@ -234,35 +252,31 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
                     threshold: float = THRESHOLD, rotations: int = ROTATIONS, codes: int = CODES,
                     cap: float = CAP, tile: int = TILE) -> DataFrame:
     """``id_col``, ``n_links``, ``component_id`` and ``kept`` for each row."""
-    usable = materialize(valid_vectors(rows, id_col, vector_col), "vectors")
-    shape = usable.groupBy(F.octet_length("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    every = materialize(numbered_vectors(rows, id_col, vector_col), "vectors")
     kind = "<f4" if rows.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"
-    dim = shape["n"] // int(kind[-1]) if shape else 1
-    usable = usable.filter(F.octet_length("v") == dim * int(kind[-1]))
-    classes = usable.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("many"))
-    coded = materialize(filtered(classes, kind, dim, rotations, codes, cap), "filters")
-    held = coded.select("id", F.explode("filters").alias("filter"))
-    busy = held.groupBy("filter").agg(F.count("*").alias("n")).filter("n > 1")
+    usable = every.filter("v IS NOT NULL")
+    # a class is named by its smallest id, a hash of its vector (so that names order alike on every run) and a row
+    classes = usable.groupBy("v").agg(F.min("id").alias("id"), F.min_by("uid", "id").alias("uid"), F.count("*").alias("many"))
+    classes = classes.select("v", F.struct("id", F.xxhash64("v").alias("mark"), "uid").alias("id"), "many")
+    coded = materialize(filtered(classes, kind, rotations, codes, cap), "filters")
+    held = coded.select("id", F.octet_length("v").alias("size"), F.explode("filters").alias("filter"))
+    busy = held.groupBy("size", "filter").agg(F.count("*").alias("n")).filter("n > 1")
     # filters beyond one tile are cut into blocks; each pair of blocks is a tile
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = (held.join(busy, "filter").withColumn("blocks", F.ceil(F.col("n") / tile).cast("int"))
+    dealt = (held.join(busy, ["size", "filter"]).withColumn("blocks", F.ceil(F.col("n") / tile).cast("int"))
              .withColumn("mine", mine)
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
     side = F.when(F.col("mine") == F.col("other"), -1).when(F.col("mine") < F.col("other"), 0).otherwise(1)
-    dealt = dealt.select("filter", "id", F.xxhash64("filter", low, high).alias("tile"), side.cast("int").alias("side"))
-    found = materialize(tile_links(dealt.join(coded, "id"), kind, dim, threshold), "links")
+    dealt = dealt.select("filter", "id", F.xxhash64("size", "filter", low, high).alias("tile"), side.cast("int").alias("side"))
+    found = materialize(tile_links(dealt.join(coded, "id"), kind, threshold), "links")
     root = components(found.filter("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "first")
     counts = found.filter("b IS NULL").groupBy(F.col("a").alias("first")).agg(F.sum("links").alias("links"))
-    known = (classes.withColumnRenamed("id", "first").join(root, "first", "left").join(counts, "first", "left")
+    known = (coded.select("v", F.col("id").alias("first"), "many").join(root, "first", "left").join(counts, "first", "left")
              .select("v", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"),
                      F.coalesce("root", "first").alias("root")))
-    known = usable.join(known, "v").select("id", "n_links", "root")
-    # rows that are not usable, and as many results per id as it has rows
-    known = known.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("root", "n_links"))).alias("found"))
-    numbered = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("w"))
-    out = numbered.join(known, "id", "left")
-    out = out.withColumn("best", F.element_at("found", 1))
-    component = F.when(F.col("id").isNotNull(), F.coalesce("best.root", "id"))
-    return out.select(F.col("id").alias(id_col), F.coalesce("best.n_links", F.lit(0)).cast("long").alias("n_links"),
-                      component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    linked = usable.join(known, "v").select("id", "n_links", F.col("root.id").alias("component"),
+                                            (F.col("root.uid") == F.col("uid")).alias("kept"))
+    alone = every.filter("v IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"),
+                                             F.when(F.col("id").isNotNull(), True).alias("kept"))
+    return linked.unionAll(alone).select(F.col("id").alias(id_col), "n_links", F.col("component").alias("component_id"), "kept")

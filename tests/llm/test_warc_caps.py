@@ -104,3 +104,13 @@ def test_vector_edges(spark):
     assert same == [(1, 3, 1), (2, 3, 1), (2, 3, 1), (8, 3, 1)]
     assert all(n == 0 for i, n, _ in got if i not in (1, 2, 8))
     assert caps.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_rows_of_an_id_and_lengths_have_results_of_their_own(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [0.0, 1.0]), (2, None), (3, [0.0, 1.0, 0.0]), (4, [0.0, 1.0, 0.0]),
+            (5, [5.0]), (6, [7.0]), (7, [0.0, 2.0, 0.0]), (8, [-1.0, 0.0]), (8, [-1.0, 0.0]), (None, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(((x.vec_id or 0, x.n_links, x.component_id, x.kept) for x in caps.near_duplicates(df).collect()), key=str)
+    assert got == sorted([
+        (1, 1, 1, True), (2, 1, 1, False), (2, 0, 2, True), (2, 0, 2, True), (3, 2, 3, True), (4, 2, 3, False),
+        (5, 1, 5, True), (6, 1, 5, False), (7, 2, 3, False), (8, 1, 8, True), (8, 1, 8, False), (0, 0, None, None)], key=str)
