@@ -2,9 +2,10 @@
 
 Writing: a record is a run of lines, each a row of Spark's text writer, which puts a line feed after
 every row.  Header lines carry their own carriage return; a payload is cut after line feeds into
-chunks of about ``CHUNK`` bytes, so no record is ever put together as a whole.  (A chunk is longer
-only where a single line is.)  Archives are gzip files; readers unpack them as streams and never
-split them, so each is read by one task in order, at most ``max_records`` lines a file.
+chunks of ``CHUNK`` to twice ``CHUNK`` bytes, so no record is ever put together as a whole.  Where no
+line feed comes in time, the record ends as a segment and goes on in a continuation record (WARC 1.1
+segmentation) behind it in the same archive.  Archives are gzip files; readers unpack them as streams
+and never split them, so each is read by one task in order; a partition is one archive of any length.
 
 Reading: a state machine walks the lines and gives one row per chunk, (record id, chunk number,
 bytes), with the digest and length so far carried along; the last chunk of a record has the totals.
@@ -31,7 +32,6 @@ from assayer.session import scratch_path
 
 CHUNK = 64 << 10
 LEAST = 100
-MAX_LINES = 2_000_000
 DATE = "2000-01-01T00:00:00Z"  # archives of equal tables are equal
 
 
@@ -48,39 +48,59 @@ def with_references(pages: DataFrame, id_col: str, payload_col: str, least: int
                          F.when(F.col("id") > F.col("first"), F.col("first")).alias("refers_to"))
 
 
-def _chunks(data: bytes) -> Iterator[bytes]:
-    """Pieces without the line feed that ended them; the last is what follows the last cut."""
-    at = 0
+def _segments(data: bytes) -> Iterator[list[bytes]]:
+    """Pieces without the line feed that ended them, in runs; a run ends where no line feed did, between characters."""
+    at, run = 0, []
     while len(data) - at > CHUNK:
-        cut = data.find(b"\n", at + CHUNK)
-        if cut < 0:
+        cut = data.find(b"\n", at + CHUNK, at + 2 * CHUNK)
+        if cut >= 0:
+            run.append(data[at:cut])
+            at = cut + 1
+            continue
+        cut = at + 2 * CHUNK
+        if cut >= len(data):
             break
-        yield data[at:cut]
-        at = cut + 1
-    yield data[at:]
+        while data[cut] & 0xC0 == 0x80:
+            cut -= 1
+        yield [*run, data[at:cut]]
+        at, run = cut, []
+    yield [*run, data[at:]]
 
 
 def record_lines(name: str, payload: bytes, digest: str, size: int, refers_to: str | None) -> Iterator[bytes]:
-    """A record as rows that a line feed follows each."""
+    """A record, or its segments, as rows that a line feed follows each."""
     kind = "response" if refers_to is None else "revisit"
     ident = uuid.uuid5(uuid.NAMESPACE_URL, f"{name} {digest}")
-    head = [b"WARC/1.1", f"WARC-Type: {kind}".encode(), f"WARC-Record-ID: <urn:uuid:{ident}>".encode(),
-            f"WARC-Date: {DATE}".encode(), f"WARC-Target-URI: page:{name}".encode(),
+    about = [f"WARC-Date: {DATE}".encode(), f"WARC-Target-URI: page:{name}".encode()]
+    head = [b"WARC/1.1", f"WARC-Type: {kind}".encode(), f"WARC-Record-ID: <urn:uuid:{ident}>".encode(), *about,
             f"WARC-Payload-Digest: sha256:{digest}".encode(), f"X-Payload-Length: {size}".encode()]
     if refers_to is not None:
         head += [b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
                  f"WARC-Refers-To-Target-URI: page:{refers_to}".encode()]
-    body = payload if refers_to is None else b""
-    for line in [*head, f"Content-Length: {len(body)}".encode(), b""]:
-        yield line + b"\r"
-    *most, last = _chunks(body)
-    yield from most
-    yield last + b"\r"
-    yield b"\r"
+    segments = _segments(payload if refers_to is None else b"")
+    run, number = next(segments), 1
+    while run is not None:
+        after = next(segments, None)
+        if number > 1:
+            own = uuid.uuid5(ident, str(number))
+            head = [b"WARC/1.1", b"WARC-Type: continuation", f"WARC-Record-ID: <urn:uuid:{own}>".encode(), *about,
+                    f"WARC-Segment-Origin-ID: <urn:uuid:{ident}>".encode()]
+        if number > 1 or after is not None:
+            head.append(f"WARC-Segment-Number: {number}".encode())
+        if number > 1 and after is None:
+            head.append(f"WARC-Segment-Total-Length: {size}".encode())
+        length = sum(map(len, run)) + len(run) - 1
+        for line in [*head, f"Content-Length: {length}".encode(), b""]:
+            yield line + b"\r"
+        *most, last = run
+        yield from most
+        yield last + b"\r"
+        yield b"\r"
+        run, number = after, number + 1
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", payload_col: str = "html",
-          least: int = LEAST, max_lines: int = MAX_LINES) -> None:
+          least: int = LEAST) -> None:
     """Write gzip archives below ``path``."""
     def run(batches):
         for batch in batches:
@@ -114,6 +134,7 @@ class Reader:
         self.head: list[bytes] | None = []
         self.record: dict[str, str] = {}
         self.left = self.number = self.size = self.tail = 0
+        self.final = True  # no continuation follows
         self.digest = hashlib.sha256()
 
     def _row(self, part: bytes, last: bool) -> tuple:
@@ -132,16 +153,19 @@ class Reader:
             if line != b"\r":
                 self.head.append(line.removesuffix(b"\r"))
                 return
-            self.record, self.head = _header(self.head), None
-            self.left, self.number, self.size = int(self.record["content-length"]), 0, 0
-            self.digest = hashlib.sha256()
+            header, self.head = _header(self.head), None
+            self.left = int(header["content-length"])
+            self.final = "warc-segment-number" not in header or "warc-segment-total-length" in header
+            if header["warc-type"] != "continuation":
+                self.record, self.number, self.size = header, 0, 0
+                self.digest = hashlib.sha256()
         else:
             part = line + b"\n" if len(line) < self.left else line[:self.left]
             self.left -= len(part)
             self.size += len(part)
             self.digest.update(part)
             done = self.left == 0 and len(line) >= len(part)
-            yield self._row(part, done)
+            yield self._row(part, done and self.final)
             if done:  # what is left of the line is the first of two closing line ends
                 self.head, self.tail = [], 1
 

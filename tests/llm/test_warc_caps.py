@@ -51,6 +51,32 @@ def test_archive_bytes_and_edges(spark, tmp_path):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_payloads_without_line_feeds_are_cut(spark, tmp_path):
+    one, wide = "x" * 1_000_000, "aé" * 300_000
+    mixed = "\n" + "y" * 300_000 + "\n" + "z" * 10 + "\n" * 140_000 + "w" * (2 * warc.CHUNK) + "\r\n"
+    edge = "v" * (2 * warc.CHUNK) + "\n" + "u" * (2 * warc.CHUNK + 1)
+    rows = [(1, one), (2, wide), (3, mixed), (4, edge), (5, one), (6, "short")]
+    df = spark.createDataFrame(rows, "page_id long, html string").coalesce(1)
+    warc.write(df, str(tmp_path / "w"))
+    raw = b"".join(gzip.decompress(p.read_bytes()) for p in sorted((tmp_path / "w").glob("*.gz")))
+    assert max(map(len, raw.split(b"\n"))) <= 2 * warc.CHUNK + 1
+    chunks = warc.read_chunks(spark, str(tmp_path / "w"))
+    assert chunks.agg(F.max(F.octet_length("bytes"))).first()[0] <= 2 * warc.CHUNK + 1
+    assert sorted(map(tuple, warc.index(chunks, "bigint").collect()), key=str) == index_of(rows)
+    whole = {r.target: bytes(r.payload).decode() for r in warc.assemble(chunks).collect()}
+    assert whole == {str(i): html for i, html in rows if i != 5}
+    # as any reader of the format would: by lengths alone, segments put behind their origin
+    at, found = 0, defaultdict(bytes)
+    while at < len(raw):
+        end = raw.index(b"\r\n\r\n", at)
+        head = dict(x.split(b": ", 1) for x in raw[at:end].split(b"\r\n")[1:])
+        at = end + 4 + int(head[b"Content-Length"])
+        found[head.get(b"WARC-Segment-Origin-ID", head[b"WARC-Record-ID"])] += raw[end + 4:at]
+        assert raw[at:at + 4] == b"\r\n\r\n"
+        at += 4
+    assert sorted(found.values()) == sorted(html.encode() if i != 5 else b"" for i, html in rows)
+
+
 def brute(rows, threshold=0.95):
     good = {}
     for i, v in rows:
