@@ -1,12 +1,13 @@
-"""Remove repeated passages by a relative Lempel-Ziv parse.
+"""Remove repeated passages by content-cut blocks and windows, in place of a relative Lempel-Ziv parse.
 
 The reference is the whole corpus.  Each document is cut by its own content into blocks: the windows
 of ``window`` words that share the same smallest 5-gram, together with all words they cover.  Equal
 passages give equal blocks wherever they stand.  The index holds, for every block that could occur
-twice, the smallest document that has it.  A document is parsed from left to right: blocks that the
-index has from a smaller document are copied whole and neighbouring ones grow into one factor.  At
-the boundaries of factors, where a block is found only in part, single windows are looked up in a
-window index built from just those blocks.  Factors of ``window`` words and more are duplicate spans.
+twice, the smallest document that has it.  Of a document, all words of the blocks that the index has
+from a smaller document are duplicates.  Where a block is found only in part, single windows are looked
+up in a window index built from just those blocks.  Neighbouring and overlapping finds are one span
+(``factors``): the words that greedy factors of ``window`` words and more would cover, without extending
+matches over the texts of other documents.
 
 The index is exact: a 5-gram that only one document selects cannot lie in a repeated window, and it
 is dropped first.  Lists per document are never longer than the document.
