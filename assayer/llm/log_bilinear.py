@@ -58,23 +58,17 @@ _GROUP = _group_table()
 def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes and groups of a slice of texts, and where each text's words begin."""
     if len(texts) == 1 and texts[0] and len(texts[0]) > words.SLICE_BYTES:
-        parts = [np.frombuffer(p, np.uint8) for p in words._pieces(texts[0])]
+        data = np.frombuffer(texts[0], np.uint8)
+        hashes, starts, ends = words.locate(texts[0], True)
+        splits = np.array([0, len(hashes)])
     else:
-        parts = [np.frombuffer(b" ".join(t or b"" for t in texts), np.uint8)]
-    hashes, groups, at = [], [], []
-    for data in parts:
+        data = np.frombuffer(b" ".join(t or b"" for t in texts), np.uint8)
         starts, ends = words.word_bounds(data)
-        second = np.where(ends - starts > 1, data[np.minimum(starts + 1, len(data) - 1)] if len(data) else 0, 0)
-        hashes.append(words.hash_words(data, starts, ends, True))
-        groups.append(_GROUP[data[starts], second])
-        at.append(starts)
-    if len(parts) > 1:
-        n = sum(map(len, hashes))
-        splits = np.array([0, n])
-    else:
+        hashes = words.hash_words(data, starts, ends, True)
         sizes = np.fromiter((len(t) + 1 if t else 1 for t in texts), np.int64, len(texts))
-        splits = np.searchsorted(at[0], np.concatenate([[0], np.cumsum(sizes)]))
-    return np.concatenate(hashes), np.concatenate(groups).astype(np.int64), splits
+        splits = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))
+    second = np.where(ends - starts > 1, data[np.minimum(starts + 1, len(data) - 1)] if len(data) else 0, 0)
+    return hashes, _GROUP[data[starts], second].astype(np.int64), splits
 
 
 def _slices(batches, column: str = "text"):

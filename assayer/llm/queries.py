@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from public_tokenizers import path as vocabulary
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assayer.llm import caps, lempel_ziv, log_bilinear, minmax_dedup, packing, secrets_crf, toxicity, warc, winnow, word_bpe
+from assayer.llm import caps, lempel_ziv, log_bilinear, minmax_dedup, packing, periodic_runs, secrets_crf
+from assayer.llm import toxicity, warc, winnow, word_bpe
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,7 +56,13 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("text", periodic_runs.looped(F.col("doc_id"), F.col("text")))
+    return periodic_runs.digests(periodic_runs.periodic_runs(docs, with_text=False))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_minhash_near_dedup, op2_lm_scoring, op3_substring_dedup, op4_bpe_encode_decode, op5_best_fit_packing,
-    op6_warc, op7_embedding_near_dedup, op8_toxicity, op9_secret_scan, op10_fingerprints)}
+    op6_warc, op7_embedding_near_dedup, op8_toxicity, op9_secret_scan, op10_fingerprints,
+    op11_periodic_runs)}
 ORACLE_SQL: dict[str, str] = {}

@@ -2,12 +2,12 @@
 
 A word is a run of bytes other than space, tab, line feed, vertical tab, form feed and carriage
 return.  Its hash is a polynomial over random byte values modulo 2**64 (prefix sums give every word
-of a slice at once), finished by a bijective mix.  Nulls count as empty texts.
+of a slice at once), finished by a bijective mix.  A word longer than a slice is hashed slice by slice.
+Nulls count as empty texts.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,7 +15,6 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
-GAP = re.compile(rb"[ \t-\r]")
 _BASE = 0x9E3779B97F4A7C15 | 1
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, *range(9, 14)]] = True
@@ -47,7 +46,8 @@ def _byte_values(lower: bool) -> np.ndarray:
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``n`` powers of the base and of its inverse modulo 2**64."""
     size = max(SLICE_BYTES, 1 << (n - 1).bit_length())
     if size not in _POWERS:
         _POWERS.clear()
@@ -68,21 +68,43 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(turn == -1), np.flatnonzero(turn == 1)
 
 
-def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-    up, down = _powers(max(1, len(data)))
+def _sums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
+    up, down = powers(max(1, len(data)))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_byte_values(lower)[data] * up[:len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts])
+    return (total[ends] - total[starts]) * down[starts]
 
 
-def _pieces(text: bytes) -> Iterator[bytes]:
-    """A text in pieces of about a slice, cut between words."""
-    at = 0
-    while at < len(text):
-        gap = GAP.search(text, min(len(text), at + SLICE_BYTES))
-        end = gap.start() if gap else len(text)
-        yield text[at:end]
-        at = end + 1
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
+    return mix(_sums(data, starts, ends, lower))
+
+
+def locate(text: bytes, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of each word of one text, a slice of bytes at a time.
+
+    A word that reaches into the next slice carries its sum along, so a word of any length costs
+    no more memory than a slice.
+    """
+    found, open_, last = [], False, 0
+    for at in range(0, len(text), SLICE_BYTES):
+        data = np.frombuffer(text, np.uint8, min(SLICE_BYTES, len(text) - at), at)
+        starts, ends = word_bounds(data)
+        sums = _sums(data, starts, ends, lower)
+        starts, ends = starts + at, ends + at
+        if open_ and len(starts) and starts[0] == at:
+            before = found[-1]
+            before[0][-1:] += sums[:1] * np.uint64(pow(_BASE, at - last, 2**64))
+            before[2][-1] = ends[0]
+            starts, ends, sums = starts[1:], ends[1:], sums[1:]
+        if len(starts):
+            found.append((sums, starts, ends))
+            last = int(starts[-1])
+        open_ = bool(found) and int(found[-1][2][-1]) == at + len(data)
+    if not found:
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, none
+    sums, starts, ends = (np.concatenate(x) for x in zip(*found))
+    return mix(sums), starts, ends
 
 
 def slices(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
@@ -101,8 +123,7 @@ def slices(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
 def hashed(texts: list[bytes | None], lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of one slice of texts, and where each text's words begin (one more at the end)."""
     if len(texts) == 1 and texts[0] and len(texts[0]) > SLICE_BYTES:
-        parts = [np.frombuffer(p, np.uint8) for p in _pieces(texts[0])]
-        found = np.concatenate([hash_words(d, *word_bounds(d), lower) for d in parts])
+        found, _, _ = locate(texts[0], lower)
         return found, np.array([0, len(found)])
     data = np.frombuffer(b" ".join(t or b"" for t in texts), np.uint8)
     starts, ends = word_bounds(data)
