@@ -20,7 +20,6 @@ from each other; only id and text are read.
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +33,11 @@ GRAM = 5
 _BASE = 0xA0761D6478BD642F
 
 
-@lru_cache(maxsize=1)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    return words.kept(f"range powers {size}", lambda: _both_powers(size))
+
+
+def _both_powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for base in (_BASE, pow(_BASE, -1, 2**64)):
         p = np.full(size, base, np.uint64)
@@ -48,7 +50,9 @@ class Ranges:
     """Hash of any range of words of a slice."""
 
     def __init__(self, found: np.ndarray):
-        up, self.down = _powers(max(1 << 19, 1 << len(found).bit_length()))
+        size = max(1 << 19, 1 << len(found).bit_length())
+        # only the common size is worth keeping
+        up, self.down = _powers(size) if size <= 1 << 20 else _both_powers(size)
         self.total = np.zeros(len(found) + 1, np.uint64)
         np.cumsum(found * up[:len(found)], out=self.total[1:])
 

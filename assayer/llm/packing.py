@@ -18,7 +18,6 @@ from __future__ import annotations
 import base64
 import zlib
 from collections import Counter, defaultdict
-from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -42,11 +41,13 @@ def ranks_path(json_path: str) -> str:
     return str(Path(json_path).with_suffix(".tiktoken"))
 
 
-@lru_cache(maxsize=1)
 def encoder(path: str) -> tiktoken.Encoding:
-    lines = Path(path).read_bytes().splitlines()
-    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x)}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+    def load() -> tiktoken.Encoding:
+        lines = Path(path).read_bytes().splitlines()
+        ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x)}
+        return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+
+    return words.kept(f"encoder {path}", load)
 
 
 def cut(n: int, size: int) -> list[tuple[int, int]]:

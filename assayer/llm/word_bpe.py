@@ -17,7 +17,6 @@ import json
 import re
 import unicodedata
 from collections import Counter
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -78,9 +77,8 @@ class Coder:
         return out + split_words(text[at:])
 
 
-@lru_cache(maxsize=1)
 def coder(path: str) -> Coder:
-    return Coder(path)
+    return words.kept(f"coder {path}", lambda: Coder(path))
 
 
 def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:

@@ -8,13 +8,27 @@ Nulls count as empty texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+import sys
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
+
+
+def kept(name: str, make: Callable[[], Any]) -> Any:
+    """``make()``, called once per worker process.
+
+    Tasks bring their own copy of this package, so what lives longer than a task cannot be its attribute.
+    """
+    store = sys.__dict__.setdefault("_assayer_kept", {})
+    if name not in store:
+        store[name] = make()
+    return store[name]
+
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, *range(9, 14)]] = True
@@ -35,7 +49,6 @@ def stream(seed: int, n: int) -> np.ndarray:
     return mix(start + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_BASE))
 
 
-@lru_cache(maxsize=2)
 def _byte_values(lower: bool) -> np.ndarray:
     values = stream(1, 256)
     if lower:
@@ -43,21 +56,20 @@ def _byte_values(lower: bool) -> np.ndarray:
     return values
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+def _both_powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    both = []
+    for base in (_BASE, pow(_BASE, -1, 2**64)):
+        p = np.full(size, base, np.uint64)
+        p[0] = 1
+        both.append(np.cumprod(p, dtype=np.uint64))
+    return both[0], both[1]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """At least ``n`` powers of the base and of its inverse modulo 2**64."""
-    size = max(SLICE_BYTES, 1 << (n - 1).bit_length())
-    if size not in _POWERS:
-        _POWERS.clear()
-        both = []
-        for base in (_BASE, pow(_BASE, -1, 2**64)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            both.append(np.cumprod(p, dtype=np.uint64))
-        _POWERS[size] = (both[0], both[1])
-    return _POWERS[size]
+    if n <= SLICE_BYTES:
+        return kept("powers", lambda: _both_powers(SLICE_BYTES))
+    return _both_powers(n)
 
 
 def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
