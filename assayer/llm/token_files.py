@@ -196,7 +196,9 @@ class _Block:
 
 def write(docs: DataFrame, path: str, ranks_file: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode all texts, write the ranks and the id files below ``path``."""
-    stored = materialize(token_pieces(docs, ranks_file, id_col, text_col), "token-pieces")
+    pieces, store = token_pieces(docs, ranks_file, id_col, text_col), scratch_path(docs.sparkSession, "token-pieces")
+    pieces.write.option("compression", "zstd").parquet(store)
+    stored = docs.sparkSession.read.schema(pieces.schema).parquet(store)
     # at most one row per vocabulary entry
     counts = sorted(id_counts(stored).collect(), key=lambda r: (-r["count"], r["id"]))
     rows = [(rank, r["id"], r["count"]) for rank, r in enumerate(counts)]
