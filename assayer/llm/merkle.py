@@ -165,9 +165,10 @@ def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, id_col: str = "d
         F.lit("").alias("tree"), (F.col("rank") - 1).alias("pos"), "digest", F.lit(None).cast("long").alias("id"),
         F.encode("tree", "utf-8").alias("claimed"))
     upper, root, higher = build(materialize(above, "subroots"))
-    groups = jump(upper, higher).select(
+    # stored, so that the planner knows its size and leaves the proofs where they are if it is small
+    groups = materialize(jump(upper, higher).select(
         F.decode("claimed", "utf-8").alias("tree"), F.col("digest").alias("subroot"),
-        F.col("sides").alias("_sides"), F.coalesce("siblings", F.lit(b"")).alias("_siblings"))
+        F.col("sides").alias("_sides"), F.coalesce("siblings", F.lit(b"")).alias("_siblings")), "group-proofs")
     joined = proofs.join(groups, "tree")
     return joined.select(
         "id", _text(F.col("digest")).alias("leaf"), _text(F.col("subroot")).alias("subroot"),
