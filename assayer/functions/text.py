@@ -53,6 +53,12 @@ def tokens_alpha(c: Column | str, stopwords=terms.OVERLAP_STOPWORDS) -> Column:
     return F.array_except(found, literal_array(stopwords))
 
 
+def claim_words(c: Column | str, strict_terms: bool = True) -> Column:
+    """All words of three or more letters (or of any length) and numbers, in order."""
+    word = "[a-z]{3,}" if strict_terms else "[a-z]+"
+    return F.regexp_extract_all(F.lower(text_of(c)), F.lit(word + r"|[0-9]+(?:\.[0-9]+)?"), F.lit(0))
+
+
 def tokens_claim(c: Column | str, stopwords=terms.CLAIM_STOPWORDS,
                  negations=terms.NEGATION_TERMS, strict_terms: bool = True) -> Column:
     """Words of three or more letters plus numbers; negations survive the stoplist.
@@ -62,10 +68,7 @@ def tokens_claim(c: Column | str, stopwords=terms.CLAIM_STOPWORDS,
     """
     kept = set(negations)
     dropped = [w for w in stopwords if w not in kept]
-    word = "[a-z]{3,}" if strict_terms else "[a-z]+"
-    found = F.regexp_extract_all(
-        F.lower(text_of(c)), F.lit(word + r"|[0-9]+(?:\.[0-9]+)?"), F.lit(0))
-    return F.array_except(found, literal_array(dropped))
+    return F.array_except(claim_words(c, strict_terms), literal_array(dropped))
 
 
 def numbers_set(c: Column | str) -> Column:
@@ -75,14 +78,9 @@ def numbers_set(c: Column | str) -> Column:
 
 # --- claim and sentence splitting -------------------------------------------
 
-_BREAKS = r"(?<=[.!?])\s+|;\s+|\n+"
-_NUMBERED_BREAKS = r"(?<=[.!?])\s+|\n+|(?=[0-9]+\.\s)"
-_BULLET = r"^\s*[-*•0-9.)]+\s*"
-
-
 def split_claims(c: Column | str, min_length: int = 12) -> Column:
     """Sentence-like pieces of at least ``min_length`` characters."""
-    pieces = F.transform(F.split(strip(text_of(c)), _BREAKS), strip)
+    pieces = F.transform(F.split(strip(text_of(c)), terms.CLAIM_BREAKS), strip)
     return F.filter(pieces, lambda p: F.length(p) >= min_length)
 
 
@@ -97,8 +95,8 @@ def split_sentences(c: Column | str, min_length: int = 20) -> Column:
 def split_claims_numbered(c: Column | str, min_words: int = 3) -> Column:
     """Also break before ``1. `` markers, drop bullets, keep ``min_words``+ words."""
     whole = strip(text_of(c))
-    pieces = F.transform(F.split(whole, _NUMBERED_BREAKS),
-                         lambda p: strip(F.regexp_replace(p, _BULLET, "")))
+    pieces = F.transform(F.split(whole, terms.NUMBERED_BREAKS),
+                         lambda p: strip(F.regexp_replace(p, terms.BULLET, "")))
     kept = F.filter(pieces, lambda p: (p != "") & (F.size(F.split(p, r"\s+")) >= min_words))
     return (F.when(whole == "", F.array().cast("array<string>"))
             .when(F.size(kept) == 0, F.array(whole)).otherwise(kept))

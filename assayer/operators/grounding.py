@@ -7,12 +7,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, functions as F
 
 from assayer import terms
 from assayer.functions import arrays as ar, text as tx
+from assayer.operators.claims import claim_rows
 from assayer.operators.ranking import collapse_values, join_on, median_of
 from assayer.operators.tiles import tiled
 
@@ -117,55 +117,8 @@ def paired_summary(pairs: DataFrame) -> DataFrame:
 
 # --- lexical claim scoring --------------------------------------------------
 
-def explode_claims(df: DataFrame, keep: list[str], lists: TermLists = TermLists(),
-                   answer: str = "answer", knowledge: str = "knowledge") -> DataFrame:
-    """One row per claim with the evidence token sets computed once per record.
-
-    The evidence side is reduced to the sets the scorer reads *before* the
-    explode.  A record without claims keeps one row with a null claim: nothing
-    has to be joined back, and the optimizer does not evaluate the split a
-    second time to filter empty arrays.
-    """
-    sets = _evidence_sets(lists)
-    evidence = with_evidence_sets(df, lists, knowledge).select(
-        *keep, tx.split_claims(answer).alias("_claims"), *sets)
-    return evidence.select(
-        *keep, F.posexplode_outer("_claims").alias("_pos", "claim_text"), *sets,
-    ).withColumn("claim_index", F.col("_pos") + 1).drop("_pos")
-
-
-def with_evidence_sets(df: DataFrame, lists: TermLists, knowledge: str = "knowledge") -> DataFrame:
-    """Token, number and term sets of the evidence, once per record."""
-    tokens = df.withColumn("_et", lists.tokens(knowledge)).withColumn(
-        "_en", tx.numbers_set(knowledge))
-    return tokens.withColumns({
-        f"_e_{name}": F.array_intersect("_et", tx.literal_array(words))
-        for name, words in _aligned(lists)})
-
-
-def _evidence_sets(lists: TermLists) -> list[str]:
-    return ["_et", "_en", *[f"_e_{name}" for name, _ in _aligned(lists)]]
-
-
-def _aligned(lists: TermLists):
-    return [("direction", lists.direction), ("negation", lists.negation),
-            ("uncertainty", lists.uncertainty)]
-
-
-def score_claims(claims: DataFrame, keep: list[str], lists: TermLists = TermLists(),
-                 weights: dict[str, float] = terms.CLAIM_WEIGHTS) -> DataFrame:
-    """Weighted support per claim plus the risk flags."""
-    tokenised = claims.withColumn("_ct", lists.tokens("claim_text")).withColumn(
-        "_cn", tx.numbers_set("claim_text"))
-    own = lambda words: F.array_intersect("_ct", tx.literal_array(words))
-    parts = tokenised.select(
-        *keep, "claim_index", "claim_text",
-        ar.overlap_score("_ct", "_et").alias("claim_token_support"),
-        ar.alignment(own(lists.direction), "_e_direction").alias("clinical_direction_support"),
-        ar.alignment(own(lists.negation), "_e_negation").alias("negation_support"),
-        ar.alignment("_cn", "_en").alias("numeric_support"),
-        ar.alignment(own(lists.uncertainty), "_e_uncertainty").alias("uncertainty_support"),
-        F.arrays_overlap("_ct", tx.literal_array(lists.high_impact)).alias("high_impact_claim"))
+def score_claims(parts: DataFrame, weights: dict[str, float] = terms.CLAIM_WEIGHTS) -> DataFrame:
+    """Weighted support of claim rows plus the risk flags."""
     scored = parts.withColumn(
         "claim_support_score",
         weights["token"] * F.col("claim_token_support")
@@ -184,8 +137,7 @@ def score_claims(claims: DataFrame, keep: list[str], lists: TermLists = TermList
 
 def claim_scores(df: DataFrame, keep: list[str], lists: TermLists = TermLists()) -> DataFrame:
     """Scored claims; records without claims have no row here."""
-    return score_claims(explode_claims(df, keep, lists), keep, lists).filter(
-        F.col("claim_index").isNotNull())
+    return score_claims(claim_rows(df, keep, lists=lists)).filter(F.col("claim_index").isNotNull())
 
 
 ROLLUP_COUNTS = [
@@ -217,7 +169,7 @@ def claim_grounding_rollup(df: DataFrame, keep: list[str],
     ``keep`` starts with the record id.  All claims of a record leave one input
     row, so the partial aggregation reduces them to one row before the exchange.
     """
-    scored = score_claims(explode_claims(df, keep, lists), keep, lists)
+    scored = score_claims(claim_rows(df, keep, lists=lists))
     return scored.groupBy(*keep).agg(*_lexical_aggregates())
 
 
@@ -229,7 +181,7 @@ def claim_grounding_with_semantics(df: DataFrame, keep: list[str], semantic: Col
     the combined columns are null for records without one.
     """
     scored = claim_support_combined(
-        score_claims(explode_claims(df, keep, lists), keep, lists).withColumn(
+        score_claims(claim_rows(df, keep, lists=lists)).withColumn(
             "semantic_claim_support_score", F.when(F.col("claim_index").isNotNull(), semantic)))
     known = F.col("semantic_claim_support_score").isNotNull()
     unsupported = F.col("combined_claim_support_label") == "unsupported"
@@ -256,92 +208,10 @@ def claim_grounding_overall(rollup: DataFrame) -> DataFrame:
 
 # --- best evidence sentence by TF-IDF ---------------------------------------
 
-ENGLISH_STOPWORDS = "english"
-
-
-def _gram_hashes(text: Column, stopwords: list[str]) -> Column:
-    """64-bit hashes of the kept words and of their bigrams (tf preserved)."""
-    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(terms.WORD_OF_TWO), F.lit(0)),
-                     lambda w: ~w.isin(stopwords))
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-    shifted = F.slice(hashed, 2, F.greatest(F.size(hashed), F.lit(1)))
-    pairs = F.zip_with(hashed, shifted, lambda a, b: F.xxhash64(a, b))
-    # zip_with pads the shorter side: the last pair has no partner
-    return F.concat(hashed, F.slice(pairs, 1, F.greatest(F.size(hashed) - 1, F.lit(0))))
-
-
-CLAIMS_AT_ONCE = 64
-
-
-def _best_cosine(claim_sizes, claim_terms, sentence_sizes, sentence_terms):
-    """Best (score, sentence index) for every claim of one record.
-
-    The idf of a claim's model is fitted on {claim} + sentences.  Only terms
-    shared with the claim depend on the claim, so a sentence norm is a base norm
-    plus a correction over the shared terms.
-    """
-    n_claims, n_sentences = len(claim_sizes), len(sentence_sizes)
-    _, term = np.unique(np.concatenate([claim_terms, sentence_terms]), return_inverse=True)
-    terms_total = int(term.max()) + 1 if len(term) else 1
-    owner = np.repeat(np.arange(n_claims), claim_sizes)
-    key, claim_tf = np.unique(owner * terms_total + term[:len(claim_terms)], return_counts=True)
-    c_at, c_term = key // terms_total, key % terms_total
-    place = np.repeat(np.arange(n_sentences), sentence_sizes)
-    key, sent_tf = np.unique(term[len(claim_terms):] * n_sentences + place, return_counts=True)
-    s_term, s_at = key // n_sentences, key % n_sentences
-    frequency = np.bincount(s_term, minlength=terms_total)
-    start = np.cumsum(frequency) - frequency
-    idf = np.log((2.0 + n_sentences) / (2.0 + frequency)) + 1.0
-    idf_without = np.log((2.0 + n_sentences) / (1.0 + frequency)) + 1.0
-    base = np.bincount(s_at, (sent_tf * idf_without[s_term]) ** 2, n_sentences)
-    own = np.bincount(c_at, (claim_tf * idf[c_term]) ** 2, n_claims)
-    change = idf ** 2 - idf_without ** 2
-    best_score, best_at = np.zeros(n_claims), np.zeros(n_claims, np.int32)
-    for first in range(0, n_claims, CLAIMS_AT_ONCE):
-        last = min(first + CLAIMS_AT_ONCE, n_claims)
-        lo, hi = np.searchsorted(c_at, [first, last])
-        hits = frequency[c_term[lo:hi]]
-        entry = np.repeat(np.arange(lo, hi), hits)
-        step = np.arange(len(entry)) - np.repeat(np.cumsum(hits) - hits, hits)
-        posting = start[c_term[entry]] + step
-        t, cell = c_term[entry], (c_at[entry] - first) * n_sentences + s_at[posting]
-        shape, cells = (last - first, n_sentences), (last - first) * n_sentences
-        product = np.bincount(cell, claim_tf[entry] * sent_tf[posting] * idf[t] ** 2, cells)
-        correction = np.bincount(cell, sent_tf[posting] ** 2 * change[t], cells)
-        scale = np.sqrt(own[first:last])[:, None] * np.sqrt(base + correction.reshape(shape))
-        cosine = np.divide(product.reshape(shape), scale, out=np.zeros(shape), where=scale > 0)
-        # equal sentences may differ in the last bit; after rounding the first one wins
-        best_at[first:last] = np.round(cosine, 12).argmax(axis=1)
-        best_score[first:last] = cosine[np.arange(last - first), best_at[first:last]]
-    return best_score, best_at
-
-
-def _row_terms(column: pa.ListArray):
-    """Per row: (sizes of its inner lists, all their values)."""
-    outer = column.offsets.to_numpy()
-    inner = column.values
-    bounds = inner.offsets.to_numpy()
-    values = inner.values.to_numpy(zero_copy_only=False)
-    for a, b in zip(outer[:-1], outer[1:]):
-        edges = bounds[a:b + 1]
-        yield np.diff(edges), values[edges[0]:edges[-1]]
-
-
-def _score_batch(batch: pa.RecordBatch, claims: str, sentences: str):
-    sizes, scores, places = [0], [], []
-    for (cs, ct), (ss, st) in zip(_row_terms(batch.column(claims)), _row_terms(batch.column(sentences))):
-        if len(cs) and len(ss):
-            score, at = _best_cosine(cs, ct, ss, st)
-        else:
-            score, at = np.zeros(len(cs)), np.full(len(cs), -1, np.int32)
-        sizes.append(len(cs))
-        scores.append(score)
-        places.append(at)
-    offsets = pa.array(np.cumsum(sizes), pa.int32())
-    joined = lambda parts, kind: pa.array(
-        np.concatenate(parts) if parts else np.zeros(0), kind)
-    return (pa.ListArray.from_arrays(offsets, joined(scores, pa.float64())),
-            pa.ListArray.from_arrays(offsets, joined(places, pa.int32())))
+def english_stopwords() -> list[str]:
+    """The published English list: the ML library's, without contractions, and the changes stated in ``terms``."""
+    loaded = [w for w in StopWordsRemover.loadDefaultStopWords("english") if w.isalpha()]
+    return sorted({*loaded, *terms.STOPWORDS_ADDED} - set(terms.STOPWORDS_LEFT_OUT))
 
 
 def claim_best_sentence_tfidf(df: DataFrame, keep: list[str], answer: str = "answer",
@@ -350,55 +220,18 @@ def claim_best_sentence_tfidf(df: DataFrame, keep: list[str], answer: str = "ans
     """Per claim the most similar evidence sentence (1-2-gram TF-IDF cosine).
 
     Claims and sentences of a record come from the same input row, so this is a
-    map-only job: splitting, tokens and n-gram hashes run in the JVM, the
-    per-record scoring in Arrow batches, and no claim x sentence pair leaves a
-    task.
+    map-only job and no claim x sentence pair leaves a task.
     """
-    if stopwords is None:
-        stopwords = StopWordsRemover.loadDefaultStopWords(ENGLISH_STOPWORDS)
-    grams = lambda c: F.transform(c, lambda s: _gram_hashes(s, stopwords))
-    prepared = df.select(
-        *keep, tx.split_claims(answer).alias("_claims"),
-        tx.split_sentences(knowledge).alias("_sentences")).select(
-        *keep, "_claims", "_sentences", grams("_claims").alias("_cg"),
-        grams("_sentences").alias("_sg"))
-    carried = [*keep, "_claims", "_sentences"]
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores, places = _score_batch(batch, "_cg", "_sg")
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in carried], scores, places],
-                names=[*carried, "_score", "_at"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
-                       for f in prepared.select(*keep).schema.fields)
-    scored = prepared.mapInArrow(
-        score, f"{fields}, _claims array<string>, _sentences array<string>, "
-               "_score array<double>, _at array<int>")
-    zipped = F.arrays_zip("_claims", "_score", "_at")
-    return (scored.select(*keep, "_sentences", F.posexplode(zipped).alias("_pos", "_c"))
-            .select(*keep, (F.col("_pos") + 1).alias("claim_index"),
-                    F.col("_c._claims").alias("claim_text"),
-                    F.col("_c._score").alias("semantic_claim_support_score"),
-                    F.coalesce(F.try_element_at("_sentences", F.when(
-                        F.col("_c._at") >= 0, F.col("_c._at") + 1)),
-                        F.lit("")).alias("best_evidence_sentence")))
+    stopwords = english_stopwords() if stopwords is None else stopwords
+    return claim_rows(df, keep, answer, knowledge, stopwords=stopwords).filter(F.col("claim_index").isNotNull())
 
 
 def semantic_claim_scores(df: DataFrame, keep: list[str], lists: TermLists = TermLists(),
                           stopwords: list[str] | None = None) -> DataFrame:
-    """TF-IDF, lexical and combined support of every claim without any join.
-
-    The evidence sets travel with the record through the Arrow step, so the
-    lexical scorer reads the very claim rows the semantic scorer produced.
-    """
-    sets = _evidence_sets(lists)
-    matched = claim_best_sentence_tfidf(
-        with_evidence_sets(df, lists), [*keep, *sets], stopwords=stopwords)
-    scored = score_claims(
-        matched, [*keep, "semantic_claim_support_score", "best_evidence_sentence"], lists)
-    return claim_support_combined(scored)
+    """TF-IDF, lexical and combined support of every claim, from one Arrow step."""
+    stopwords = english_stopwords() if stopwords is None else stopwords
+    rows = claim_rows(df, keep, lists=lists, stopwords=stopwords).filter(F.col("claim_index").isNotNull())
+    return claim_support_combined(score_claims(rows))
 
 
 def claim_support_combined(df: DataFrame, semantic: str = "semantic_claim_support_score",
