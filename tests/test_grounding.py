@@ -127,13 +127,15 @@ def test_vector_match_in_tiles(vectors, block):
         assert r["similarity"] == pytest.approx(max(float(v[r["claim_id"]] @ v[j]) for j in pool))
 
 
-@pytest.mark.parametrize("options", [{}, {"block_rows": 9, "rows_at_once": 16}])
+@pytest.mark.parametrize("options", [{}, {"block_rows": 9, "rows_at_once": 16}, {"cell_rows": 5}, {"cell_rows": 40}])
 def test_topk_against_brute_force(vectors, options):
     v, _, df = vectors
     df = df.select(F.col("item").alias("vec_id"), "embedding")
     queries, corpus = df.filter("vec_id % 10 = 0"), df.filter("vec_id % 10 != 0").repartition(5)
     got = {}
-    for r in rt.topk_retrieve(queries, corpus, k=3, guard=0.5, **options).orderBy("query_id", "rank").collect():
+    cells = options.pop("cell_rows", None)
+    index = rt.bound_index(corpus, cell_rows=cells) if cells else None
+    for r in rt.topk_retrieve(queries, corpus, k=3, guard=0.5, index=index, **options).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["record_id"], r["similarity_score"]))
     for q in range(0, 300, 10):
         scored = sorted(((-round(float(v[q] @ v[j]), 12), j) for j in range(300) if j % 10), )
@@ -151,18 +153,80 @@ def test_guard_boundary_is_kept(spark):
     assert (status["status"], status["sources"]) == ("no_relevant_evidence", 0)
 
 
-def test_cells_find_near_vectors_with_few_comparisons(spark):
+def _frame(spark, m):
+    return spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)], "vec_id long, embedding array<double>")
+
+
+def _unit(m):
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
+def test_bounds_hold_for_any_vectors():
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(400, 12)) * rng.uniform(0, 3, size=(400, 1))
+    pivots = _unit(m[:9])
+    near = m @ pivots.T
+    cell, along = near.argmax(1), near.max(1)
+    across = np.sqrt(np.maximum((m * m).sum(1) - along * along, 0))
+    known = np.array([(c, along[cell == c].min(), along[cell == c].max(), across[cell == c].max(), (cell == c).sum())
+                      for c in np.unique(cell)])
+    q = rng.normal(size=(50, 12)) * 2
+    bound, products = rt.cell_bounds(q, pivots, known), q @ m.T
+    for i, c in enumerate(known[:, 0]):
+        assert (products[:, cell == c].max(1) <= bound[:, i]).all()
+
+
+@pytest.mark.parametrize("scaled", [False, True])
+def test_pruned_search_equals_all_pairs_and_skips_most(spark, scaled):
+    """Clusters, copies, ties, a null, a zero vector and (scaled) any lengths; the guard below what is found."""
+    rng = np.random.default_rng(6)
+    centres = _unit(rng.normal(size=(20, 16)))
+    m = _unit(centres[rng.integers(20, size=900)] + 0.05 * rng.normal(size=(900, 16)))
+    if scaled:
+        m *= rng.uniform(0.5, 1.5, size=(900, 1))
+    m[40:60] = m[3]
+    m[70] = 0
+    corpus = _frame(spark, m).unionByName(spark.createDataFrame([(5000, None)], "vec_id long, embedding array<double>"))
+    queries = _frame(spark, m).filter("vec_id % 7 = 0")
+    index = rt.bound_index(corpus, cell_rows=30)
+    for guard in (0.2, 0.9):
+        got = rt.topk_retrieve(queries, corpus, guard=guard, index=index, digits=9)
+        want = rt.topk_retrieve_all(queries, corpus, guard=guard, digits=9)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        share = rt.bound_share(queries, index, guard=guard).first()
+        assert share["pairs"] == pytest.approx(share["share"] * queries.count() * 900)
+        assert share["share"] < (0.7 if scaled else 0.4)
+
+
+def test_empty_sides_of_the_pruned_search(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0])], "vec_id bigint, embedding array<double>")
+    assert rt.topk_retrieve(df.limit(0), df).count() == 0
+    assert rt.topk_retrieve(df, df.filter("vec_id > 1")).count() == 0
+    assert rt.topk_retrieve(df, df.withColumn("embedding", F.lit(None).cast("array<double>"))).count() == 0
+
+
+@pytest.mark.parametrize("noise", [0.35, 3.0])
+def test_calibrated_probes_reach_their_target(spark, noise):
+    """Close and far neighbours: the number of probes follows from a measurement on other rows."""
     rng = np.random.default_rng(3)
     base = rng.normal(size=(1200, 32))
-    near = base + 0.35 * rng.normal(size=base.shape)
-    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
-    frame = lambda m: spark.createDataFrame(
-        [(i, r.tolist()) for i, r in enumerate(unit(m))], "vec_id long, embedding array<double>")
-    q, c = frame(near), frame(base)
-    centres = rt.fit_cells(c, cells=48)
-    recall = rt.retrieval_recall(rt.topk_retrieve_cells(q, c, centres, probes=4), rt.topk_retrieve(q, c)).first()
-    assert recall["expected"] >= 1000 and recall["recall"] >= 0.9
-    assert rt.candidate_share(q, c, centres, probes=4).first()["share"] < 0.12
+    near = base[:400] + noise * rng.normal(size=(400, 32))
+    q, c = _frame(spark, _unit(near)), _frame(spark, np.concatenate([_unit(base), _unit(near)]))
+    centres = rt.fit_cells(c)
+    assert 0.8 * rt.cell_count(1600) <= len(centres) <= 1.2 * rt.cell_count(1600)
+    probes = rt.calibrate_probes(c, centres, guard=0.4)
+    found = rt.topk_retrieve_cells(q, c, centres, guard=0.4, probes=probes)
+    recall = rt.retrieval_recall(found, rt.topk_retrieve(q, c, guard=0.4)).first()
+    assert recall["expected"] >= 400 and recall["recall"] >= 0.9
+    share = rt.candidate_share(q, c, centres, probes=probes).first()["share"]
+    assert share < (0.45 if noise < 1 else 0.7)
+
+
+def test_cells_grow_with_the_table(spark):
+    assert [rt.cell_count(n) for n in (0, 1, 100, 10_000, 10**6, 10**12)] == [1, 2, 20, 200, 2000, 16_384]
+    assert len(rt.fit_cells(_frame(spark, np.ones((0, 4))))) == 1
+    one = _frame(spark, np.ones((3, 4)))
+    assert rt.topk_retrieve_cells(one, one, rt.fit_cells(one), probes=1).count() == 9
 
 
 def test_text_ids_and_evidence(spark):
