@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from assayer.sources.schemas import CASE_LOG
 from assayer.streaming import cases as st
+from assayer.streaming.done_index import DoneIndex
 
 T0 = dt.datetime(2024, 1, 1)
 CASES = "case_id string, ts timestamp, case_key int"
@@ -45,7 +46,7 @@ def test_incremental_scoring_skips_finished_and_late_rows(spark, tmp_path):
 
     def run(state):
         st.stream_incremental_scoring(st.read_case_stream(spark, src, schema), score, out,
-                                      str(tmp_path / state), key="case_id", watermark="1 hour").awaitTermination()
+                                      str(tmp_path / state), key="case_id").awaitTermination()
         return sorted((r["case_id"], r["score"]) for r in spark.read.schema(
             "case_id string, score int").parquet(out).collect())
 
@@ -68,3 +69,48 @@ def test_late_files_lose_nothing(spark, tmp_path):
                                   key="case_id").awaitTermination()
     done = sorted(r["case_id"] for r in spark.read.schema("case_id string").parquet(out).collect())
     assert done == ["again", *(f"c{day}" for day in range(7))]
+
+
+def test_repeats_of_an_id_choose_the_earliest_row(spark, tmp_path):
+    for parts in (1, 5):
+        src, out = str(tmp_path / f"src{parts}"), str(tmp_path / f"out{parts}")
+        rows = [("a", T0 + dt.timedelta(hours=h), k) for h, k in ((5, 1), (2, 9), (2, 7), (8, 0))]
+        spark.createDataFrame(rows, CASES).repartition(parts).write.parquet(src)
+        st.stream_incremental_scoring(st.read_case_stream(spark, src, spark.read.parquet(src).schema), lambda df: df, out,
+                                      str(tmp_path / f"state{parts}"), key="case_id").awaitTermination()
+        assert [r["case_key"] for r in spark.read.schema(CASES).parquet(out).collect()] == [7]
+
+
+def test_a_batch_reads_its_buckets_whatever_the_history(spark, tmp_path):
+    """Twenty batches of 40 new ids and 5 known ones: what a batch reads does not grow."""
+    index = DoneIndex(spark, str(tmp_path / "done"), "id", "bigint", bucket_rows=50)
+    ids = lambda a, b: spark.range(a, b).select("id")
+    read, seen = [], 0
+    for batch in range(20):
+        index.grow()
+        arriving = ids(max(0, seen - 5), seen + 40)
+        new = index.without_done(arriving, f"b{batch}")
+        assert sorted(r["id"] for r in new.collect()) == list(range(seen, seen + 40))
+        one = arriving.filter(f"id = {seen}")
+        touched = [r[0] for r in one.select(index._bucket(index.buckets)).collect()]
+        read.append(index.done_among(touched, "x").count())
+        index.add(new, f"b{batch}")
+        index.add(new, f"b{batch}")  # a replay overwrites its own ids
+        seen += 40
+    assert index.buckets in (16, 32) and index._table().select("id").distinct().count() == seen
+    assert max(read[10:]) <= 110 and seen == 800
+    again = DoneIndex(spark, str(tmp_path / "done"), "id", "bigint", bucket_rows=50)
+    assert (again.number, again.buckets) == (index.number, index.buckets)
+    assert again.without_done(ids(790, 810), "later").count() == 10
+    assert again.without_done(ids(760, 810), "b19").count() == 50  # its own ids do not count for a batch
+
+
+def test_results_older_than_the_index_count(spark, tmp_path):
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    _put(spark, src, [("a", T0, 1), ("b", T0, 2)], "one")
+    spark.createDataFrame([("a", 1)], "case_id string, score int").write.parquet(f"{out}/run=old/batch_id=0")
+    st.stream_incremental_scoring(st.read_case_stream(spark, src, spark.read.parquet(src).schema),
+                                  lambda df: df.select("case_id", F.lit(2).alias("score")), out,
+                                  str(tmp_path / "state"), key="case_id").awaitTermination()
+    done = spark.read.schema("case_id string, score int").parquet(out).select("case_id", "score")
+    assert sorted(map(tuple, done.collect())) == [("a", 1), ("b", 2)]
