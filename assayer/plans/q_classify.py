@@ -17,7 +17,7 @@ SELECT record_id, is_hallucinated, CAST('0x' || substr(md5(record_id), 1, 8) AS
 
 
 def _rows(spark, sf_dir):
-    return v.answers(spark, sf_dir).select(
+    return v.answers(spark, sf_dir, evidence=True).select(
         "record_id", "question", "knowledge", "answer", F.col("answer").alias("text"),
         F.col("is_hallucinated").cast("double").alias("label"),
         hash_percent("record_id").alias("_slot"))

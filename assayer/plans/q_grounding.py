@@ -18,7 +18,7 @@ SELECT is_hallucinated, CASE is_hallucinated WHEN 0 THEN 'Not Hallucinated' ELSE
        count(*) AS count, avg(overlap) AS mean, median(overlap) AS median, min(overlap) AS min, max(overlap) AS max
 FROM overlap_rows GROUP BY ALL""", doubles="mean median")
 def _(spark, sf_dir):
-    return gr.overlap_summary(v.answers(spark, sf_dir), stopwords=v.STOP)
+    return gr.overlap_summary(v.answers(spark, sf_dir, evidence=True), stopwords=v.STOP)
 
 
 SQL_VIEWS["pair_tokens"] = f"""
@@ -68,7 +68,7 @@ def _(spark, sf_dir):
 
 
 def _claims(spark, sf_dir, keep=("record_id",)):
-    return gr.claim_scores(v.answers(spark, sf_dir), list(keep), v.LISTS)
+    return gr.claim_scores(v.answers(spark, sf_dir, evidence=True), list(keep), v.LISTS)
 
 
 @query("term_alignment", """
@@ -180,7 +180,7 @@ LEFT JOIN tf_base b ON b.record_id = x.record_id AND b.sent_no = x.sent_no GROUP
 
 
 def _tfidf(spark, sf_dir):
-    return gr.claim_best_sentence_tfidf(v.answers(spark, sf_dir), ["record_id"], stopwords=TFIDF_STOP)
+    return gr.claim_best_sentence_tfidf(v.answers(spark, sf_dir, evidence=True), ["record_id"], stopwords=TFIDF_STOP)
 
 
 @query("claim_best_sentence_tfidf", """
@@ -200,7 +200,7 @@ FROM (SELECT t.record_id, t.claim_index, t.semantic, 0.70::DOUBLE * t.semantic +
 
 
 def _combined(spark, sf_dir):
-    return gr.semantic_claim_scores(v.answers(spark, sf_dir), ["record_id"], v.LISTS, TFIDF_STOP)
+    return gr.semantic_claim_scores(v.answers(spark, sf_dir, evidence=True), ["record_id"], v.LISTS, TFIDF_STOP)
 
 
 @query("claim_support_combined", """

@@ -149,18 +149,22 @@ def _(spark, sf_dir):
 
 
 @query("error_cases_enriched", """
-SELECT s.record_id AS id, s.error_type, s.case_type, p.split, md5(s.question) AS question_md5, s.doc_id % 17 <> 0 AS source_found
-FROM (SELECT * REPLACE (CASE WHEN doc_id % 17 <> 0 THEN question END AS question) FROM stress WHERE error_type <> 'correct') s
-LEFT JOIN splits p USING (record_id)""")
+SELECT s.id, s.error_type, s.case_type, p.split, md5(s.question) AS question_md5, s.found AS source_found
+FROM (SELECT record_id AS id, record_id, error_type, case_type, question, true AS found FROM stress
+      UNION ALL SELECT 'lost-' || record_id, record_id, error_type, case_type, NULL, false FROM stress WHERE doc_id % 17 = 0) s
+LEFT JOIN splits p USING (record_id) WHERE s.error_type <> 'correct'""")
 def _(spark, sf_dir):
-    p = v.predictions(spark, sf_dir).select(
-        F.col("record_id").alias("id"), "is_hallucinated", "predicted_label").withColumn(
+    def with_lost(rows):
+        """All rows, and some more under ids whose source text is missing."""
+        lost = rows.filter(F.col("doc_id") % 17 == 0).withColumn("id", F.concat(F.lit("lost-"), "id"))
+        return rows.unionByName(lost).drop("doc_id")
+
+    p = with_lost(v.predictions(spark, sf_dir).select(
+        F.col("record_id").alias("id"), "doc_id", "is_hallucinated", "predicted_label")).withColumn(
         "error_type", mt.error_type("stress"))
-    s = v.splits(spark, sf_dir)
-    metadata = s.select(F.col("record_id").alias("id"), "case_type", "split",
-                        F.col("record_id").alias("source_record_id"))
-    source = v.answers(spark, sf_dir).filter(F.col("doc_id") % 17 != 0).select(
-        "record_id", "question", "knowledge", "answer")
+    metadata = with_lost(v.splits(spark, sf_dir).select(
+        F.col("record_id").alias("id"), "doc_id", "case_type", "split")).withColumn("source_record_id", F.col("id"))
+    source = v.answers(spark, sf_dir, evidence=True).select("record_id", "question", "knowledge", "answer")
     return mt.error_cases_enriched(p, metadata, source).select(
         "id", "error_type", "case_type", "split", F.md5("question").alias("question_md5"), "source_found")
 
@@ -190,7 +194,7 @@ def _(spark, sf_dir):
     t = v.trust(spark, sf_dir).select(
         "record_id", "recommended_action", "clinical_trustworthiness_score",
         F.col("final_unsupported_claim_count").alias("unsupported_claim_count"))
-    return mt.false_accept_shortlist(v.predictions(spark, sf_dir), t).select(
+    return mt.false_accept_shortlist(v.trust_predictions(spark, sf_dir), t).select(
         "record_id", "recommended_action", "clinical_trustworthiness_score", "error_type")
 
 
@@ -208,7 +212,7 @@ SELECT c.case_type, c.record_id, c.hallucination_probability, w.score AS weakest
 FROM (SELECT c.*, w.score, {v.sql_strip("replace(w.claim_text, chr(10), ' ')")} AS t FROM chosen c LEFT JOIN weak w USING (record_id)) c
 LEFT JOIN weak w USING (record_id)""", doubles="weakest_claim_support_score")
 def _(spark, sf_dir):
-    claims = gr.claim_scores(v.answers(spark, sf_dir), ["record_id"], v.LISTS)
+    claims = gr.claim_scores(v.answers(spark, sf_dir, evidence=True), ["record_id"], v.LISTS)
     return mt.tp_tn_fp_fn_examples(v.predictions(spark, sf_dir), claims).select(
         "case_type", "record_id", "hallucination_probability", "weakest_claim_support_score",
         F.md5("weakest_claim_text").alias("weakest_claim_md5"))

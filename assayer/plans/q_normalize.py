@@ -106,7 +106,7 @@ SELECT record_id, md5(prompt) AS prompt_md5,
 FROM prompts""")
 def _(spark, sf_dir):
     slots = {s: F.col(s) for s in ("question", "knowledge", "answer")}
-    return v.answers(spark, sf_dir).select(
+    return v.answers(spark, sf_dir, evidence=True).select(
         "record_id", F.md5(nz.safety_prompt()).alias("prompt_md5"),
         F.md5(tx.fill_template(terms.FEATURE_TEXT, **slots)).alias("feature_md5"))
 
@@ -117,7 +117,7 @@ SELECT record_id, doc_id % 9 <> 0 AS matched,
        CASE WHEN doc_id % 9 <> 0 THEN md5({v.sql_strip("knowledge")}) ELSE md5('') END AS evidence_md5
 FROM answers""")
 def _(spark, sf_dir):
-    prompts = v.answers(spark, sf_dir).withColumn("prompt", F.when(
+    prompts = v.answers(spark, sf_dir, evidence=True).withColumn("prompt", F.when(
         F.col("doc_id") % 9 == 0, F.concat("question", "knowledge")).otherwise(nz.evidence_prompt()))
     return prompts.withColumn("p", tx.prompt_parse("prompt")).select(
         "record_id", "p.matched", F.md5("p.question").alias("question_md5"),
@@ -137,7 +137,7 @@ FROM (SELECT *, {_sql_first("s1", "tk", "knowledge")} AS s2
     FROM answers, (SELECT question AS tq, knowledge AS tk, answer AS ta, prompt AS tp
                    FROM prompts WHERE doc_id = (SELECT min(doc_id) FROM prompts))))""")
 def _(spark, sf_dir):
-    a = v.answers(spark, sf_dir)
+    a = v.answers(spark, sf_dir, evidence=True)
     example = a.withColumn("prompt", nz.safety_prompt()).agg(F.min_by(
         F.struct("prompt", "question", "knowledge", "answer"), "doc_id").alias("t")).select("t.*")
     return nz.template_substitute(a, example).select(
@@ -224,7 +224,7 @@ FROM (SELECT dataset_name, n, contains(kept, {v.sql_clean("answer")}) AS candida
             FROM (SELECT dataset_name, answer, string_split({v.sql_clean("prompt")}, ' ') AS t FROM prompts)))
 GROUP BY ALL""")
 def _(spark, sf_dir):
-    prompts = v.answers(spark, sf_dir).withColumn("prompt", nz.safety_prompt())
+    prompts = v.answers(spark, sf_dir, evidence=True).withColumn("prompt", nz.safety_prompt())
     return nz.token_budget_summary(nz.token_budget_audit(prompts, budget=400), ["dataset_name"])
 
 
@@ -246,7 +246,7 @@ SELECT record_id, 3 AS messages,
            || substr(answer, 1, 700)) AS assistant_md5
 FROM answers""")
 def _(spark, sf_dir):
-    a = v.answers(spark, sf_dir).withColumn("decision", F.when(
+    a = v.answers(spark, sf_dir, evidence=True).withColumn("decision", F.when(
         F.col("is_hallucinated") == 1, "No").otherwise("Yes"))
     return nz.chat_records(a).select(
         "record_id", F.size("messages").alias("messages"),

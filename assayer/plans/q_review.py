@@ -295,7 +295,7 @@ UNION ALL SELECT 'answers', 'column:' || c, CAST(c <> 'source_file' AS BIGINT),
 """ + "".join(f"UNION ALL SELECT 'answers', 'nulls:{n}', count(*) FILTER (WHERE {n} IS NULL), CAST(0 AS BIGINT), "
               f"count(*) FILTER (WHERE {n} IS NULL) = 0 FROM answers\n" for n, _ in _CONTRACT if n != "source_file"))
 def _(spark, sf_dir):
-    return ex.schema_contract(v.answers(spark, sf_dir), QA_COMMON, "answers", min_rows=50)
+    return ex.schema_contract(v.answers(spark, sf_dir, evidence=True), QA_COMMON, "answers", min_rows=50)
 
 
 def _trust_layer(spark, sf_dir):

@@ -14,7 +14,7 @@ QA_COLUMNS = [f.name for f in schemas.QA_COMMON.fields]
 
 
 def _qa_common(spark, sf_dir):
-    return v.answers(spark, sf_dir).withColumn("source_file", F.lit("documents")).select(*QA_COLUMNS)
+    return v.answers(spark, sf_dir, evidence=True).withColumn("source_file", F.lit("documents")).select(*QA_COLUMNS)
 
 
 def _digest(df):
@@ -103,21 +103,19 @@ def _(spark, sf_dir):
 
 
 @query("normalise_nested_text", """
-SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN md5(lang || chr(10) || source || chr(10) || text)
-    WHEN 1 THEN md5('{"lang": ' || CAST(to_json(lang) AS VARCHAR) || ', "source": ' || CAST(to_json(source) AS VARCHAR) || '}')
-    WHEN 2 THEN md5(lang || ' ' || source) ELSE md5('') END AS text_md5
+SELECT doc_id, unnest(['list', 'object', 'values', 'missing']) AS shape, unnest([
+    md5(lang || chr(10) || source || chr(10) || text),
+    md5('{"lang": ' || CAST(to_json(lang) AS VARCHAR) || ', "text": ' || CAST(to_json(text) AS VARCHAR) || '}'),
+    md5(lang || ' ' || text), md5('')]) AS text_md5
 FROM documents""")
 def _(spark, sf_dir):
     d = v.documents(spark, sf_dir)
-    slot = F.col("doc_id") % 4
-    nested = F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source"))
-    d = (d.withColumn("as_list", F.when(slot == 0, F.array("lang", "source", "text")))
-         .withColumn("as_map", F.when(slot.isin(1, 2), nested)))
-    text = (F.when(slot == 0, tx.normalise_nested_list("as_list"))
-            .when(slot == 1, tx.normalise_nested_map("as_map"))
-            .when(slot == 2, tx.normalise_nested_map("as_map", as_json=False))
-            .otherwise(tx.normalise_nested_list("as_list")))
-    return d.select("doc_id", F.md5(text).alias("text_md5"))
+    nested = F.create_map(F.lit("lang"), F.col("lang"), F.lit("text"), F.col("text"))
+    shapes = {"list": tx.normalise_nested_list(F.array("lang", "source", "text")),
+              "object": tx.normalise_nested_map(nested), "values": tx.normalise_nested_map(nested, as_json=False),
+              "missing": tx.normalise_nested_list(F.lit(None).cast("array<string>"))}
+    rows = F.array(*[F.struct(F.lit(k).alias("shape"), F.md5(c).alias("text_md5")) for k, c in shapes.items()])
+    return d.select("doc_id", F.inline(rows))
 
 
 @query("optional_source", """

@@ -164,7 +164,7 @@ WHERE doc_id % 3 = 0"""
 
 def _tags(spark, sf_dir):
     """Tagged prompts in which every third row occurs twice."""
-    a = v.answers(spark, sf_dir).select(
+    a = v.answers(spark, sf_dir, evidence=True).select(
         "record_id", "dataset_name", F.col("hallucination_category").alias("fairness_category"),
         F.col("question").alias("prompt_a"), F.col("knowledge").alias("prompt_b"),
         (F.col("doc_id") % 2).cast("int").alias("has_pair"), "doc_id")

@@ -5,14 +5,14 @@ from pyspark.sql import functions as F
 from assayer.operators import trust as tr
 from assayer.plans import views as v
 from assayer.plans.registry import SQL_VIEWS, query
-from assayer.session import scratch_path
+from assayer.session import materialize, scratch_path
 from assayer.sources.schemas import CASE_LOG
 from assayer.streaming import cases as st
 
-# one signal row per key: the lowest (part, supplier, date) of the first order line
+# one signal row per key: the lowest of all its lines
 SQL_VIEWS["signals"] = """
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_group ORDER BY score_yes, score_no, score_supported, score_hallucinated, candidate_answer, best_similarity NULLS FIRST) AS rn
-               FROM cases WHERE l_linenumber = 1) WHERE rn = 1"""
+               FROM cases) WHERE rn = 1"""
 for _name, _source in (("evaluated", "signals"), ("routed", "evaluated_signals"), ("disposed", "routed_signals")):
     _inner = {"evaluated": "FROM cases", "routed": "FROM evaluated", "disposed": "FROM routed"}[_name]
     SQL_VIEWS[f"{_name}_signals"] = SQL_VIEWS[_name].replace(_inner, f"FROM {_source}")
@@ -21,10 +21,9 @@ SIGNALS = ["score_yes", "score_no", "score_maybe", "score_supported", "score_hal
 
 
 def signals(spark, sf_dir):
-    first = v.cases(spark, sf_dir).filter(F.col("l_linenumber") == 1)
     order = F.struct("score_yes", "score_no", "score_supported", "score_hallucinated",
                      "candidate_answer", "best_similarity")
-    return (first.groupBy(F.col("case_group").alias("case_key"))
+    return (v.cases(spark, sf_dir).groupBy(F.col("case_group").alias("case_key"))
             .agg(F.min_by(F.struct(*SIGNALS), order).alias("s")).select("case_key", "s.*"))
 
 
@@ -53,7 +52,8 @@ def _(spark, sf_dir):
     path, schema = _events(spark, sf_dir)
     log, checkpoint = scratch_path(spark, "stream-log"), scratch_path(spark, "stream-state")
     arriving = _keyed(st.read_case_stream(spark, path, schema, files_per_trigger=1))
-    routed = st.stream_case_disposition(arriving, signals(spark, sf_dir))
+    # every batch joins the signals: they are aggregated once and stored
+    routed = st.stream_case_disposition(arriving, materialize(signals(spark, sf_dir), "signals"))
     query = st.append_log(routed, log, checkpoint)
     query.awaitTermination()
     logged = spark.read.schema(CASE_LOG).parquet(log).select(

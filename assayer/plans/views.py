@@ -28,20 +28,28 @@ def documents(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def answers(spark, sf_dir) -> DataFrame:
+def answers(spark, sf_dir, evidence: bool = False) -> DataFrame:
+    """One answer per document: its text.  A document without a label counts as a correct answer.
+
+    ``evidence`` adds ``knowledge``: the question and the whole text of the next document, if there is one.
+    """
     d, l = documents(spark, sf_dir), table(spark, sf_dir, "labels")
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
     items = b.agg(F.count("*").alias("n"))
-    joined = (d.join(l, "doc_id").withColumn("item_id", F.col("doc_id") % items.scalar())
+    joined = (d.join(l, "doc_id", "left").withColumn("item_id", F.col("doc_id") % items.scalar())
               .join(b, "item_id", "left"))
-    wrong = F.greatest(F.col("toxic"), 1 - F.col("quality"))
+    if evidence:
+        after = documents(spark, sf_dir).select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("_next"))
+        # the corpus meets itself: whole texts are shuffled, never broadcast
+        joined = joined.join(after.hint("merge"), "doc_id", "left").withColumn(
+            "knowledge", F.concat("question", F.lit(" "), F.coalesce("_next", F.lit(""))))
+    wrong = F.coalesce(F.greatest(F.col("toxic"), 1 - F.col("quality")), F.lit(0))
     at = lambda k, values: F.element_at(F.array(*[F.lit(v) for v in values]),
                                         (F.col("doc_id") % k + 1).cast("int"))
     return joined.select(
         F.col("doc_id").cast("string").alias("record_id"), "doc_id",
         F.col("lang").alias("dataset_name"), F.col("source").alias("question_group_id"),
-        "question", F.concat(F.col("question"), F.lit(" "), F.substr(
-            F.col("text"), F.lit(1), F.floor(F.length("text") / 2).cast("int"))).alias("knowledge"),
+        "question", *(["knowledge"] if evidence else []),
         F.col("text").alias("answer"), wrong.alias("is_hallucinated"),
         F.when(wrong == 1, "student_answer").otherwise("correct_answer").alias("case_type"),
         F.when(F.col("doc_id") % 10 < 8, "dev").otherwise("eval").alias("source_split"),
@@ -52,14 +60,15 @@ def answers(spark, sf_dir) -> DataFrame:
 SQL_VIEWS["answers"] = """
 SELECT CAST(d.doc_id AS VARCHAR) AS record_id, d.doc_id, d.lang AS dataset_name,
        d.source AS question_group_id, b.text AS question,
-       b.text || ' ' || substr(d.text, 1, length(d.text) // 2) AS knowledge, d.text AS answer,
-       greatest(l.toxic, 1 - l.quality) AS is_hallucinated,
+       b.text || ' ' || coalesce(n.text, '') AS knowledge, d.text AS answer,
+       coalesce(greatest(l.toxic, 1 - l.quality), 0) AS is_hallucinated,
        CASE WHEN l.toxic = 1 OR l.quality = 0 THEN 'student_answer' ELSE 'correct_answer' END AS case_type,
        CASE WHEN d.doc_id % 10 < 8 THEN 'dev' ELSE 'eval' END AS source_split,
        CASE d.doc_id % 3 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' ELSE 'hard' END AS difficulty_level,
        CASE d.doc_id % 4 WHEN 0 THEN 'omission' WHEN 1 THEN 'fabrication'
             WHEN 2 THEN 'misread' ELSE 'unclear' END AS hallucination_category
-FROM documents d JOIN labels l USING (doc_id)
+FROM documents d LEFT JOIN labels l USING (doc_id)
+LEFT JOIN documents n ON n.doc_id = d.doc_id + 1
 LEFT JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)"""
 
 
@@ -150,14 +159,14 @@ WHERE a.role = 'user' AND b.role = 'assistant'"""
 
 
 def grounded_pairs(spark, sf_dir) -> DataFrame:
-    a = answers(spark, sf_dir)
-    nxt = table(spark, sf_dir, "documents").select(
-        (F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("_next"))
+    """Each answer, and the text two documents on as its hallucinated twin, on the same evidence."""
+    a = answers(spark, sf_dir, evidence=True)
+    other = documents(spark, sf_dir).select((F.col("doc_id") - 2).alias("doc_id"), F.col("text").alias("_other"))
     first = a.select(F.concat("record_id", F.lit("_ground_truth")).alias("record_id"),
                      "dataset_name", "knowledge", "answer", F.lit(0).alias("is_hallucinated"))
-    second = a.join(nxt, "doc_id").select(
+    second = a.join(other, "doc_id").select(
         F.concat("record_id", F.lit("_hallucinated")).alias("record_id"), "dataset_name",
-        "knowledge", F.col("_next").alias("answer"), F.lit(1).alias("is_hallucinated"))
+        "knowledge", F.col("_other").alias("answer"), F.lit(1).alias("is_hallucinated"))
     return first.unionByName(second)
 
 
@@ -166,7 +175,7 @@ SELECT record_id || '_ground_truth' AS record_id, dataset_name, knowledge, answe
 FROM answers
 UNION ALL
 SELECT a.record_id || '_hallucinated', a.dataset_name, a.knowledge, d.text, 1
-FROM answers a JOIN documents d ON d.doc_id = a.doc_id + 1"""
+FROM answers a JOIN documents d ON d.doc_id = a.doc_id + 2"""
 
 
 def bits(text: str) -> "F.Column":
@@ -177,9 +186,9 @@ def sql_bits(text: str) -> str:
     return f"CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT)"
 
 
-def splits(spark, sf_dir) -> DataFrame:
+def splits(spark, sf_dir, evidence: bool = False) -> DataFrame:
     """Answers split by hash of a (source, language) group: some groups one-sided."""
-    a = answers(spark, sf_dir).withColumn(
+    a = answers(spark, sf_dir, evidence).withColumn(
         "question_group_id", F.concat("question_group_id", F.lit("|"), "dataset_name"))
     slot = bits(F.concat("question_group_id", F.lit("|42"))) % 10
     return a.withColumn("split", F.when(slot < 6, "train").when(slot < 8, "validation")
@@ -218,67 +227,56 @@ def evidence_table(spark, sf_dir) -> DataFrame:
         F.concat(F.lit("topic "), "label").alias("question"), "source", "evidence")
 
 
-def corpus(spark, sf_dir) -> DataFrame:
-    return evidence_table(spark, sf_dir).filter(F.col("vec_id") % 10 != 0)
-
-
 def query_vectors(spark, sf_dir) -> DataFrame:
-    return vectors(spark, sf_dir).filter(F.col("vec_id") % 10 == 0).select(
+    """The stated query set: every row whose id is divisible by 20, searched for among all rows."""
+    return vectors(spark, sf_dir).filter(F.col("vec_id") % 20 == 0).select(
         F.concat(F.lit("q"), "vec_id").alias("query_id"), "embedding")
 
 
-def near_queries(spark, sf_dir) -> DataFrame:
-    """One query near each vector: it and a smaller part of the next one."""
-    e = vectors(spark, sf_dir)
-    after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("_next"))
-    mixed = F.when(F.col("_next").isNull(), F.col("embedding").cast("array<double>")).otherwise(
-        F.zip_with(F.col("embedding").cast("array<double>"), F.col("_next").cast("array<double>"),
-                   lambda x, y: x + 0.6 * y))
+def clustered_vectors(spark, sf_dir) -> DataFrame:
+    """Every vector moved towards one of the first sixteen: it counts for a seventh of the sum."""
+    e = vectors(spark, sf_dir).select("vec_id", F.col("embedding").cast("array<double>").alias("_own"))
+    centre = e.select(F.col("vec_id").alias("_at"), F.col("_own").alias("_centre"))
+    joined = e.withColumn("_at", F.col("vec_id") % 16).join(centre, "_at").withColumn(
+        "_m", F.zip_with("_centre", "_own", lambda x, y: x + 0.15 * y))
     norm = F.sqrt(F.aggregate("_m", F.lit(0.0), lambda a, x: a + x * x))
-    return (e.join(after, "vec_id", "left").withColumn("_m", mixed)
-            .select("vec_id", F.transform("_m", lambda x: x / norm).alias("embedding")))
+    return joined.select("vec_id", F.transform("_m", lambda x: x / norm).alias("embedding"))
 
 
 SQL_VIEWS["corpus_vecs"] = """
 SELECT 'e' || e.vec_id AS record_id, CAST(embedding AS DOUBLE[]) AS embedding,
        CASE WHEN e.vec_id % 5 = 0 THEN 'validation' ELSE 'train' END AS split,
        'topic ' || label AS question, d.source, d.text AS evidence
-FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id WHERE e.vec_id % 10 <> 0"""
+FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id"""
 SQL_VIEWS["query_vecs"] = """
-SELECT 'q' || vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings WHERE vec_id % 10 = 0"""
+SELECT 'q' || vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings WHERE vec_id % 20 = 0"""
 # exact top 3 with the fixture guard
 SQL_VIEWS["topk_hits"] = """
 SELECT query_id, rank, record_id, round(score, 3) AS similarity_score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, record_id) AS rank FROM (
     SELECT q.query_id, c.record_id, round(list_dot_product(q.embedding, c.embedding), 12) AS score
     FROM query_vecs q, corpus_vecs c) WHERE score >= 0.30) WHERE rank <= 3"""
-SQL_VIEWS["near_vecs"] = """
-SELECT vec_id, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) AS embedding FROM (
-  SELECT e.vec_id, CASE WHEN n.vec_id IS NULL THEN CAST(e.embedding AS DOUBLE[]) ELSE list_transform(
-      list_zip(CAST(e.embedding AS DOUBLE[]), CAST(n.embedding AS DOUBLE[])), lambda p: p[1] + 0.6 * p[2]) END AS m
-  FROM embeddings e LEFT JOIN embeddings n ON n.vec_id = e.vec_id + 1)"""
 
 
 def claim_vectors(spark, sf_dir) -> DataFrame:
-    return vectors(spark, sf_dir).filter(F.col("vec_id") % 2 == 0).select(
+    """Every vector is a claim of one of 25 records."""
+    return vectors(spark, sf_dir).select(
         (F.col("vec_id") % 25).alias("record_id"), F.col("vec_id").alias("claim_id"),
         (F.col("vec_id") % 6 == 0).alias("high_impact"), "embedding")
 
 
 def evidence_vectors(spark, sf_dir) -> DataFrame:
-    """Records 7 and 8 have no evidence, so the empty branch is exercised."""
-    return vectors(spark, sf_dir).filter(
-        (F.col("vec_id") % 2 == 1) & ~(F.col("vec_id") % 25).isin(7, 8)).select(
-        (F.col("vec_id") % 25).alias("record_id"), F.col("vec_id").alias("evidence_id"), "embedding")
+    """Every vector is evidence of one of 23 of those records; the first two have none."""
+    return vectors(spark, sf_dir).select(
+        (F.col("vec_id") % 23 + 2).alias("record_id"), F.col("vec_id").alias("evidence_id"), "embedding")
 
 
 SQL_VIEWS["claim_vecs"] = """
 SELECT vec_id % 25 AS record_id, vec_id AS claim_id, vec_id % 6 = 0 AS high_impact,
-       CAST(embedding AS DOUBLE[]) AS embedding
-FROM embeddings WHERE vec_id % 2 = 0"""
+       CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings"""
 SQL_VIEWS["evidence_vecs"] = """
-SELECT vec_id % 25 AS record_id, vec_id AS evidence_id, CAST(embedding AS DOUBLE[]) AS embedding
-FROM embeddings WHERE vec_id % 2 = 1 AND vec_id % 25 NOT IN (7, 8)"""
+SELECT vec_id % 23 + 2 AS record_id, vec_id AS evidence_id, CAST(embedding AS DOUBLE[]) AS embedding
+FROM embeddings"""
 SQL_VIEWS["vec_best"] = """
 SELECT record_id, claim_id, max(score) AS similarity FROM (
   SELECT c.record_id, c.claim_id, list_dot_product(c.embedding, e.embedding) AS score
@@ -403,7 +401,7 @@ FROM answers"""
 def responses(spark, sf_dir) -> DataFrame:
     """Single and paired responses; single rows have no second side."""
     paired = F.col("doc_id") % 2 == 1
-    return answers(spark, sf_dir).select(
+    return answers(spark, sf_dir, evidence=True).select(
         "record_id", "doc_id", "dataset_name",
         F.when(paired, "paired_prompt_comparison").otherwise("single_prompt_fairness").alias(
             "evaluation_type"),
@@ -600,8 +598,12 @@ SELECT l.*, coalesce(s.combined_grounding, l.answer_claim_grounding_score) AS fi
 FROM claim_rollup l LEFT JOIN (
   SELECT record_id, avg(combined) AS combined_grounding,
          count(*) FILTER (WHERE combined < 0.35) AS combined_unsupported
-  FROM semantic_scored GROUP BY record_id) s USING (record_id)
-WHERE CAST(l.record_id AS BIGINT) % 11 <> 3"""
+  FROM semantic_scored GROUP BY record_id) s USING (record_id)"""
+# every prediction, and some more under ids that no answer has: their grounding is missing
+SQL_VIEWS["trust_predictions"] = """
+SELECT * FROM predictions
+UNION ALL
+SELECT * REPLACE ('unseen-' || record_id AS record_id) FROM predictions WHERE doc_id % 11 = 3"""
 SQL_VIEWS["trust"] = """
 SELECT *, CASE WHEN score IS NULL OR coalesce(high_impact > 0, false) OR conflict = 1 OR score < 0.45
                THEN 'mandatory_human_review'
@@ -613,32 +615,39 @@ FROM (SELECT *, CASE WHEN final_grounding_score IS NULL THEN NULL ELSE greatest(
   FROM (SELECT p.*, g.final_grounding_score, g.final_unsupported_claim_count,
           g.unsupported_high_impact_claim_count AS high_impact,
           CAST(p.predicted_label = 0 AND coalesce(g.final_unsupported_claim_count, 0) > 0 AS INT) AS conflict
-        FROM predictions p LEFT JOIN grounding g USING (record_id)))"""
+        FROM trust_predictions p LEFT JOIN grounding g USING (record_id)))"""
 
 
 def lexical_rollup(spark, sf_dir) -> DataFrame:
     from assayer.operators.grounding import claim_grounding_rollup
-    return claim_grounding_rollup(answers(spark, sf_dir),
+    return claim_grounding_rollup(answers(spark, sf_dir, evidence=True),
                                   ["record_id", "dataset_name", "is_hallucinated"], LISTS)
 
 
 def grounding(spark, sf_dir) -> DataFrame:
-    """Lexical grounding, semantic for even documents; every 11th record is missing.
+    """Lexical grounding, semantic for even documents.
 
     Both come from the same claim rows, so the text is split and scored once.
     """
     from assayer.operators.grounding import claim_grounding_with_semantics
     from assayer.operators.trust import final_grounding
     even = F.col("record_id").cast("bigint") % 2 == 0
-    present = answers(spark, sf_dir).filter(F.col("doc_id") % 11 != 3)
     both = claim_grounding_with_semantics(
-        present, ["record_id"], F.when(even, F.col("claim_token_support")), LISTS)
+        answers(spark, sf_dir, evidence=True), ["record_id"],
+        F.when(even, F.col("claim_token_support")), LISTS)
     return final_grounding(both)
 
 
+def trust_predictions(spark, sf_dir) -> DataFrame:
+    """Every prediction, and some more under ids that no answer has: their grounding is missing."""
+    p = predictions(spark, sf_dir)
+    return p.unionByName(p.filter(F.col("doc_id") % 11 == 3).withColumn(
+        "record_id", F.concat(F.lit("unseen-"), "record_id")))
+
+
 def trust(spark, sf_dir) -> DataFrame:
     from assayer.operators.trust import trust_score
-    return trust_score(predictions(spark, sf_dir), grounding(spark, sf_dir))
+    return trust_score(trust_predictions(spark, sf_dir), grounding(spark, sf_dir))
 
 
 # model table for the vector variant: one prediction per record of the vector fixture
