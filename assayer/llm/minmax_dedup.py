@@ -14,8 +14,9 @@ only pairs across components are compared, each in the first band the two share.
 
 Nulls and edges: a null text is an empty text; texts without words have an empty set and are linked
 with nothing; a null id is returned with a null component and links nothing; repeated rows are
-repeated in the result; rows that share an id with different texts are documents of their own under
-that id; other columns are not read.
+repeated in the result; rows that share an id with different texts are documents of their own, each with
+the component of its own text; other columns are not read.  ``keep_one`` carries rows whole, whatever
+their columns are called, and of equal rows it keeps one.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from assayer.llm import words
 from assayer.llm.graphs import components
@@ -82,8 +83,12 @@ def _key(shingles: np.ndarray) -> bytes:
 
 
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE,
-           permutations: int = PERMUTATIONS, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """``id``, ``n_shingles``, ``key`` (digest of the set; null if empty), ``bands`` and ``sig`` bytes."""
+           permutations: int = PERMUTATIONS, rows: int = ROWS, bands: int = BANDS,
+           row: Column | None = None) -> DataFrame:
+    """``id``, ``row``, ``n_shingles``, ``key`` (digest of the set; null if empty), ``bands`` and ``sig`` bytes.
+
+    ``row`` numbers the rows; unless given, the numbers hold only once the result is stored.
+    """
     if rows * bands > 2 * permutations:
         raise ValueError("the bands need more signature values than the permutations give")
     factors = words.stream(11, permutations).astype(np.uint32) | np.uint32(1)
@@ -102,30 +107,38 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
                 found = bands_of(values, rows, bands).view(np.int64)
                 offsets = np.arange(0, found.size + 1, bands, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
+                    [batch.column("id"), batch.column("row"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
                      pa.ListArray.from_arrays(offsets, pa.array(found.ravel())),
                      pa.array([v.tobytes() for v in byte_of(values)], pa.binary())],
-                    ["id", "n_shingles", "key", "bands", "sig"])
+                    ["id", "row", "n_shingles", "key", "bands", "sig"])
 
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"),
+                         (F.monotonically_increasing_id() if row is None else row).alias("row"))
     id_type = source.schema["id"].dataType.simpleString()
     return source.mapInArrow(
-        run, f"id {id_type}, n_shingles long, key binary, bands array<bigint>, sig binary")
+        run, f"id {id_type}, row long, n_shingles long, key binary, bands array<bigint>, sig binary")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """``id`` and full sorted ``shingles`` of the wanted ids.  The plan is the same at every size."""
+    """``id`` and full sorted ``shingles`` of the wanted classes (``id``, and ``doc`` and ``key`` to find the text by).
+
+    Texts of the same document id with another set are left out.  The plan is the same at every size.
+    """
     def run(batches):
         for whole in batches:
             for batch in words.row_blocks(whole, "text"):
-                texts = words.as_bytes(batch.column("text"))
-                sets = [s.tobytes() for i, j in words.slices(texts) for s in shingle_sets(texts[i:j], k)]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())],
-                                                 ["id", "shingles"])
+                texts, keys = words.as_bytes(batch.column("text")), batch.column("key").to_pylist()
+                sets = [s for i, j in words.slices(texts) for s in shingle_sets(texts[i:j], k)]
+                good = [_key(s) == key for s, key in zip(sets, keys, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    ["id", "shingles"]).filter(pa.array(good, pa.bool_()))
 
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    id_type = source.schema["id"].dataType.simpleString()
-    return source.join(wanted.hint("merge"), "id").mapInArrow(run, f"id {id_type}, shingles binary")
+    source = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("binary").alias("text"))
+    found = source.join(wanted.hint("merge"), "doc").select("id", "key", "text").mapInArrow(
+        run, "id long, shingles binary")
+    # equal rows of one document id give the same set
+    return found.groupBy("id").agg(F.first("shingles").alias("shingles"))
 
 
 def linked(ours: np.ndarray, other: np.ndarray, percent: int) -> bool:
@@ -237,7 +250,7 @@ def _tile_links(rows: DataFrame, percent: int) -> DataFrame:
 def links(classes: DataFrame, fetch, percent: int = 75, tile: int = TILE) -> DataFrame:
     """Links ``a``, ``b`` between classes (``id``, ``bands``, ``sig``) that share a bucket.
 
-    ``fetch(wanted)`` gives the full sets of ids.  Complete up to links inside one component.
+    ``fetch(wanted)`` gives the full sets of class ids.  Complete up to links inside one component.
     """
     members = classes.select("id", F.posexplode("bands").alias("band", "bucket"))
     centre = (members.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("n"))
@@ -268,25 +281,44 @@ def links(classes: DataFrame, fetch, percent: int = 75, tile: int = TILE) -> Dat
     return star.unionAll(materialize(rest, "links"))
 
 
+def _classified(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int,
+                row: Column | None = None) -> DataFrame:
+    """``id``, ``row``, ``n_shingles`` and ``least``: the smallest (id, row) of the component, null if in none.
+
+    Documents with equal sets are one class, named after the row number of its first document.
+    """
+    known = materialize(sketch(docs, id_col, text_col, k, row=row), "sketch")
+    named = known.filter("key IS NOT NULL AND id IS NOT NULL").withColumn("first", F.struct("id", "row"))
+    classes = named.groupBy("key").agg(F.min("first").alias("first"),
+                                       F.min_by(F.struct("bands", "sig"), "first").alias("s"))
+    classes = classes.select(F.col("first.row").alias("id"), "key", "first", "s.bands", "s.sig")
+    place = classes.select("id", F.col("first.id").alias("doc"), "key")
+    fetch = lambda wanted: sets_of(docs, place.join(wanted, "id"), id_col, text_col, k)
+    root = components(links(classes.drop("key", "first"), fetch, percent)).withColumnRenamed("node", "id")
+    rooted = classes.select("id", "key", "first").join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    return known.select("id", "row", "n_shingles", "key").join(
+        rooted.join(least, "root").select("key", "least"), "key", "left").withColumn(
+        "least", F.when(F.col("id").isNotNull(), F.col("least")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     k: int = SHINGLE, percent: int = 75) -> DataFrame:
     """``id_col``, ``n_shingles``, ``component_id`` and ``kept`` for each row of ``docs``."""
-    known = materialize(sketch(docs, id_col, text_col, k), "sketch")
-    named = known.filter("key IS NOT NULL AND id IS NOT NULL")
-    classes = named.groupBy("key").agg(F.min_by(F.struct("bands", "sig"), "id").alias("s"),
-                                       F.min("id").alias("id")).select("id", "s.bands", "s.sig")
-    # one row per id: where an id has several texts, each of them counts
-    fetch = lambda wanted: sets_of(docs, wanted, id_col, text_col, k)
-    root = components(links(classes, fetch, percent)).withColumnRenamed("node", "first")
-    firsts = named.groupBy("key").agg(F.min("id").alias("first"))
-    least = firsts.join(root, "first", "left").select("key", F.coalesce("root", "first").alias("least"))
-    out = known.select("id", "n_shingles", "key").join(least, "key", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("least", "id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"),
-                      (F.col("id") == component).alias("kept"))
+    component = F.coalesce("least.id", "id")
+    return _classified(docs, id_col, text_col, k, percent).select(
+        F.col("id").alias(id_col), "n_shingles", component.alias("component_id"),
+        (F.col("id") == component).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents without the near-duplicates of a smaller id; rows without id stay."""
-    gone = near_duplicates(docs, id_col, text_col).filter("NOT kept").select(id_col)
-    return docs.join(gone.distinct().hint("merge"), id_col, "left_anti").select(*docs.columns)
+    """One document, the first row of the smallest id, of each group of near-duplicates.
+
+    Rows without id or words stay.  Rows are stored with a number and decided on one by one.
+    """
+    rows = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+                                   F.monotonically_increasing_id().alias("row")), "numbered")
+    texts = rows.select(F.col("doc")[id_col].alias("id"), F.col("doc")[text_col].alias("text"), "row")
+    found = _classified(texts, "id", "text", SHINGLE, 75, F.col("row"))
+    gone = found.filter("least.row <> row").select("row")
+    return rows.join(gone.hint("merge"), "row", "left_anti").select("doc.*")

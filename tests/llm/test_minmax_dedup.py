@@ -63,3 +63,26 @@ def test_empty_nulls_and_repeats(spark):
     assert sorted((x.doc_id, x.component_id) for x in out if x.doc_id) == [(2, 2), (3, 2), (3, 2)]
     assert len(out) == 4
     assert md.keep_one(spark.createDataFrame(rows, schema)).count() == 2
+
+
+def test_rows_that_share_an_id(spark):
+    """A near copy under an id takes only itself away; equal rows leave one; any column names."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    near = lambda t: t + " more"
+    rows = [(1, a, "x"), (5, near(a), "y"), (5, c, "z"), (7, b, "p"), (7, b, "p"), (9, near(b), "q"), (9, near(a), "r"),
+            (None, a, "n"), (8, None, "e"), (8, "", "f")]
+    names = ["doc_id", "text", "row"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string").withColumns(
+        {"doc": F.lit("clash"), "least": F.lit(1), "key": F.lit(2), "a.b": F.lit(3)})
+    kept = md.keep_one(df.repartition(3))
+    assert kept.columns == df.columns
+    got = sorted((r["row"] for r in kept.collect()))
+    assert got == ["e", "f", "n", "p", "x", "z"]
+    found = sorted((r.doc_id, r.component_id, r.kept) for r in md.near_duplicates(df).collect() if r.doc_id)
+    assert found == [(1, 1, True), (5, 1, False), (5, 5, True), (7, 7, True), (7, 7, True), (8, 8, True), (8, 8, True),
+                     (9, 1, False), (9, 7, False)]
+    assert names == df.columns[:3]
+    # two texts under one id do not join their groups
+    two = spark.createDataFrame([(5, a), (5, b), (7, near(a)), (9, near(b)), (2, near(near(b)))], "doc_id long, text string")
+    out = sorted((r.doc_id, r.component_id) for r in md.near_duplicates(two).collect())
+    assert out == [(2, 2), (5, 2), (5, 5), (7, 5), (9, 2)]
