@@ -1,5 +1,6 @@
 """Sources and sinks: tables are written in a file shape and read back."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from assayer.functions import text as tx
@@ -66,6 +67,19 @@ def _(spark, sf_dir):
         F.sum(F.length("prompt_b")).alias("chars_b"))
 
 
+def _documents(entries, brackets):
+    """One document per task: the opening bracket, entries with commas between them, the closing bracket."""
+    def document(batches):
+        before = brackets[0]
+        for batch in batches:
+            for value in batch["value"]:
+                yield pd.DataFrame({"value": [before + value]})
+                before = ", "
+        yield pd.DataFrame({"value": [brackets[1] if before == ", " else brackets]})
+
+    return entries.mapInPandas(document, "value string")
+
+
 @query("read_object_map_json", """
 SELECT record_id, md5(question) AS question_md5, 2 AS contexts, length(answer) AS context_chars,
        CASE is_hallucinated WHEN 1 THEN 'no' ELSE 'yes' END AS decision FROM answers""")
@@ -74,13 +88,12 @@ def _(spark, sf_dir):
     item = F.struct(F.col("question").alias("QUESTION"), F.array(
         F.substr("answer", F.lit(1), half), F.substr("answer", half + 1)).alias("CONTEXTS"),
         F.when(F.col("is_hallucinated") == 1, "no").otherwise("yes").alias("final_decision"))
-    # one document per 50 consecutive ids: the number of documents grows, their size does not
-    documents = (v.answers(spark, sf_dir)
-                 .groupBy(F.floor(F.col("doc_id") / 50).alias("part"))
-                 .agg(F.map_from_entries(F.collect_list(F.struct("record_id", item))).alias("m")))
+    entries = v.answers(spark, sf_dir).select(F.regexp_replace(
+        F.to_json(F.create_map("record_id", item)), r"^\{|\}$", "").alias("value"))
+
     path = scratch_path(spark, "objects")
-    documents.select(F.to_json("m").alias("value")).write.text(path)
-    return readers.read_object_map_json(spark, path, document_per_line=True).select(
+    _documents(entries, "{}").write.text(path)
+    return readers.read_object_map_json(spark, path).select(
         "record_id", F.md5("QUESTION").alias("question_md5"), F.size("CONTEXTS").alias("contexts"),
         F.aggregate("CONTEXTS", F.lit(0), lambda a, c: a + F.length(c)).cast("bigint").alias("context_chars"),
         F.col("final_decision").alias("decision"))
@@ -88,13 +101,16 @@ def _(spark, sf_dir):
 
 @query("read_any_format", """
 SELECT f.format, lang, count(*) AS rows, CAST(sum(length(text)) AS BIGINT) AS chars
-FROM documents, (SELECT unnest(['csv', 'jsonl', 'parquet']) AS format) f GROUP BY ALL""")
+FROM documents, (SELECT unnest(['csv', 'json', 'jsonl', 'parquet']) AS format) f GROUP BY ALL""")
 def _(spark, sf_dir):
     d = v.documents(spark, sf_dir).select("doc_id", "text", "lang")
     out = None
-    for fmt in ("csv", "jsonl", "parquet"):
+    for fmt in ("csv", "json", "jsonl", "parquet"):
         path = scratch_path(spark, "any") + f".{fmt}"
-        writers.write_table(d, path, fmt)
+        if fmt == "json":  # documents that hold a list of rows each
+            _documents(d.select(F.to_json(F.struct("*")).alias("value")), "[]").write.text(path)
+        else:
+            writers.write_table(d, path, fmt)
         part = readers.read_any_format(spark, path, d.schema).groupBy("lang").agg(
             F.count("*").alias("rows"), F.sum(F.length("text")).alias("chars")).withColumn(
             "format", F.lit(fmt))

@@ -5,14 +5,14 @@ from __future__ import annotations
 import csv
 import io
 import os
-from itertools import islice
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from assayer.operators.normalize import pairs_of_cells
 from assayer.sources.schemas import OBJECT_MAP
+from assayer.sources.split_csv import csv_records
+from assayer.sources.split_objects import object_entries
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -20,47 +20,45 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def _cells(record: str) -> list[str]:
+    return next(csv.reader(io.StringIO(record, newline="")), [])
+
+
 def read_csv_typed(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Headered CSV with quoted multi-line text.
+    """Headered CSV with quoted multi-line text, split like any other text.
 
     Columns are matched by header name (a file with another header fails the
-    read), a byte order mark is ignored, and ids
-    keep their declared type (``007`` stays text).  Multi-line files cannot be
-    split, so write many files of moderate size.
+    read), a byte order mark is ignored, and ids keep their declared type (``007`` stays text).
     """
-    options = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
-    names = spark.read.options(**options).csv(path).columns
-    as_text = StructType()
-    for name in names:
-        as_text = as_text.add(name, "string")
-    raw = spark.read.schema(as_text).options(**options, enforceSchema=False).csv(path)
-    raw = raw.toDF(*[name.lstrip("﻿").strip() for name in names])
-    missing = [f.name for f in schema.fields if f.name not in raw.columns]
+    records = csv_records(spark, path)
+    headers = [r[0] for r in records.filter("source_row_id = 0").select("record").distinct().limit(2).collect()]
+    if len(headers) > 1:
+        raise ValueError(f"files with different headers: {headers}")
+    csv.field_size_limit(2**31 - 1)
+    names = [name.lstrip("\ufeff").strip() for name in _cells(headers[0])] if headers else schema.fieldNames()
+    missing = [f.name for f in schema.fields if f.name not in names]
     if missing:
         raise ValueError(f"missing columns: {missing}")
-    return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    shape = ", ".join(f"c{i} string" for i in range(len(names)))
+    row = records.filter("source_row_id > 0").select(
+        F.from_csv("record", shape, {"quote": '"', "escape": '"'}).alias("r"))
+    return row.select(*[F.col(f"r.c{names.index(f.name)}").cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def read_headerless_pairs(spark: SparkSession, path: str) -> DataFrame:
     """Ragged CSV without header -> prompt_a / prompt_b per row.
 
-    A row may have any number of cells.  ``source_row_id`` is the row's position in
+    A row may have any number of cells, and a cell line breaks in quotes; a file of any size is read by as
+    many tasks as it has splits.  ``source_row_id`` is the row's position in
     its file (from 0, blank lines left out), and ``record_id`` names the data set and
     the whole hash of path and position, so equal rows keep ids of their own.
-    Quoted cells may hold line breaks, hence one task parses a file.
     """
-    def rows(batches):
+    def cells(batches):
         csv.field_size_limit(2**31 - 1)
         for batch in batches:
-            for file, text in zip(batch["source_path"], batch["value"], strict=True):
-                lines = (r for r in csv.reader(io.StringIO(text, newline="")) if r)
-                for start, part in enumerate(iter(lambda: list(islice(lines, 4096)), [])):
-                    yield pd.DataFrame({"source_path": file, "cells": part,
-                                        "source_row_id": range(start * 4096, start * 4096 + len(part))})
-
-    whole = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("source_path"), "value")
-    raw = whole.mapInPandas(rows, "source_path string, cells array<string>, source_row_id long")
+            yield batch.assign(cells=batch["record"].map(_cells)).drop(columns="record")
+
+    raw = csv_records(spark, path).mapInPandas(cells, "source_path string, source_row_id long, cells array<string>")
     file = F.regexp_extract("source_path", r"([^/]+)$", 1)
     named = raw.withColumn("source_file", file).withColumn(
         "dataset_name", F.regexp_replace("source_file", r"\.csv$", ""))
@@ -72,10 +70,10 @@ def read_object_map_json(spark: SparkSession, path: str, value_type: str = OBJEC
                          document_per_line: bool = False) -> DataFrame:
     """``{id: {...}}`` documents -> one row per id.
 
-    By default a file is one document (parsed by one task); with
-    ``document_per_line`` files hold many documents and can be split.
+    By default a document may fill a file of any size: its entries are cut out by as many tasks as the file
+    has splits.  With ``document_per_line`` files hold many documents, each parsed as a whole.
     """
-    text = spark.read.text(path, wholetext=not document_per_line)
+    text = spark.read.text(path) if document_per_line else object_entries(spark, path).select(F.col("entry").alias("value"))
     return (text.select(F.explode(F.from_json("value", value_type)).alias("record_id", "_v"))
             .select("record_id", "_v.*"))
 
