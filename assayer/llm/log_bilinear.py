@@ -8,10 +8,12 @@ is its product with the unit's own vector plus a bias.  Inside a group a word ha
 of the group's count, with one place for unknown words, so probabilities sum to one over known words
 and one unknown word per group.
 
-Training: every task runs numpy stochastic gradient steps on the contrastive loss over its share of
-the training texts (unigram noise, shared by a batch), all from the same start, and the parameters
-are averaged by token count in Spark.  A second pass starts from that average.  Scoring computes all
-units' scores of a batch as one matrix product and normalises them exactly.
+Training: texts are dealt into shards of about ``SHARD_TOKENS`` tokens by a hash of the row, so shards
+(and with them the model) do not depend on how the table is partitioned, and a shard is long enough to
+learn from whatever its number.  Each shard runs numpy stochastic gradient steps on the contrastive loss over
+its texts in the order of their hash (unigram noise, shared by a batch), all from the same start, and the
+parameters are averaged by token count in Spark.  A second pass starts from that average.  Scoring
+computes all units' scores of a batch as one matrix product and normalises them exactly.
 
 Counts of the most frequent words (``LISTED``) are sent to every task, all others meet their counts
 in a join.  Only a text's sums leave its task.
@@ -36,6 +38,7 @@ HEAD, GROUPS, CONTEXT, WIDTH = 191, 64, 3, 24
 UNITS = HEAD + GROUPS + 1  # the last unit is the end of a text, which also stands before its beginning
 LISTED = 1 << 16
 BATCH, NOISE, RATE, PASSES = 2048, 48, 0.05, 2
+SHARD_TOKENS, MAX_SHARDS = 1 << 21, 4096  # beyond that many, shards grow
 END_HASH = np.uint64(1)
 FLUSH = 1 << 21
 
@@ -217,23 +220,76 @@ def _unpacked(flat: np.ndarray, like: Model) -> Model:
     return out
 
 
-def train_pass(docs: DataFrame, shared, start: Model) -> Model:
-    """Parameters after one pass over all training texts, averaged over tasks by token count."""
+def shard_count(tokens: int) -> int:
+    return max(1, min(MAX_SHARDS, round(tokens / SHARD_TOKENS)))
+
+
+def unit_texts(docs: DataFrame, shared, shards: int) -> DataFrame:
+    """``shard``, ``h`` (hash of the row) and ``units`` (two bytes each, without ends) of every text."""
     def run(batches):
         vocabulary = shared.value
-        share = vocabulary.unigram ** 0.75
-        trainer = Trainer(start, share / share.sum(), 1)
-        for _, (h, g, splits) in _slices(batches):
-            target, context = with_ends(vocabulary.units(vocabulary.look_up(h), g), splits)
-            for at in range(0, len(target), BATCH):
-                trainer.step(target[at:at + BATCH], context[at:at + BATCH])
-        if trainer.tokens:
-            flat = _packed(trainer.m).astype(np.float64) * trainer.tokens
+        for batch, (h, g, splits) in _slices(batches):
+            units = vocabulary.units(vocabulary.look_up(h), g).astype("<i2")
+            flat = pa.py_buffer(units.tobytes())
+            offsets = pa.py_buffer((splits * 2).astype("<i4").tobytes())
+            texts = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, offsets, flat])
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("h"), texts], ["shard", "h", "units"])
+
+    key = F.xxhash64("id", "text")
+    rows = docs.select(F.pmod(key, F.lit(shards)).cast("int").alias("shard"), key.alias("h"), "text")
+    return rows.mapInArrow(run, "shard int, h long, units binary")
+
+
+class _Shard:
+    """Feeds a trainer with batches of equal size, wherever the rows of a shard are cut."""
+
+    def __init__(self, start: Model, share: np.ndarray):
+        self.trainer = Trainer(start, share, 1)
+        self.target, self.context = np.zeros(0, np.int64), np.zeros((0, CONTEXT), np.int64)
+
+    def add(self, units: np.ndarray, splits: np.ndarray) -> None:
+        target, context = with_ends(units, splits)
+        self.target, self.context = np.concatenate([self.target, target]), np.concatenate([self.context, context])
+        whole = len(self.target) // BATCH * BATCH
+        for at in range(0, whole, BATCH):
+            self.trainer.step(self.target[at:at + BATCH], self.context[at:at + BATCH])
+        self.target, self.context = self.target[whole:], self.context[whole:]
+
+    def end(self) -> tuple[np.ndarray, int]:
+        if len(self.target):
+            self.trainer.step(self.target, self.context)
+        return _packed(self.trainer.m).astype(np.float64) * self.trainer.tokens, self.trainer.tokens
+
+
+def train_pass(units: DataFrame, shared, start: Model) -> Model:
+    """Parameters after one pass over all training texts, averaged over shards by token count."""
+    def run(batches):
+        share = shared.value.unigram ** 0.75
+        share, number, shard, total, tokens = share / share.sum(), None, None, 0.0, 0
+        for whole in batches:
+            for batch in words.row_blocks(whole, "units", 4 << 20):
+                dealt = np.asarray(batch.column("shard"))
+                cuts = [0, *(np.flatnonzero(np.diff(dealt)) + 1).tolist(), len(dealt)]
+                for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+                    if a == z:
+                        continue
+                    if dealt[a] != number:
+                        if shard:
+                            flat, n = shard.end()
+                            total, tokens = total + flat, tokens + n
+                        number, shard = dealt[a], _Shard(start, share)
+                    texts = batch.column("units").slice(a, z - a).to_pylist()
+                    splits = np.concatenate([[0], np.cumsum([len(t) // 2 for t in texts])])
+                    shard.add(np.frombuffer(b"".join(texts), "<i2").astype(np.int64), splits)
+        if shard:
+            flat, n = shard.end()
+            total, tokens = total + flat, tokens + n
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat),
-                 pa.array(np.full(len(flat), trainer.tokens), pa.int64())], ["at", "value", "tokens"])
+                [pa.array(np.arange(len(total)), pa.int32()), pa.array(total),
+                 pa.array(np.full(len(total), tokens), pa.int64())], ["at", "value", "tokens"])
 
-    mean = (docs.select("text").mapInArrow(run, "at int, value double, tokens long")
+    dealt = units.repartition("shard").sortWithinPartitions("shard", "h", "units")
+    mean = (dealt.mapInArrow(run, "at int, value double, tokens long")
             .groupBy("at").agg((F.sum("value") / F.sum("tokens")).alias("value"))).toArrow()
     if not mean.num_rows:
         return start
@@ -304,8 +360,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passe
     vocabulary = Vocabulary(pa.concat_tables([end.toArrow(), listed.toArrow()]), totals, n, v)
     shared = spark.sparkContext.broadcast(vocabulary)
     model = fresh(vocabulary)
+    units = materialize(unit_texts(training, shared, shard_count(n)), "units")
     for _ in range(passes):
-        model = train_pass(training, shared, model)
+        model = train_pass(units, shared, model)
     local = materialize(local_sums(rows, shared, model).withColumn("uid", F.monotonically_increasing_id()), "local")
     rare = local.select("uid", F.explode(F.arrays_zip("rare", "sizes")).alias("x")).selectExpr("uid", "x.rare AS word", "x.sizes AS k")
     found = (rare.join(counts.select("word", "c"), "word").groupBy("uid")

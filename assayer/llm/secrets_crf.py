@@ -3,19 +3,24 @@
 Tokens are runs of letters, digits and ``+ / _ . -``.  Each is tagged as begin of a secret, inside or
 outside, from its shape, the words before and after it, the characters between them and features of
 the whole text.  The field is trained by gradient ascent on its log-likelihood (forward-backward) on
-a bounded sample of texts, tagged by the fixed patterns; their own key words and value marks are
-hidden in half of the training windows, so that it also learns to go by the rest.  Decoding is exact
+a bounded sample of texts.  Their tags are the spans of the fixed patterns and secrets planted for training,
+which the patterns cannot explain: random values behind made-up key names or in plain words.  Planted
+beside them are harmless strings of digits and letters (times, versions, addresses, numbers), which stay
+outside.  In half of the windows the words and marks around secrets are hidden, so that the field also
+learns to go by the value.  Decoding is exact
 Viterbi: a token whose outside score leads by more than transitions could win back is outside in the
 best path, so paths are computed over the stretches between such tokens only.  Spans of the patterns
 always stay; the field adds those that overlap none of them.
 
 Nulls and edges: null and empty texts have no spans; a text may be of any length and is read whole;
-without training rows only the patterns count; repeated rows and extra columns change nothing.
+without training rows only the patterns count; repeated rows and extra columns change nothing; ties
+between paths go to the tag listed first (outside, begin, inside).
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -24,7 +29,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from assayer.llm import words
 
-SAMPLE = 600
+SAMPLE = 600  # texts with and without pattern spans, each
+WINDOWS = 4  # training windows around pattern spans, and around planted strings, of one text
+LONGEST = 1 << 20  # bytes of a training text; longer ones are scanned, not learnt from
 CONTEXT = 12
 STEPS = 80
 O, B, I = 0, 1, 2
@@ -231,52 +238,146 @@ def spans_of(data: bytes | None, model) -> list[tuple[int, int, int]]:
     return sorted(base + extra, key=lambda s: (s[0], s[2], s[1]))
 
 
+_SYLLABLES = "ba co di fu ge hi jo ka lu me no pi qua re su ta vi wo xe zy".split()
+_LOWER_CASE, _CAPITALS, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+
+
+def _word(r: random.Random, least: int = 2, most: int = 4) -> str:
+    return "".join(r.choice(_SYLLABLES) for _ in range(r.randint(least, most)))
+
+
+def planted_secret(r: random.Random) -> tuple[str, str]:
+    """What stands before a made-up secret, and its value."""
+    alphabet = r.choice([_LOWER_CASE + _CAPITALS + _DIGITS, _LOWER_CASE + _CAPITALS + _DIGITS, _CAPITALS + _DIGITS,
+                         _LOWER_CASE + _DIGITS, "abcdef" + _DIGITS, _LOWER_CASE + _CAPITALS + _DIGITS + "+/_-"])
+    size = r.choice([12, 16, 20, 24, 28, 30, 31, 36, 40])
+    value = "".join(r.choice(alphabet) for _ in range(min(size, 31) if "g" not in alphabet.lower() else size))
+    mixed = [r.choice(_DIGITS), r.choice(alphabet), r.choice(_DIGITS)]
+    value = value[:3] + "".join(mixed) + value[6:]
+    if r.random() < 0.15:
+        value = r.choice(["sk", "pk", "ghx", "xob", "AIz"]) + r.choice("-_") + value
+    name = r.choice([_word(r), f"{_word(r, 1, 2)}_{r.choice(['key', 'pin', 'code', 'id'])}", _word(r).upper(),
+                     f"{_word(r, 1, 2)}-{_word(r, 1, 2)}", "the " + _word(r), f"{_word(r, 1, 2)} {_word(r, 1, 2)}"])
+    return name + r.choice(["=", ": ", " = ", "='", ': "', " is ", " ", " -> ", ":"]), value
+
+
+def planted_harmless(r: random.Random) -> str:
+    """A string of digits and letters that is no secret."""
+    number = lambda n: "".join(r.choice(_DIGITS) for _ in range(n))
+    return r.choice([
+        lambda: f"20{number(2)}-0{r.randint(1, 9)}-1{r.randint(0, 9)}T1{r.randint(0, 9)}:{number(2)}:{number(2)}Z",
+        lambda: f"v{r.randint(0, 20)}.{r.randint(0, 30)}.{r.randint(0, 9)}-{r.choice(['beta', 'rc1', 'final'])}",
+        lambda: f"+{r.randint(1, 99)} {number(3)} {number(7)}", lambda: number(r.randint(3, 16)),
+        lambda: f"https://{_word(r)}.{r.choice(['org', 'com', 'net'])}/{_word(r)}/{_word(r)}_{number(4)}.html",
+        lambda: f"{_word(r)}{number(r.randint(1, 4))}@{_word(r)}.com", lambda: f"{number(3)}-{number(2)}-{number(4)}",
+        lambda: f"/usr/{_word(r)}/{_word(r)}-{number(1)}.{number(1)}/{_word(r)}.py", lambda: f"{_word(r).title()}{_word(r).title()}",
+        lambda: f"{_word(r)}-{_word(r)}-{_word(r)}_{_word(r)}", lambda: f"{r.randint(1, 9999)},{number(3)}.{number(2)}",
+        lambda: f"{_word(r).upper()}-{number(2)}", lambda: f"{number(1)}{r.choice(['st', 'nd', 'th', 'kg', 'MB', 'am'])}",
+        lambda: f"{number(4)} {number(4)} {number(4)} {number(4)}", lambda: f"{number(3)}.{number(2)}.{number(1)}.{number(2)}",
+        lambda: f"{_word(r)}_{_word(r)}_{_word(r)}({_word(r)})"])()
+
+
+def with_planted(text: str, r: random.Random) -> tuple[str, list[tuple[int, int]], list[int]]:
+    """The text with planted strings between words, the spans of the secrets, and where the harmless ones begin."""
+    gaps = [m.end() for m in re.finditer(r"\s+", text)] or [len(text)]
+    kinds = [True] * r.randint(0, WINDOWS // 2 + 1) + [False] * r.randint(0, WINDOWS)
+    places = sorted((r.choice(gaps), r.random(), k) for k in kinds)
+    out, at, secrets, harmless = [], 0, [], []
+    size = 0
+    for place, _, secret in places:
+        out.append(text[at:place])
+        size += place - at
+        at = place
+        before, value = planted_secret(r) if secret else ("", planted_harmless(r))
+        closing = {"'": "'", '"': '"'}.get(before[-1:], "")
+        (secrets.append((size + len(before), size + len(before) + len(value))) if secret else harmless.append(size))
+        piece = f"{before}{value}{closing}" + r.choice([" ", "\n", ". ", ", "])
+        out.append(piece)
+        size += len(piece)
+    return "".join(out) + text[at:], secrets, harmless
+
+
 def training_windows(data: bytes, number: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Windows around pattern spans, and one elsewhere; odd windows hide what the patterns look at."""
-    text = data.decode("utf-8", "replace")
+    """Windows around secrets and harmless strings, and one elsewhere; odd windows hide what stands around."""
+    if len(data) > LONGEST:
+        return []
+    r = random.Random(number)
+    text, secrets, harmless = with_planted(data.decode("utf-8", "replace"), r)
+    data = text.encode("utf-8", "replace")
     array = np.frombuffer(data, np.uint8)
     starts, ends = tokens_of(array)
     if not len(starts):
         return []
     tags = np.zeros(len(starts), np.int64)
-    prefix = lambda n: len(text[:n].encode("utf-8", "replace"))
+    known = []
     for a, z, kind in base_spans(text, data):
         if kind == 0:
             m = ASSIGN.match(text, a)
             a, z = m.start(2), m.end(2)
-        mine = np.flatnonzero((starts < prefix(z)) & (ends > prefix(a)))
+        known.append((a, z))
+    r.shuffle(known)
+    offsets = np.concatenate([[0], np.cumsum([len(c.encode("utf-8", "replace")) for c in text])])
+    marks = []
+    for a, z in known + secrets:
+        mine = np.flatnonzero((starts < offsets[z]) & (ends > offsets[a]))
         tags[mine] = I
         tags[mine[:1]] = B
-    out = []
-    marks = np.flatnonzero(tags == B)
-    for k, at in enumerate([*marks[:4], (number * 7919) % len(tags)]):
-        hidden = np.zeros(len(tags), bool)
+        marks.append(int(mine[0]) if len(mine) else 0)
+    chosen = marks[:WINDOWS] + marks[len(known):]
+    chosen += [int(np.searchsorted(ends, offsets[a], "right").clip(0, len(tags) - 1)) for a in harmless]
+    out, plain = [], None
+    for k, at in enumerate([*chosen, r.randrange(len(tags))]):
         if (number + k) % 2:
+            hidden = np.zeros(len(tags), bool)
             hidden[at] = True
-        _, _, codes = features(array, hidden)
+            _, _, codes = features(array, hidden)
+        else:
+            if plain is None:
+                _, _, plain = features(array)
+            codes = plain
         part = slice(max(0, at - CONTEXT), at + CONTEXT)
         out.append((codes[part], tags[part]))
     return out
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE):
-    """The field, fitted in one task on at most ``2 * sample`` texts drawn by hash of their id."""
+    """The field, fitted in one task on the windows of about ``sample`` texts with pattern spans and as many of all.
+
+    The texts are drawn by a hash of id and text in the tasks that read them; only their windows leave those.
+    """
     pattern = "(?i)(passw(or)?d|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]{12}|[0-9a-f]{32}"
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
-    some = lambda rows: rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "text")
-    marked = some(source.filter(F.col("text").rlike(pattern)))
-    rows = marked.unionAll(some(source)).select(F.xxhash64("id", "text").alias("h"), F.col("text").cast("binary"))
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    source = docs.select(key.alias("h"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
+    source = source.withColumn("marked", F.col("text").rlike(pattern))
+    counts = source.agg(F.count("*").alias("all"), F.count_if("marked").alias("marked")).first()
+    slots = 1 << 30
+    part = lambda rows: int(slots * min(1.0, sample / max(1, rows)))
+    place = F.pmod("h", F.lit(slots))
+    drawn = source.filter((place < part(counts["all"])) | (F.col("marked") & (place < part(counts["marked"])))).select(
+        "h", F.col("text").cast("binary").alias("text"))
+
+    def cut(batches):
+        for whole in batches:
+            for batch in words.row_blocks(whole, "text"):
+                out = [(h, k, f.tobytes(), t.tobytes())
+                       for h, text in zip(batch.column("h").to_pylist(), words.as_bytes(batch.column("text")), strict=True)
+                       for k, (f, t) in enumerate(training_windows(text, h & 0x7FFFFFFF))]
+                kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+                columns = list(zip(*out, strict=True)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
+                                                 ["h", "k", "codes", "tags"])
 
     def run(batches):
-        texts = sorted({(h, t) for b in batches for h, t in zip(b.column("h").to_pylist(), words.as_bytes(b.column("text")))})
-        windows = [w for i, (_, t) in enumerate(texts) for w in training_windows(t, i)]
+        rows = sorted({tuple(r.values()) for b in batches for r in b.to_pylist()})
+        windows = [(np.frombuffer(f, np.int32).reshape(-1, len(WIDTHS)), np.frombuffer(t, np.int64)) for _, _, f, t in rows]
         if windows:
             weights, move = fit(windows)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([weights.astype("<f4").tobytes()], pa.binary()), pa.array([move.astype("<f8").tobytes()], pa.binary())],
                 ["weights", "move"])
 
-    model = rows.repartition(1).mapInArrow(run, "weights binary, move binary").first()
+    windows = drawn.mapInArrow(cut, "h long, k int, codes binary, tags binary")
+    model = windows.repartition(1).mapInArrow(run, "weights binary, move binary").first()
     if model is None:
         return None
     return (np.frombuffer(model["weights"], "<f4").reshape(-1, 3), np.frombuffer(model["move"], "<f8").reshape(3, 3))

@@ -120,16 +120,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return (*(np.frombuffer(t, "<f4") for t in model[:2]), model["bias"]) if model else None
 
 
-def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
-          text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_score`` in [0, 1]."""
-    columns = docs.columns
+def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """``doc`` (the row as one struct, so its columns may have any names) and ``score`` in [0, 1]."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for whole in batches:
-            for batch in words.row_blocks(whole, "_text"):
-                texts = words.as_bytes(batch.column("_text"))
+            for batch in words.row_blocks(whole, "text"):
+                texts = words.as_bytes(batch.column("text"))
                 if shared.value is None:
                     scores = np.zeros(len(texts))
                 else:
@@ -137,22 +135,22 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
                     raw = [weights[row].sum(dtype=np.float64) / math.sqrt(squares[row].sum(dtype=np.float64) + 1e-9)
                            for row in gram_buckets(texts)]
                     scores = 1 / (1 + np.exp(-np.clip(np.array(raw) + bias, -500, 500)))
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c) for c in columns), pa.array(scores, pa.float64())], [*columns, "_score"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(scores, pa.float64())], ["doc", "score"])
 
-    fields = StructType([*docs.schema.fields, StructField("_score", DoubleType())])
-    return docs.withColumn("_text", F.col(text_col).cast("binary")).mapInArrow(run, fields)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+                       F.col(f"`{text_col}`").cast("binary").alias("text"))
+    return rows.mapInArrow(run, StructType([rows.schema["doc"], StructField("score", DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              label_col: str = "toxic", per_class: int = PER_CLASS) -> DataFrame:
     """``id_col``, ``held_out``, ``score`` and ``predicted`` for each row."""
     model = train(docs, labels, id_col, text_col, label_col, per_class)
-    scored = score(docs.select(id_col, text_col), model, id_col, text_col)
-    return scored.select(id_col, held_out(F.col(id_col)).alias("held_out"), F.col("_score").alias("score"),
-                         (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    scored = score(docs.select(id_col, text_col), model, text_col).select(F.col("doc")[id_col].alias(id_col), "score")
+    return scored.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents that score below one half."""
-    return score(docs, train(docs, labels)).filter("_score < 0.5").select(*docs.columns)
+    return score(docs, train(docs, labels)).filter("score < 0.5").select("doc.*")

@@ -119,7 +119,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", payload_col: str
 
     rows = with_references(pages, id_col, payload_col, least).mapInArrow(run, "value binary")
     (rows.select(F.col("value").cast("string")).write.option("lineSep", "\n").option("compression", "gzip")
-     .text(path))
+     .option("maxRecordsPerFile", 0).text(path))  # a session's limit would cut archives inside records
 
 
 def _header(lines: list[bytes]) -> dict[str, str]:

@@ -1,14 +1,15 @@
 """Byte-pair encoding through a distinct-word table.
 
-Words are split and counted over the whole corpus in Spark.  The most frequent ones (``frequent``, a
-size bound) are encoded once in Spark; their ids and decoded pieces go to every task as a broadcast
-table and are joined back to the word positions.  Rarer words are encoded once per task, in the
-task's own distinct-word table.  (Joining those by position as well would move the ids of nearly
+Words are split and counted over the whole corpus in Spark.  The most frequent ones (at most ``frequent`` of at
+most ``LONGEST`` bytes, all those above a count that a histogram gives) are encoded once, by all tasks; their
+ids go to every task as a broadcast table and are joined back to the word positions.  Rarer and
+longer words are encoded once per task, in the task's own distinct-word table.  (Joining those by position as well would move the ids of nearly
 every document through a shuffle.)  Ids are decoded through an id-to-piece table, as large as the
 vocabulary.
 
 Nulls and edges: a null text is an empty text, which has no ids; a text holding a special token is
-cut there; repeated rows give repeated rows; only id and text are read.
+cut there; repeated rows give repeated rows; words of equal count are listed together or not at all;
+texts of any length are read whole; an empty table gives no rows; only id and text are read.
 """
 
 from __future__ import annotations
@@ -25,8 +26,11 @@ from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
 from assayer.llm import words
+from assayer.session import materialize
 
 FREQUENT = 1 << 18
+LONGEST = 64  # bytes of a listed word: the table sent to every task has a bound in bytes
+STEPS = 16  # classes of counts per doubling
 TABLE_FLUSH = 1 << 18
 # fixed values: the published word pattern of this vocabulary
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -104,7 +108,10 @@ def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
 
 
 def word_table(counts: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
-    """``word`` and ``ids`` of the most frequent words, each encoded once."""
+    """``word`` and ``ids`` of the most frequent words of stored ``counts``, each encoded once.
+
+    One row per class of counts reaches the driver, which says from which class on words are listed.
+    """
     def run(batches):
         code = coder(path)
         for batch in batches:
@@ -113,19 +120,28 @@ def word_table(counts: DataFrame, path: str, frequent: int = FREQUENT) -> DataFr
                 [batch.column("word"), pa.array([code.encode_word(w) for w in listed], pa.list_(pa.int32()))],
                 ["word", "ids"])
 
-    return (counts.orderBy(F.desc("n"), "word").limit(frequent).select("word")
-            .mapInArrow(run, "word string, ids array<int>"))
+    short = counts.filter(F.octet_length("word") <= LONGEST).withColumn(
+        "class", F.floor(F.log2(F.col("n")) * STEPS).cast("int"))
+    total, least = 0, None
+    for r in sorted(short.groupBy("class").agg(F.count("*").alias("m")).collect(), key=lambda r: -r["class"]):
+        total += r["m"]
+        if total > frequent:
+            break
+        least = r["class"]
+    listed = short.filter(F.col("class") >= (2**31 - 1 if least is None else least)).select("word")
+    return listed.mapInArrow(run, "word string, ids array<int>")
 
 
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
                   frequent: int = FREQUENT) -> DataFrame:
     """``ids`` (little-endian unsigned 32-bit) and ``decoded`` text of each document."""
     spark = docs.sparkSession
-    listed = word_table(word_counts(docs, path, text_col), path, frequent).toArrow()
-    sizes = np.diff(np.asarray(listed.column("ids").combine_chunks().offsets))
+    counts = materialize(word_counts(docs, path, text_col), "word-counts")
+    listed = word_table(counts, path, frequent).toArrow()
+    ids = listed.column("ids").to_pylist()
     shared = spark.sparkContext.broadcast((
-        "\n".join(listed.column("word").to_pylist()), sizes.astype(np.int32),
-        np.asarray(listed.column("ids").combine_chunks().flatten(), np.uint32)))
+        "\n".join(listed.column("word").to_pylist()), np.array([len(x) for x in ids], np.int32),
+        np.array([i for x in ids for i in x], np.uint32)))
 
     def run(batches):
         code = coder(path)

@@ -60,3 +60,19 @@ def test_probabilities_sum_to_one():
     assert abs(total.sum() - 1) < 1e-5
     # group 3 without its head word: one word of count 2, one unknown
     assert abs(10 ** voc.group_log[3] - (2 + 1 + 1)) < 1e-9
+
+
+def test_training_does_not_depend_on_partitions(spark):
+    """One partition or many: the same shards, the same scores, well above the unigram."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    means = []
+    for parts in (1, 4, 32, 200):
+        held = lb.score(docs.repartition(parts)).filter("held_out").agg(
+            F.sum("score") / F.sum("n_tokens"), F.sum("base_score") / F.sum("n_tokens")).first()
+        means.append(held[0])
+        assert held[0] > held[1] + 0.1
+    assert max(means) - min(means) < 1e-3 and min(means) > -3.95
+
+
+def test_shards_grow_with_the_tokens():
+    assert [lb.shard_count(n) for n in (0, 10**6, 10**7, 10**9, 10**14)] == [1, 1, 5, 477, 4096]

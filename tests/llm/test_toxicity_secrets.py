@@ -1,8 +1,11 @@
 """Held-out accuracy of the classifier; spans against the contract's patterns."""
 
 import hashlib
+import math
+import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -14,18 +17,63 @@ SF = "/root/testdata/sf0.01"
 
 
 def test_toxicity_held_out(spark):
-    out = {r.doc_id: r for r in queries.op8_toxicity(spark, SF).collect()}
-    rows = duckdb.sql(f"select doc_id, text, toxic from '{SF}/documents.parquet' "
-                      f"left join '{SF}/labels.parquet' using (doc_id)").fetchall()
+    large = "/root/testdata/sf0.1"  # smaller tables hold six toxic held-out labels
+    out = {r.doc_id: r for r in queries.op8_toxicity(spark, large).collect()}
+    rows = duckdb.sql(f"select doc_id, text, toxic from '{large}/documents.parquet' "
+                      f"left join '{large}/labels.parquet' using (doc_id)").fetchall()
     assert len(out) == len(rows)
-    hits = []
+    hits, toxic_ones, majority = [], [], []
     for i, text, toxic in rows:
         r = out[i]
         assert r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
         assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5)
         if r.held_out and toxic is not None:
             hits.append(r.predicted == toxic)
-    assert len(hits) > 50 and np.mean(hits) > 0.9
+            majority.append(toxic == 0)
+            toxic_ones += [r.predicted] * toxic
+    # better than calling nothing toxic, and at least 45 of 100 toxic labels found (some labels are flipped)
+    assert len(hits) > 50 and np.mean(hits) > max(0.9, np.mean(majority)) and np.mean(toxic_ones) >= 0.45
+    assert np.mean([out[i].predicted for i, _, toxic in rows if toxic == 0]) < 0.02
+
+
+def test_scores_equal_a_plain_fit(spark):
+    """The same loss, order and steps written out with dictionaries, on a small table."""
+    r = random.Random(2)
+    nice, rude = "good day kind friend thanks for the help".split(), "you stupid awful idiot go away fool".split()
+    rows = [(i, " ".join(r.choice(rude if i % 3 == 0 else nice) for _ in range(r.randrange(3, 12)))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    out = {x.doc_id: x for x in tox.toxicity(docs, labels).collect()}
+    seen = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 5]
+    p, q = Counter(), Counter()
+    grams = {i: next(tox.gram_buckets([t.encode()])).tolist() for i, t in rows}
+    for i, _ in seen:
+        (p if i % 3 == 0 else q).update(set(grams[i]))
+    size = 1 << tox.BITS
+    total_p, total_q = sum(p.values()) + size, sum(q.values()) + size
+    ratio = lambda g: math.log((p[g] + 1) / total_p) - math.log((q[g] + 1) / total_q)
+    weights, bias = Counter(), 0.0
+    value = lambda i: (lambda n: sum(weights[g] * ratio(g) for g in grams[i]) / n + bias)(
+        math.sqrt(sum(ratio(g) ** 2 for g in grams[i]) + 1e-9))
+    for _ in range(tox.EPOCHS):
+        for k in tox.words.stream(7, len(seen)).argsort():
+            i = seen[k][0]
+            n = math.sqrt(sum(ratio(g) ** 2 for g in grams[i]) + 1e-9)
+            error = 1 / (1 + math.exp(-value(i))) - (i % 3 == 0)
+            for g in grams[i]:
+                weights[g] -= tox.RATE * error * ratio(g) / n
+            bias -= tox.RATE / 10 * error
+    for i, _ in rows:  # all rows with a label were drawn, so the prior changes nothing
+        assert abs(out[i].score - 1 / (1 + math.exp(-value(i)))) < 1e-4
+    assert all(out[i].predicted == (i % 3 == 0) for i, _ in rows)
+
+
+def test_stage_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "fine", 1, 2, 3, 4), (2, None, 1, 2, 3, 4)], "doc_id long, text string, _score int, _text int, doc int, score int")
+    df = df.withColumn("a.b", F.lit(5))
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    out = tox.without_toxic(df, labels)
+    assert out.columns == df.columns and sorted(map(tuple, out.collect())) == sorted(map(tuple, df.collect()))
 
 
 def test_toxicity_edges(spark):
@@ -95,3 +143,39 @@ def test_field_goes_beyond_patterns(spark):
     found = sc.spans_of(b"some words here key = \"f3a9c07b21d4e6b8f3a9\" and more words follow it", model)
     assert (23, 43, 3) in found
     assert sc.spans_of(b"some words here and more plain words follow it", model) == []
+
+
+NAMES = ["passphrase", "credential", "auth_code", "PIN", "bearer", "private-key", "login", "access code", "license",
+         "signing_key", "client id", "session"]
+
+
+def test_field_finds_secrets_of_unseen_names_in_unseen_texts(spark):
+    """Trained on half of the documents; key names and values of the test are made in another way than those planted."""
+    rows = [(i, t) for i, t in duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet'").fetchall() if t]
+    model = sc.train(spark.createDataFrame([x for x in rows if x[0] % 2 == 0], "doc_id long, text string"))
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    r, found, missed, wrong, plain = random.Random(99), 0, 0, 0, 0
+    for _, text in [x for x in rows if x[0] % 2] * 2:
+        gaps = [g.end() for g in re.finditer(r"\s+", text)]
+        if not gaps:
+            continue
+        at, value = r.choice(gaps), "".join(r.choice(letters) for _ in range(r.choice([16, 20, 24, 32, 40])))
+        piece = f"{r.choice(NAMES)}{r.choice(['=', ': ', ' is ', ' '])}{value} "
+        start = at + piece.index(value)
+        spans = sc.spans_of((text[:at] + piece + text[at:]).encode(), model)
+        hits = [s for s in spans if s[0] < start + len(value) and start < s[1]]
+        found, missed = found + bool(hits), missed + (not hits)
+        wrong += sum(s[2] == 3 and s not in hits for s in spans)
+        plain += sum(s[2] == 3 for s in sc.spans_of(text.encode(), model))
+    assert found + missed >= 150
+    assert found / (found + missed) >= 0.9 and found / max(1, found + wrong) >= 0.9
+    assert plain <= 0.02 * (found + missed)
+
+
+def test_planted_strings_are_where_they_are_said_to_be():
+    for seed in range(200):
+        r = random.Random(seed)
+        text, secrets, harmless = sc.with_planted("Größe one two  three\nfour " * r.randrange(1, 5), r)
+        for a, z in secrets:
+            assert len(text[a:z]) >= 12 and " " not in text[a:z] and re.search(r"\d", text[a:z])
+        assert all(0 <= a < len(text) and not text[a].isspace() for a in harmless)

@@ -140,3 +140,14 @@ def test_rows_of_an_id_and_lengths_have_results_of_their_own(spark):
     assert got == sorted([
         (1, 1, 1, True), (2, 1, 1, False), (2, 0, 2, True), (2, 0, 2, True), (3, 2, 3, True), (4, 2, 3, False),
         (5, 1, 5, True), (6, 1, 5, False), (7, 2, 3, False), (8, 1, 8, True), (8, 1, 8, False), (0, 0, None, None)], key=str)
+
+
+def test_archives_are_not_cut_inside_records(spark):
+    rows = [(i, "u", "<p>line</p>\n" * (i % 50) + f"page {i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 7)
+    try:
+        got = {r.page_id: r.payload_digest for r in warc.round_trip(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert got == {i: hashlib.sha256(t.encode()).hexdigest() for i, _, t in rows}
