@@ -14,6 +14,7 @@ from pyspark.ml.feature import (
     RegexTokenizer, SQLTransformer,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.linalg import DenseVector, SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -123,6 +124,24 @@ def fit_logistic(train: DataFrame, c: float, rows: int, label: str = "label",
                               standardization=False, maxIter=max_iter, tol=tol).fit(train)
 
 
+def gradient_norm(model: LogisticRegressionModel, ready: DataFrame, c: float, label: str = "label") -> float:
+    """Length of the gradient of the stated loss at the model's weights: near 0 for the minimum, and only there.
+
+    The loss is convex, so this certifies a fit whatever found it.  ``ready`` has label, weight and features
+    of the training rows; every task sums its residuals into one vector.
+    """
+    residual = F.col("weight") * (F.element_at(vector_to_array("probability"), 2) - F.col(label))
+    rows = model.transform(ready.select(label, "weight", "features")).select("features", "weight", residual.alias("_r"))
+    # the summarizer takes no negative weights: positive and negative residuals apart
+    total = lambda weight: Summarizer.metrics("sum").summary(F.col("features"), weight)
+    summary = rows.select(
+        total(F.greatest("_r", F.lit(0.0))).alias("up"), total(F.greatest(-F.col("_r"), F.lit(0.0))).alias("down"),
+        F.sum("weight").alias("total"), F.sum("_r").alias("bias"), F.count("*").alias("n")).first()
+    slope = (summary["up"]["sum"].toArray() - summary["down"]["sum"].toArray()) / summary["total"]
+    slope = slope + model.coefficients.toArray() / (c * summary["n"])
+    return float(np.sqrt((slope ** 2).sum() + (summary["bias"] / summary["total"]) ** 2))
+
+
 @dataclass
 class FittedClassifier:
     features: TextFeatures
@@ -178,10 +197,10 @@ def top_features(classifier: FittedClassifier, spark, n: int = 50) -> DataFrame:
 
 
 def embedding_lr_classifier(train: DataFrame, vector: str = "embedding", label: str = "label",
-                            c: float = 1.0) -> LogisticRegressionModel:
+                            c: float = 1.0, tol: float = 1e-4) -> LogisticRegressionModel:
     ready = class_weights(vector_features(train, vector), label).select(label, "weight", "features")
     rows = train.count()
-    return fit_logistic(ready, c, rows, label)
+    return fit_logistic(ready, c, rows, label, tol=tol)
 
 
 def vector_features(df: DataFrame, vector: str = "embedding") -> DataFrame:

@@ -159,7 +159,10 @@ def quality_summary(df: DataFrame, by: list[str]) -> DataFrame:
 def repair_overlay(df: DataFrame, repairs: DataFrame, key: str = "case_id",
                    answer: str = "candidate_answer", label: str = "expected_label",
                    only_label: str = "hallucinated") -> DataFrame:
-    """Apply audited overrides by id and record the audit status."""
+    """Apply audited overrides by id and record the audit status.
+
+    ``checked.write_repaired`` writes the result only if every override hits one row of the right label.
+    """
     fix = repairs.select(F.col(key).alias("_k"), F.col(answer).alias("_new"))
     joined = df.join(fix, (F.col(key) == F.col("_k")) & (F.col(label) == only_label), "left")
     return (joined

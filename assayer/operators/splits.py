@@ -217,7 +217,10 @@ def sequential_case_ids(df: DataFrame, order: list[str], split: str = "split",
 
 
 def incremental_todo(df: DataFrame, done: DataFrame, key: str = "record_id") -> DataFrame:
-    """Rows without a finished result."""
+    """Rows without a finished result.
+
+    With ``done`` from ``writers.write_bucketed`` the history is neither shuffled nor sorted.
+    """
     return df.join(done.select(key), key, "left_anti")
 
 

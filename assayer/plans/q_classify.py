@@ -10,7 +10,9 @@ from assayer.operators.metrics import binary_metrics
 from assayer.operators.splits import hash_percent
 from assayer.plans import views as v
 from assayer.plans.registry import SQL_VIEWS, query
+from assayer.session import materialize
 
+OPTIMAL = 0.1  # the gradient at the fit is at most this part of that at weights of 0
 RATES = ["accuracy", "precision", "recall", "f1_score"]
 SQL_VIEWS["slotted"] = """
 SELECT record_id, is_hallucinated, CAST('0x' || substr(md5(record_id), 1, 8) AS BIGINT) % 100 AS slot FROM answers"""
@@ -28,17 +30,9 @@ def _parts(rows):
     return rows.filter(slot < 60), rows.filter((slot >= 60) & (slot < 80)), rows.filter(slot >= 80)
 
 
-_FITTED = {}
-
-
 def _fit(spark, sf_dir):
-    """The fitted classifier of a session and a folder; three queries share it."""
     train, validation, test = _parts(_rows(spark, sf_dir))
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _FITTED:
-        _FITTED.clear()
-        _FITTED[key] = cl.tfidf_lr_classifier(train, validation)
-    return _FITTED[key], validation, test
+    return cl.tfidf_lr_classifier(train, validation), validation, test
 
 
 def _checked(metrics, *keep):
@@ -51,13 +45,18 @@ def _checked(metrics, *keep):
 
 @query("tfidf_lr_classifier", """
 SELECT count(*) AS rows, count(*) FILTER (WHERE is_hallucinated = 1) AS positives, true AS rates_in_range,
-       true AS candidate_selected FROM slotted WHERE slot >= 80""")
+       true AS candidate_selected, true AS optimal FROM slotted WHERE slot >= 80""")
 def _(spark, sf_dir):
     fitted, _, test = _fit(spark, sf_dir)
     predicted = cl.classifier_predictions(fitted.model, fitted.features.transform(test))
     best = max(fitted.candidates, key=lambda found: found[1])  # the first of equals
-    return _checked(binary_metrics(predicted)).withColumn(
-        "candidate_selected", F.lit(fitted.best_c in cl.CANDIDATE_C and fitted.best_c == best[0]))
+    train, _, _ = _parts(_rows(spark, sf_dir))
+    ready = materialize(cl.class_weights(fitted.features.transform(train)).select("label", "weight", "features"), "ready")
+    start = cl.fit_logistic(ready, fitted.best_c, ready.count(), max_iter=0)
+    slope, steepest = (cl.gradient_norm(m, ready, fitted.best_c) for m in (fitted.model, start))
+    return _checked(binary_metrics(predicted)).withColumns({
+        "candidate_selected": F.lit(fitted.best_c in cl.CANDIDATE_C and fitted.best_c == best[0]),
+        "optimal": F.lit(slope <= OPTIMAL * steepest)})
 
 
 @query("classifier_predictions", """
@@ -88,16 +87,44 @@ def _(spark, sf_dir):
         F.count_distinct("feature").cast("int").alias("features"), edge.alias("right_order"))
 
 
-@query("embedding_lr_classifier", """
-SELECT count(*) AS rows, count(*) FILTER (WHERE label >= 5) AS positives, true AS rates_in_range
-FROM embeddings WHERE CAST('0x' || substr(md5(CAST(vec_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 >= 80""")
+# the same loss minimised in SQL by accelerated gradient steps: one row per weight, the last one is the intercept
+EMBEDDING_STEPS = 250
+SQL_VIEWS["lr_rows"] = """
+SELECT vec_id AS i, CAST(label >= 5 AS DOUBLE) AS label, list_append(CAST(embedding AS DOUBLE[]), 1.0) AS x,
+       CAST('0x' || substr(md5(CAST(vec_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 < 80 AS train FROM embeddings"""
+SQL_VIEWS["lr_cells"] = """
+SELECT i, label, 1 / (2.0::DOUBLE * of_class) AS share, 1.0::DOUBLE / n AS ridge, generate_subscripts(x, 1) AS d, unnest(x) AS v
+FROM (SELECT *, count(*) OVER () AS n, count(*) OVER (PARTITION BY label) AS of_class FROM lr_rows WHERE train)"""
+_LR_SQL = f"""
+WITH RECURSIVE fitted(step, d, w, y) AS (
+  SELECT 0, d, 0.0::DOUBLE, 0.0::DOUBLE FROM (SELECT DISTINCT d FROM lr_cells)
+  UNION ALL
+  SELECT f.step + 1, f.d, f.y - 1.9 * (g.g + g.ridge * f.y), 1.84 * (f.y - 1.9 * (g.g + g.ridge * f.y)) - 0.84 * f.w
+  FROM fitted f JOIN (
+    SELECT c.d, sum(r.r * c.v) AS g, CASE WHEN c.d <= 64 THEN max(c.ridge) ELSE 0 END AS ridge
+    FROM lr_cells c JOIN (
+      SELECT c.i, max(c.share) * (1 / (1 + exp(-sum(c.v * f.y))) - max(c.label)) AS r
+      FROM lr_cells c JOIN fitted f USING (d) GROUP BY c.i) r USING (i) GROUP BY c.d) g USING (d)
+  WHERE f.step < {EMBEDDING_STEPS}),
+scored AS (
+  SELECT label, 1 / (1 + exp(-list_dot_product(x, (SELECT list(w ORDER BY d) FROM fitted WHERE step = {EMBEDDING_STEPS})))) AS p
+  FROM lr_rows WHERE NOT train)
+SELECT count(*) AS rows, count(*) FILTER (WHERE label = 1) AS positives, avg(CAST((p >= 0.5) = (label = 1) AS INT)) AS accuracy,
+       round(avg(p), 5) AS mean_probability, round(avg(p * p), 5) AS mean_square FROM scored"""
+
+
+@query("embedding_lr_classifier", _LR_SQL, doubles="accuracy")
 def _(spark, sf_dir):
     rows = v.vectors(spark, sf_dir).select(
         F.col("vec_id").cast("string").alias("record_id"), "embedding",
         (F.col("label") >= 5).cast("double").alias("label"), hash_percent("vec_id").alias("_slot"))
     train, test = rows.filter(F.col("_slot") < 80), rows.filter(F.col("_slot") >= 80)
-    model = cl.embedding_lr_classifier(train)
-    return _checked(binary_metrics(cl.classifier_predictions(model, cl.vector_features(test))))
+    model = cl.embedding_lr_classifier(train, tol=1e-9)
+    p = F.col("hallucination_probability")
+    return cl.classifier_predictions(model, cl.vector_features(test)).agg(
+        F.count("*").alias("rows"), F.count_if(F.col("is_hallucinated") == 1).alias("positives"),
+        F.avg((F.col("predicted_label") == F.col("is_hallucinated")).cast("int")).alias("accuracy"),
+        F.round(F.avg(p), 5).alias("mean_probability"), F.round(F.avg(p * p), 5).alias("mean_square"))
 
 
 @query("ablation_metrics", """

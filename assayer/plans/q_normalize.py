@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from assayer import terms
 from assayer.functions import text as tx
-from assayer.operators import normalize as nz, splits as sp
+from assayer.operators import checked as ck, normalize as nz, splits as sp
 from assayer.plans import views as v
 from assayer.plans.registry import SQL_VIEWS, query
+from assayer.session import scratch_path
 
 
 def _sql_fill(template: str, **slots: str) -> str:
@@ -182,6 +183,47 @@ def _(spark, sf_dir):
     return nz.quality_summary(nz.candidate_quality_flags(s), ["lang", "candidate_conclusion"])
 
 
+def _overlay_cases(spark, sf_dir):
+    cases = _stance_pairs(spark, sf_dir).withColumn("case_id", F.col("sample_id") * 2 + F.when(
+        F.col("expected_label") == "hallucinated", 1).otherwise(0))
+    repairs = v.table(spark, sf_dir, "benchmark").select(
+        (F.col("item_id") * 6 + 1).alias("case_id"), F.col("text").alias("candidate_answer"))
+    return cases, repairs
+
+
+SQL_VIEWS["overlay_cases"] = """
+SELECT sample_id * 2 + CAST(expected_label = 'hallucinated' AS BIGINT) AS case_id, expected_label, candidate_answer FROM stance_pairs"""
+
+
+@query("repair_violations", """
+SELECT r.case_id, count(c.case_id) AS matched_rows, count(*) FILTER (WHERE c.expected_label <> 'hallucinated') AS wrong_label_rows
+FROM (SELECT item_id * 6 + 1 AS case_id FROM benchmark UNION ALL SELECT item_id * 6 FROM benchmark WHERE item_id % 5 = 0
+      UNION ALL SELECT -1 - item_id FROM benchmark WHERE item_id % 7 = 0) r LEFT JOIN overlay_cases c USING (case_id)
+GROUP BY r.case_id HAVING count(c.case_id) <> 1 OR count(*) FILTER (WHERE c.expected_label <> 'hallucinated') > 0""")
+def _(spark, sf_dir):
+    """All overrides, and some more for cases of the wrong label and for cases that do not exist."""
+    cases, repairs = _overlay_cases(spark, sf_dir)
+    items = v.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("candidate_answer"))
+    wrong = items.filter("item_id % 5 = 0").select((F.col("item_id") * 6).alias("case_id"), "candidate_answer")
+    absent = items.filter("item_id % 7 = 0").select((-1 - F.col("item_id")).alias("case_id"), "candidate_answer")
+    return nz.repair_violations(cases, repairs.unionByName(wrong).unionByName(absent))
+
+
+@query("write_repaired", """
+SELECT semantic_audit_status, count(*) AS rows, CAST(sum(length(answer)) AS BIGINT) AS answer_chars
+FROM (SELECT CASE WHEN b.text IS NOT NULL THEN 'human_audited_counterfactual_repair'
+                  ELSE 'generated_not_manually_repaired' END AS semantic_audit_status, coalesce(b.text, c.candidate_answer) AS answer
+      FROM overlay_cases c LEFT JOIN (SELECT DISTINCT ON (case_id) case_id, text FROM (
+        SELECT item_id * 6 + 1 AS case_id, text FROM benchmark)) b USING (case_id)) GROUP BY ALL""")
+def _(spark, sf_dir):
+    """The overlay written with its checks, by the overrides that have a case."""
+    cases, repairs = _overlay_cases(spark, sf_dir)
+    path = scratch_path(spark, "repaired")
+    ck.write_repaired(cases, repairs.join(cases.select("case_id"), "case_id", "left_semi"), path)
+    return spark.read.parquet(path).groupBy("semantic_audit_status").agg(
+        F.count("*").alias("rows"), F.sum(F.length("candidate_answer")).alias("answer_chars"))
+
+
 @query("repair_overlay", """
 SELECT expected_label, semantic_audit_status, count(*) AS rows, CAST(sum(length(answer)) AS BIGINT) AS answer_chars
 FROM (SELECT p.expected_label, CASE WHEN b.item_id IS NOT NULL THEN 'human_audited_counterfactual_repair'
@@ -190,11 +232,7 @@ FROM (SELECT p.expected_label, CASE WHEN b.item_id IS NOT NULL THEN 'human_audit
       FROM stance_pairs p LEFT JOIN benchmark b
         ON p.expected_label = 'hallucinated' AND p.sample_id = b.item_id * 3) GROUP BY ALL""")
 def _(spark, sf_dir):
-    cases = _stance_pairs(spark, sf_dir).withColumn("case_id", F.col("sample_id") * 2 + F.when(
-        F.col("expected_label") == "hallucinated", 1).otherwise(0))
-    repairs = v.table(spark, sf_dir, "benchmark").select(
-        (F.col("item_id") * 6 + 1).alias("case_id"), F.col("text").alias("candidate_answer"))
-    return nz.repair_overlay(cases, repairs).groupBy("expected_label", "semantic_audit_status").agg(
+    return nz.repair_overlay(*_overlay_cases(spark, sf_dir)).groupBy("expected_label", "semantic_audit_status").agg(
         F.count("*").alias("rows"), F.sum(F.length("candidate_answer")).alias("answer_chars"))
 
 

@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from assayer.operators import expect as ex, splits as sp
+from assayer.operators import checked as ck, expect as ex, splits as sp
 from assayer.plans import views as v
 from assayer.plans.registry import SQL_VIEWS, query
+from assayer.sources import writers
 
 SQL_VIEWS["paired"] = """
 SELECT question_group_id, record_id, is_hallucinated FROM (
@@ -31,7 +32,7 @@ SELECT record_id, question_group_id FROM splits WHERE question_group_id IN (
   SELECT question_group_id FROM (SELECT DISTINCT question_group_id FROM splits)
   ORDER BY md5(question_group_id || '|42'), question_group_id LIMIT 12)""")
 def _(spark, sf_dir):
-    return sp.choose_groups(_small(spark, sf_dir), 12, strict=False).select("record_id", "question_group_id")
+    return sp.choose_groups(_small(spark, sf_dir), 12).select("record_id", "question_group_id")
 
 
 @query("exclude_groups", """
@@ -48,11 +49,11 @@ WITH fresh AS (SELECT * FROM paired WHERE question_group_id NOT IN (
     SELECT question_group_id FROM splits WHERE split = 'train' AND doc_id % 2 = 0))
 SELECT question_group_id, record_id, is_hallucinated FROM fresh WHERE question_group_id IN (
   SELECT question_group_id FROM (SELECT DISTINCT question_group_id FROM fresh)
-  ORDER BY md5(question_group_id || '|42'), question_group_id LIMIT 10)""")
+  ORDER BY md5(question_group_id || '|42'), question_group_id LIMIT 3)""")
 def _(spark, sf_dir):
     s = _small(spark, sf_dir)
     train = s.filter((F.col("split") == "train") & (F.col("doc_id") % 2 == 0))
-    return sp.unseen_holdout(s, train, 10, strict=False).select(
+    return sp.unseen_holdout(s, train, 3).select(
         "question_group_id", "record_id", "is_hallucinated")
 
 
@@ -146,6 +147,21 @@ def _(spark, sf_dir):
         "record_id", "dataset_name", "is_hallucinated")
 
 
+@query("class_shortfalls", """
+SELECT dataset_name, is_hallucinated, count(*) AS rows, 400 - count(*) AS missing FROM splits GROUP BY ALL HAVING count(*) < 400""")
+def _(spark, sf_dir):
+    return ck.class_shortfalls(_small(spark, sf_dir), 400, ["dataset_name", "is_hallucinated"])
+
+
+@query("strict_class_sample", """
+SELECT record_id, dataset_name FROM (
+  SELECT *, row_number() OVER (PARTITION BY dataset_name ORDER BY md5(record_id || '|42'), record_id) AS rn FROM splits) WHERE rn <= 3""")
+def _(spark, sf_dir):
+    """Fails where a class is too small; every language has three answers."""
+    return sp.balanced_class_sample(_small(spark, sf_dir), 3, ["dataset_name"], strict=True).select(
+        "record_id", "dataset_name")
+
+
 @query("head_per_group", """
 SELECT record_id, question_group_id FROM (
   SELECT *, row_number() OVER (PARTITION BY question_group_id ORDER BY doc_id) AS rn FROM splits) WHERE rn <= 2""")
@@ -231,4 +247,6 @@ def _(spark, sf_dir):
 SELECT record_id FROM answers WHERE record_id NOT IN (SELECT record_id FROM paired)""")
 def _(spark, sf_dir):
     s = _small(spark, sf_dir)
-    return sp.incremental_todo(s, sp.balanced_pairs_per_group(s)).select("record_id")
+    # the history lies in buckets of its key: only the new rows are shuffled
+    done = writers.write_bucketed(sp.balanced_pairs_per_group(s).select("record_id"), "record_id", buckets=8)
+    return sp.incremental_todo(s, done).select("record_id")

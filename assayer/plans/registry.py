@@ -63,6 +63,7 @@ def with_views(body: str) -> str:
         return body
     ctes = ",\n".join(f"{name} AS ({SQL_VIEWS[name]})" for name in wanted)
     stripped = body.lstrip()
-    if stripped[:5].upper() == "WITH ":
-        return f"WITH {ctes},\n{stripped[5:]}"
+    for opening in ("WITH RECURSIVE ", "WITH "):
+        if stripped.upper().startswith(opening):
+            return f"{opening}{ctes},\n{stripped[len(opening):]}"
     return f"WITH {ctes}\n{stripped}"

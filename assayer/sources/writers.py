@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from assayer.session import scratch_path
 from assayer.sources.schemas import CASE_LOG
 
 
@@ -30,6 +31,20 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
     writer.format("json" if fmt == "jsonl" else fmt).save(path)
 
 
+def write_bucketed(df: DataFrame, key: str, buckets: int = 200, table: str | None = None) -> DataFrame:
+    """A table in buckets of ``key``, sorted in each: joins on the key leave it where it is.
+
+    Lies in the shared folder, under a fresh name of the session's catalog unless ``table`` names one.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "bucketed")
+    name = table or path.rsplit("/", 1)[1].replace("-", "_")
+    # one file per bucket
+    (df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).format("parquet")
+     .option("path", path).saveAsTable(name))
+    return spark.table(name)
+
+
 def case_log_rows(evaluated: DataFrame, case_id: str = "case_id") -> DataFrame:
     """Audit rows of evaluated cases in the declared log schema."""
     columns = {

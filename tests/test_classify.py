@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,3 +52,25 @@ def test_accents_and_words_of_any_script(spark):
     assert df.select(cl.strip_accents("text")).first()[0] == "eclair nino \u03b1\u03bb\u03c6\u03b1 \u0438 \ufb01n"
     fitted = cl.fit_text_features(df.unionAll(df), max_df=1.0)
     assert "\u03b1\u03bb\u03c6\u03b1" in fitted.vocabulary and "nino" in fitted.vocabulary
+
+
+def test_gradient_tells_the_minimum_from_other_weights(spark, texts):
+    """Near 0 at the fit; as numpy has it elsewhere; large for another strength and for a model of other rows."""
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(300, 5))
+    y = (x[:, 0] + 0.5 * rng.normal(size=300) > 0.3).astype(float)
+    frame = lambda x, y: cl.vector_features(spark.createDataFrame(
+        [(float(b), a.tolist()) for a, b in zip(x, y)], "label double, embedding array<double>"))
+    ready = cl.class_weights(frame(x, y)).select("label", "weight", "features")
+    model = cl.fit_logistic(ready, 1.0, 300, tol=1e-10)
+    assert cl.gradient_norm(model, ready, 1.0) < 1e-6
+    loose = cl.fit_logistic(ready, 1.0, 300, max_iter=1)
+    weight = np.where(y == 1, 150 / y.sum(), 150 / (300 - y.sum()))
+    w, b = loose.coefficients.toArray(), loose.intercept
+    residual = weight * (1 / (1 + np.exp(-(x @ w + b))) - y)
+    plain = np.append(x.T @ residual / weight.sum() + w / 300, residual.sum() / weight.sum())
+    assert cl.gradient_norm(loose, ready, 1.0) == pytest.approx(np.linalg.norm(plain), rel=1e-6)
+    assert cl.gradient_norm(loose, ready, 1.0) > 1e-2
+    assert cl.gradient_norm(model, ready, 0.01) > 1e-2
+    other = cl.class_weights(frame(x, 1 - y)).select("label", "weight", "features")
+    assert cl.gradient_norm(model, other, 1.0) > 0.1
