@@ -144,10 +144,10 @@ class Vocabulary:
 
 def with_ends(units: np.ndarray, splits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Units with an end token after each text, and the ``CONTEXT`` units before each token."""
-    every = np.insert(units, splits[1:], UNITS - 1)
+    every = np.insert(units, splits[1:], UNITS - 1).astype(np.int16)
     starts = splits[:-1] + np.arange(len(splits) - 1)
     place = np.arange(len(every)) - np.repeat(starts, np.diff(splits) + 1)
-    context = np.full((len(every), CONTEXT), UNITS - 1)
+    context = np.full((len(every), CONTEXT), UNITS - 1, np.int16)
     for j in range(CONTEXT):
         use = place > j
         context[use, j] = every[np.flatnonzero(use) - j - 1]
@@ -166,14 +166,23 @@ def fresh(vocabulary: Vocabulary) -> Model:
 
 
 def _summed(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Sum of ``values`` per row number (small range)."""
+    """Sum of ``values`` per row number (16-bit numbers sort by digits)."""
     order = np.argsort(rows, kind="stable")
-    cut = np.flatnonzero(np.diff(rows[order], prepend=-1))
+    rows = rows[order]
+    cut = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
     out = np.zeros((UNITS, values.shape[1]), np.float32)
-    out[rows[order][cut]] = np.add.reduceat(values[order], cut, axis=0)
+    out[rows[cut]] = np.add.reduceat(values[order], cut, axis=0)
     return out
 
 
+def _squashed(x: np.ndarray) -> np.ndarray:
+    """``1 / (1 + exp(x))``, in place."""
+    np.clip(x, -30, 30, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
 class Trainer:
     """Stochastic gradient steps on the noise-contrastive loss."""
 
@@ -181,26 +190,28 @@ class Trainer:
         self.m = {k: v.copy() for k, v in model.items()}
         self.power = {k: np.full_like(v, 1e-2) for k, v in model.items()}
         self.share, self.random, self.tokens = share, np.random.default_rng(seed), 0
+        self.log_noise = np.log(share * NOISE).astype(np.float32)
 
     def step(self, target: np.ndarray, context: np.ndarray) -> None:
         m, n = self.m, len(target)
-        vectors = m["inner"][context]
-        hidden = (vectors * m["place"]).sum(1)
+        vectors = [m["inner"][context[:, j]] for j in range(CONTEXT)]
+        hidden = sum(v * p for v, p in zip(vectors, m["place"], strict=True))
         noise = self.random.choice(UNITS, NOISE, p=self.share)
-        log_noise = np.log(self.share * NOISE).astype(np.float32)
-        own = (hidden * m["outer"][target]).sum(1) + m["bias"][target] - log_noise[target]
-        other = hidden @ m["outer"][noise].T + m["bias"][noise] - log_noise[noise]
-        up = 1 / (1 + np.exp(np.clip(own, -30, 30)))  # the true word is taken for noise
-        down = -1 / (1 + np.exp(-np.clip(other, -30, 30)))  # noise is taken for the true word
-        to_hidden = up[:, None] * m["outer"][target] + down @ m["outer"][noise]
+        outer_own, outer_other = m["outer"][target], m["outer"][noise]
+        own = np.einsum("nd,nd->n", hidden, outer_own) + (m["bias"] - self.log_noise)[target]
+        other = hidden @ outer_other.T
+        other += m["bias"][noise] - self.log_noise[noise]
+        up = _squashed(own)  # the true word is taken for noise
+        down = _squashed(np.negative(other, out=other))  # noise is taken for the true word
+        np.negative(down, out=down)
+        to_hidden = up[:, None] * outer_own
+        to_hidden += down @ outer_other
         outer = _summed(target, up[:, None] * hidden)
         np.add.at(outer, noise, down.T @ hidden)
         bias = np.bincount(target, up, UNITS)
         np.add.at(bias, noise, down.sum(0))
-        inner = np.zeros_like(m["inner"])
-        for j in range(CONTEXT):
-            inner += _summed(context[:, j], to_hidden * m["place"][j])
-        place = np.einsum("njd,nd->jd", vectors, to_hidden)
+        inner = _summed(context.T.ravel(), np.concatenate([to_hidden * p for p in m["place"]]))
+        place = np.stack([np.einsum("nd,nd->d", v, to_hidden) for v in vectors])
         for name, grad in (("inner", inner), ("outer", outer), ("bias", bias.astype(np.float32)), ("place", place)):
             grad = grad / n
             self.power[name] += grad * grad
@@ -245,7 +256,7 @@ class _Shard:
 
     def __init__(self, start: Model, share: np.ndarray):
         self.trainer = Trainer(start, share, 1)
-        self.target, self.context = np.zeros(0, np.int64), np.zeros((0, CONTEXT), np.int64)
+        self.target, self.context = np.zeros(0, np.int16), np.zeros((0, CONTEXT), np.int16)
 
     def add(self, units: np.ndarray, splits: np.ndarray) -> None:
         target, context = with_ends(units, splits)
@@ -300,12 +311,16 @@ def train_pass(units: DataFrame, shared, start: Model) -> Model:
 
 def unit_log10(model: Model, target: np.ndarray, context: np.ndarray) -> np.ndarray:
     """Normalised log10 probability of each target unit."""
-    hidden = (model["inner"][context] * model["place"]).sum(1)
-    scores = hidden @ model["outer"].T + model["bias"]
-    top = scores.max(1, keepdims=True)
-    total = np.exp(scores - top).sum(1)
+    hidden = sum(model["inner"][context[:, j]] * model["place"][j] for j in range(CONTEXT))
+    scores = hidden @ model["outer"].T
+    scores += model["bias"]
     own = scores[np.arange(len(target)), target]
-    return (own - top[:, 0] - np.log(total)) / math.log(10)
+    top = scores.max()
+    if top - own.min() > 60:  # far apart: each row by its own maximum
+        top = scores.max(1, keepdims=True)
+    scores -= top
+    total = np.exp(scores, out=scores).sum(1)
+    return (own - np.ravel(top) - np.log(total)) / math.log(10)
 
 
 def local_sums(docs: DataFrame, shared, model: Model) -> DataFrame:
