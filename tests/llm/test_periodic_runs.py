@@ -138,3 +138,16 @@ def test_words_of_any_length():
         assert [text[s:e] for s, e in zip(starts[:5], ends[:5])] == parts[:5] and len(found) == len(parts)
         one = np.frombuffer(text, np.uint8)
         assert np.array_equal(found, words.hash_words(one, starts, ends, False))
+
+
+def test_looped_texts(spark):
+    """Nulls, empty texts and any lengths under ids that 10 divides, and under others."""
+    chosen = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10 == 0][:12] + [1, 2]
+    texts = [None, "", " \t", "one", "a b", " a\tb\nc ", "é ü x y z", "a\x0bb\x0cc\rd"] + [
+        " ".join(f"w{j}" for j in range(n)) for n in (7, 30, 100, 333)] + ["left alone", None]
+    rows = list(zip(chosen, texts, strict=True)) + [(None, "no id here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = df.withColumn("text", pr.looped(pr.F.col("doc_id"), pr.F.col("text"))).collect()
+    for (i, text), r in zip(rows, out, strict=True):
+        want = plain_looped(i, text) if i is not None else text
+        assert WORD.findall(r.text or "") == WORD.findall(want or "")
