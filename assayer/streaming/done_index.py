@@ -80,7 +80,8 @@ class DoneIndex:
 
     def without_done(self, batch: DataFrame, source: str) -> DataFrame:
         """Rows of ``batch`` whose id no other batch has finished; reads only the buckets of its ids."""
-        touched = [r[0] for r in batch.select(self._bucket(self.buckets)).distinct().collect()]
+        touched = ([r[0] for r in batch.select(self._bucket(self.buckets)).distinct().collect()]
+                   if self.buckets > 1 else [0])
         return batch.join(self.done_among(touched, source), self.key, "left_anti")
 
     def done_among(self, buckets: list[int], source: str) -> DataFrame:
