@@ -38,6 +38,7 @@ HEAD, GROUPS, CONTEXT, WIDTH = 191, 64, 3, 24
 UNITS = HEAD + GROUPS + 1  # the last unit is the end of a text, which also stands before its beginning
 LISTED = 1 << 16
 BATCH, NOISE, RATE, PASSES = 2048, 48, 0.05, 2
+SCORED = 512  # tokens scored at once: all units' scores of them stay in a core's cache
 SHARD_TOKENS, MAX_SHARDS = 1 << 21, 4096  # beyond that many, shards grow
 END_HASH = np.uint64(1)
 FLUSH = 1 << 21
@@ -331,8 +332,8 @@ def local_sums(docs: DataFrame, shared, model: Model) -> DataFrame:
         for batch, (h, g, splits) in _slices(batches):
             at = voc.look_up(h)
             target, context = with_ends(voc.units(at, g), splits)
-            unit = np.concatenate([unit_log10(model, target[a:a + BATCH], context[a:a + BATCH])
-                                   for a in range(0, len(target), BATCH)])
+            unit = np.concatenate([unit_log10(model, target[a:a + SCORED], context[a:a + SCORED])
+                                   for a in range(0, len(target), SCORED)])
             listed, head = at >= 0, voc.units(at, g) < HEAD
             logs = np.where(listed, log_count[at], 0.0) if len(log_count) else np.zeros(len(h))
             # inside a group: log10((c + 1) / (count + words + 1)); rare words add log10(c + 1) later
