@@ -38,6 +38,7 @@ HEAD, GROUPS, CONTEXT, WIDTH = 191, 64, 3, 24
 UNITS = HEAD + GROUPS + 1  # the last unit is the end of a text, which also stands before its beginning
 LISTED = 1 << 16
 BATCH, NOISE, RATE, PASSES = 2048, 48, 0.05, 2
+SMALL = 1 << 17  # multiplications of a matrix product
 SCORED = 512  # tokens scored at once: all units' scores of them stay in a core's cache
 SHARD_TOKENS, MAX_SHARDS = 1 << 21, 4096  # beyond that many, shards grow
 END_HASH = np.uint64(1)
@@ -176,6 +177,19 @@ def _summed(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
     return out
 
 
+def _product(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """``left @ right`` in pieces too small for the library to start threads of its own: tasks fill the cores."""
+    rows = max(1, SMALL // (right.shape[0] * right.shape[1]))
+    whole = len(left) // rows * rows
+    out = np.empty((len(left), right.shape[1]), left.dtype)
+    if whole:
+        np.matmul(left[:whole].reshape(-1, rows, left.shape[1]), right,
+                  out=out[:whole].reshape(-1, rows, right.shape[1]))
+    if whole < len(left):
+        np.matmul(left[whole:], right, out=out[whole:])
+    return out
+
+
 def _squashed(x: np.ndarray) -> np.ndarray:
     """``1 / (1 + exp(x))``, in place."""
     np.clip(x, -30, 30, out=x)
@@ -200,15 +214,17 @@ class Trainer:
         noise = self.random.choice(UNITS, NOISE, p=self.share)
         outer_own, outer_other = m["outer"][target], m["outer"][noise]
         own = np.einsum("nd,nd->n", hidden, outer_own) + (m["bias"] - self.log_noise)[target]
-        other = hidden @ outer_other.T
+        other = _product(hidden, outer_other.T)
         other += m["bias"][noise] - self.log_noise[noise]
         up = _squashed(own)  # the true word is taken for noise
         down = _squashed(np.negative(other, out=other))  # noise is taken for the true word
         np.negative(down, out=down)
         to_hidden = up[:, None] * outer_own
-        to_hidden += down @ outer_other
+        to_hidden += _product(down, outer_other)
         outer = _summed(target, up[:, None] * hidden)
-        np.add.at(outer, noise, down.T @ hidden)
+        step = SMALL // (NOISE * WIDTH)
+        for at in range(0, n, step):
+            np.add.at(outer, noise, down[at:at + step].T @ hidden[at:at + step])
         bias = np.bincount(target, up, UNITS)
         np.add.at(bias, noise, down.sum(0))
         inner = _summed(context.T.ravel(), np.concatenate([to_hidden * p for p in m["place"]]))
@@ -313,7 +329,7 @@ def train_pass(units: DataFrame, shared, start: Model) -> Model:
 def unit_log10(model: Model, target: np.ndarray, context: np.ndarray) -> np.ndarray:
     """Normalised log10 probability of each target unit."""
     hidden = sum(model["inner"][context[:, j]] * model["place"][j] for j in range(CONTEXT))
-    scores = hidden @ model["outer"].T
+    scores = _product(hidden, model["outer"].T)
     scores += model["bias"]
     own = scores[np.arange(len(target)), target]
     top = scores.max()
