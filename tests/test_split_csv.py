@@ -37,11 +37,11 @@ def test_lines_end_inside_as_the_module_says():
     assert scan_line('a\rb,"c\rd"\re', False) == (False, [2, 10])
 
 
-@pytest.mark.parametrize("seed,size", [(0, 13), (1, 13), (2, 60), (3, 60), (4, 1 << 20)])
+@pytest.mark.parametrize("seed,size", [(0, 13), (2, 60), (4, 1 << 20)])
 def test_records_at_any_split(spark, tmp_path, split_bytes, seed, size):
     r = random.Random(seed)
     texts = {}
-    for k in range(3):
+    for k in range(2):
         text = "".join(r.choice(PIECES) for _ in range(r.choice([0, 3, 60, 90])))
         text += "\n"
         (tmp_path / f"f{k}.csv").write_bytes(text.encode())
@@ -61,17 +61,17 @@ def test_records_at_any_split(spark, tmp_path, split_bytes, seed, size):
 
 
 def test_one_file_is_read_by_several_tasks(spark, tmp_path, split_bytes):
-    rows = [[f"id{i}", f"first line {i}\nsecond, \"line\" {i}\n" + "x" * (i % 90), str(i)] for i in range(400)]
+    rows = [[f"id{i}", f"first line {i}\nsecond, \"line\" {i}\n" + "x" * (i % 90), str(i)] for i in range(200)]
     out = io.StringIO()
     csv.writer(out).writerows([["record_id", "answer", "is_hallucinated"], *rows])
     (tmp_path / "one.csv").write_text(out.getvalue(), newline="")
-    split_bytes(2000)
+    split_bytes(1500)
     assert spark.read.text(str(tmp_path / "one.csv")).rdd.getNumPartitions() > 8
     schema = schemas._schema("is_hallucinated int, record_id string, answer string")
     got = readers.read_csv_typed(spark, str(tmp_path / "one.csv"), schema)
     assert sorted(map(tuple, got.collect())) == sorted((int(c), a, b) for a, b, c in rows)
     pairs = readers.read_headerless_pairs(spark, str(tmp_path / "one.csv"))
-    assert pairs.count() == 401 and pairs.select("source_row_id").distinct().count() == 401
+    assert pairs.count() == 201 and pairs.select("source_row_id").distinct().count() == 201
 
 
 def test_other_headers_fail(spark, tmp_path):
@@ -87,7 +87,7 @@ def test_empty_cells_are_null_and_short_rows_filled(spark, tmp_path):
     assert sorted(map(tuple, got), key=str) == sorted([(None, None, 3), ("1", None, None), ('a "b"', "2", 3)], key=str)
 
 
-@pytest.mark.parametrize("indent,size", [(None, 40), (2, 40), (None, 1 << 20), (2, 300)])
+@pytest.mark.parametrize("indent,size", [(None, 90), (2, 300), (None, 1 << 20)])
 def test_entries_of_one_large_document(spark, tmp_path, split_bytes, indent, size):
     """Braces, quotes and backslashes in texts, nested objects, an empty document, two documents in a file."""
     r = random.Random(size)
