@@ -223,8 +223,7 @@ class Trainer:
         to_hidden += _product(down, outer_other)
         outer = _summed(target, up[:, None] * hidden)
         step = SMALL // (NOISE * WIDTH)
-        for at in range(0, n, step):
-            np.add.at(outer, noise, down[at:at + step].T @ hidden[at:at + step])
+        np.add.at(outer, noise, sum(down[at:at + step].T @ hidden[at:at + step] for at in range(0, n, step)))
         bias = np.bincount(target, up, UNITS)
         np.add.at(bias, noise, down.sum(0))
         inner = _summed(context.T.ravel(), np.concatenate([to_hidden * p for p in m["place"]]))
@@ -316,7 +315,7 @@ def train_pass(units: DataFrame, shared, start: Model) -> Model:
                 [pa.array(np.arange(len(total)), pa.int32()), pa.array(total),
                  pa.array(np.full(len(total), tokens), pa.int64())], ["at", "value", "tokens"])
 
-    dealt = units.repartition("shard").sortWithinPartitions("shard", "h", "units")
+    dealt = units.repartition("shard").sortWithinPartitions("shard", "h")
     mean = (dealt.mapInArrow(run, "at int, value double, tokens long")
             .groupBy("at").agg((F.sum("value") / F.sum("tokens")).alias("value"))).toArrow()
     if not mean.num_rows:
