@@ -82,7 +82,8 @@ class DoneIndex:
         """Rows of ``batch`` whose id no other batch has finished; reads only the buckets of its ids."""
         touched = ([r[0] for r in batch.select(self._bucket(self.buckets)).distinct().collect()]
                    if self.buckets > 1 else [0])
-        return batch.join(self.done_among(touched, source), self.key, "left_anti")
+        # ids lie packed in files and in memory take many times that: they are never broadcast
+        return batch.join(self.done_among(touched, source).hint("merge"), self.key, "left_anti")
 
     def done_among(self, buckets: list[int], source: str) -> DataFrame:
         return self._table(buckets).filter(F.col("source") != source).select(self.key)

@@ -63,3 +63,8 @@ def test_cell_recall_of_given_rows(spark):
     got = QUERIES["topk_retrieve_cells"](spark, SF).first()
     assert got["expected"] == np.minimum(near.sum(1), 3).sum() > near.any(1).sum()
     assert got["recall"] >= 0.9 and round(got["found"] / got["expected"], 9) == got["recall"]
+
+
+def test_logged_cases_are_never_broadcast(spark):
+    plan = QUERIES["stream_case_disposition"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -114,3 +114,14 @@ def test_results_older_than_the_index_count(spark, tmp_path):
                                   str(tmp_path / "state"), key="case_id").awaitTermination()
     done = spark.read.schema("case_id string, score int").parquet(out).select("case_id", "score")
     assert sorted(map(tuple, done.collect())) == [("a", 1), ("b", 2)]
+
+
+def test_finished_ids_are_never_broadcast(spark, tmp_path):
+    """Ids packed in a few MB of files take many times that in the driver's memory."""
+    ids = lambda n: spark.range(n).select(F.col("id").cast("string"))
+    index = DoneIndex(spark, str(tmp_path / "done"), "id", "string")
+    index.grow()
+    index.add(ids(100), "first")
+    left = index.without_done(ids(150), "second")
+    assert left.count() == 50
+    assert "Broadcast" not in left._jdf.queryExecution().executedPlan().toString()
