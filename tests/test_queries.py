@@ -68,3 +68,8 @@ def test_cell_recall_of_given_rows(spark):
 def test_logged_cases_are_never_broadcast(spark):
     plan = QUERIES["stream_case_disposition"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_unseen_holdout_takes_ten_groups(spark):
+    rows = QUERIES["unseen_holdout"](spark, SF).collect()
+    assert len({r["question_group_id"] for r in rows}) == 10 and len(rows) == 20
