@@ -31,7 +31,9 @@ def _parts(rows):
 
 
 def _fit(spark, sf_dir):
-    train, validation, test = _parts(_rows(spark, sf_dir))
+    # every pass reads the stored rows: the joins behind them run once
+    rows = materialize(_rows(spark, sf_dir).select("record_id", "text", "label", "_slot"), "texts")
+    train, validation, test = _parts(rows)
     return cl.tfidf_lr_classifier(train, validation), validation, test
 
 
@@ -50,8 +52,8 @@ def _(spark, sf_dir):
     fitted, _, test = _fit(spark, sf_dir)
     predicted = cl.classifier_predictions(fitted.model, fitted.features.transform(test))
     best = max(fitted.candidates, key=lambda found: found[1])  # the first of equals
-    train, _, _ = _parts(_rows(spark, sf_dir))
-    ready = materialize(cl.class_weights(fitted.features.transform(train)).select("label", "weight", "features"), "ready")
+    text = fitted.features
+    ready = cl.class_weights(text.weigh(text.trained)).select("label", "weight", "features")
     start = cl.fit_logistic(ready, fitted.best_c, ready.count(), max_iter=0)
     slope, steepest = (cl.gradient_norm(m, ready, fitted.best_c) for m in (fitted.model, start))
     return _checked(binary_metrics(predicted)).withColumns({
@@ -133,6 +135,6 @@ SELECT feature_set, count(*) AS rows, count(*) FILTER (WHERE is_hallucinated = 1
 FROM slotted, (VALUES ('full_question_knowledge_answer'), ('answer_only'), ('question_knowledge_only')) f(feature_set)
 WHERE slot >= 80 GROUP BY feature_set""")
 def _(spark, sf_dir):
-    rows = _rows(spark, sf_dir)
+    rows = materialize(_rows(spark, sf_dir).drop("text"), "texts")
     return _checked(cl.ablation_metrics(rows.filter(F.col("_slot") < 80), rows.filter(F.col("_slot") >= 80)),
                     "feature_set")

@@ -47,6 +47,34 @@ def test_class_weights_are_balanced(spark):
     assert got == {0.0: pytest.approx(4 / 6), 1.0: pytest.approx(2.0)}
 
 
+def test_class_weights_move_no_row(spark):
+    """Rows of a class never meet in one task; rows without a label are left out, but counted."""
+    df = spark.createDataFrame([(0.0,)] * 3 + [(1.0,), (None,)], "label double")
+    got = cl.class_weights(df)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted({(r["label"], round(r["weight"], 9)) for r in got.collect()}) == [(0.0, round(5 / 9, 9)), (1.0, round(5 / 3, 9))]
+
+
+def test_vocabulary_by_definition_without_held_texts(spark, monkeypatch):
+    """Limits as shares and as numbers of rows; the texts are cut once for the words and once for the counts."""
+    lines = ["a1 bb cc", "bb cc cc", "Bb dd", None, "ee ee ee", "bb"]
+    df = spark.createDataFrame([(x, float(i % 2)) for i, x in enumerate(lines)], "text string, label double")
+    words = [(x or "").lower().split() for x in lines]
+    grams = [w + [f"{a} {b}" for a, b in zip(w, w[1:])] for w in words]
+    def want(low, high):
+        rows = {g: sum(g in d for d in grams) for d in grams for g in d}
+        return sorted((g for g in rows if low <= rows[g] <= high), key=lambda g: (-sum(d.count(g) for d in grams), g))
+    held = lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    before = held()
+    fitted = cl.fit_text_features(df, min_df=2, max_df=0.5)
+    assert fitted.vocabulary == want(2, 3) and "bb" not in fitted.vocabulary
+    assert cl.fit_text_features(df, min_df=0.3, max_df=1.0).vocabulary == want(1.8, 6)
+    assert cl.fit_text_features(df, min_df=1, max_df=1.0, vocabulary=2).vocabulary == want(1, 6)[:2]
+    assert fitted.trained.columns == ["label", "_tf"] and held() == before
+    monkeypatch.setattr(cl, "_with_grams", None)
+    assert fitted.weigh(fitted.trained).count() == len(lines)
+
+
 def test_accents_and_words_of_any_script(spark):
     df = spark.createDataFrame([("e\u0301clair ni\u00f1o \u03ac\u03bb\u03c6\u03b1 \u0439 \ufb01n",)], "text string")
     assert df.select(cl.strip_accents("text")).first()[0] == "eclair nino \u03b1\u03bb\u03c6\u03b1 \u0438 \ufb01n"
