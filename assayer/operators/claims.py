@@ -219,6 +219,33 @@ def _blocks(batch: pa.RecordBatch, counted: list[str]) -> Iterator[pa.RecordBatc
         first = last
 
 
+def _score_batch(block: pa.RecordBatch, keep: list[str], known: dict[str, np.ndarray] | None,
+                 stop: np.ndarray | None) -> pa.RecordBatch:
+    """The claims of whole records with their lexical supports (``known`` words) and best sentences (``stop`` words)."""
+    sizes, claims = _lists(block.column("_claims"))
+    record = np.repeat(np.arange(len(sizes)), sizes)
+    out = {"claim_text": claims}
+    if known is not None:
+        _, inner = _lists(block.column("_ct"))
+        claim_sizes, tokens = _lists(inner)
+        evidence_sizes, evidence = _lists(block.column("_et"))
+        found = lexical_support(record, claim_sizes, _numbers(tokens), evidence_sizes, _numbers(evidence), known)
+        out |= {c: pa.array(found[c]) for c in LEXICAL}
+    if stop is not None:
+        claim_sizes, words = _lists(_lists(block.column("_cw"))[1])
+        many, sentences = _lists(block.column("_sentences"))
+        sentence_sizes, others = _lists(_lists(block.column("_sw"))[1])
+        owner = np.repeat(np.arange(len(many)), many)
+        score, best = best_sentences(record, claim_sizes, _numbers(words), owner, sentence_sizes,
+                                     _numbers(others), block.num_rows, stop)
+        chosen = sentences.take(pa.array(best, pa.int64(), mask=best < 0))
+        out |= dict(zip(SEMANTIC, (pa.array(score), chosen.fill_null("")), strict=True))
+    rows = pa.StructArray.from_arrays(list(out.values()), list(out))
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+    return pa.RecordBatch.from_arrays([*[block.column(c) for c in keep], pa.ListArray.from_arrays(offsets, rows)],
+                                      [*keep, "_c"])
+
+
 def claim_rows(df: DataFrame, keep: list[str], answer: str = "answer", knowledge: str = "knowledge",
                lists=None, stopwords: list[str] | None = None) -> DataFrame:
     """One row per claim: ``keep``, ``claim_index`` (from 1), ``claim_text`` and its supports.
@@ -229,7 +256,7 @@ def claim_rows(df: DataFrame, keep: list[str], answer: str = "answer", knowledge
     spark = df.sparkSession
     prepared = df.select(*keep, F.col(answer).alias("_answer"), F.col(knowledge).alias("_knowledge")).withColumn(
         "_claims", tx.split_claims("_answer"))
-    counted, known = [], {}
+    counted, known, stop = [], None, None
     if lists is not None:
         counted += ["_ct", "_et"]
         prepared = prepared.withColumns({
@@ -248,34 +275,10 @@ def claim_rows(df: DataFrame, keep: list[str], answer: str = "answer", knowledge
     names = (LEXICAL if lists is not None else []) + (SEMANTIC if stopwords is not None else [])
     kinds = {"high_impact_claim": "boolean", "best_evidence_sentence": "string"}
 
-    def scored(block: pa.RecordBatch) -> pa.RecordBatch:
-        sizes, claims = _lists(block.column("_claims"))
-        record = np.repeat(np.arange(len(sizes)), sizes)
-        out = {"claim_text": claims}
-        if lists is not None:
-            _, inner = _lists(block.column("_ct"))
-            claim_sizes, tokens = _lists(inner)
-            evidence_sizes, evidence = _lists(block.column("_et"))
-            found = lexical_support(record, claim_sizes, _numbers(tokens), evidence_sizes, _numbers(evidence), known)
-            out |= {c: pa.array(found[c]) for c in LEXICAL}
-        if stopwords is not None:
-            claim_sizes, words = _lists(_lists(block.column("_cw"))[1])
-            many, sentences = _lists(block.column("_sentences"))
-            sentence_sizes, others = _lists(_lists(block.column("_sw"))[1])
-            owner = np.repeat(np.arange(len(many)), many)
-            score, best = best_sentences(record, claim_sizes, _numbers(words), owner, sentence_sizes,
-                                         _numbers(others), block.num_rows, stop)
-            chosen = sentences.take(pa.array(best, pa.int64(), mask=best < 0))
-            out |= dict(zip(SEMANTIC, (pa.array(score), chosen.fill_null("")), strict=True))
-        rows = pa.StructArray.from_arrays(list(out.values()), list(out))
-        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-        return pa.RecordBatch.from_arrays([*[block.column(c) for c in keep], pa.ListArray.from_arrays(offsets, rows)],
-                                          [*keep, "_c"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in _blocks(batch, counted):
-                yield scored(block)
+                yield _score_batch(block, keep, known, stop)
 
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prepared.select(*keep).schema)
     inner = ", ".join(f"{c}: {kinds.get(c, 'double')}" for c in names)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from assayer import terms
 from assayer.functions import arrays as ar, text as tx
-from assayer.operators.claims import claim_rows
+from assayer.operators.claims import _score_batch, claim_rows  # noqa: F401 (the Arrow step)
 from assayer.operators.ranking import collapse_values, join_on, median_of
 from assayer.operators.tiles import tiled
 
