@@ -258,3 +258,19 @@ def test_vector_grounding_branches(spark):
 
 def test_weights_sum_to_one():
     assert math.isclose(sum(terms.CLAIM_WEIGHTS.values()), 1.0)
+
+
+def test_rows_and_cells_leave_a_task_in_bounded_parts(monkeypatch):
+    """However many cells a row meets: neither a matrix nor the copied vectors of a batch are held whole."""
+    import pandas as pd
+    monkeypatch.setattr(rt, "PART_NUMBERS", 100)
+    monkeypatch.setattr(rt, "PART_ROWS", 7)
+    rows = pd.DataFrame({"_qid": range(35), "_qv": [[float(i)] for i in range(35)]})
+    parts = list(rt._parts(iter([rows, rows.iloc[:0]]), 10))
+    assert [len(p) for p in parts] == [10, 10, 10, 5] and pd.concat(parts).equals(rows)
+    assert [len(p) for p in rt._parts(iter([rows]), 1000)] == [1] * 35
+    at, cells = np.repeat(np.arange(35), 3), np.tile([4, 5, 6], 35)
+    out = list(rt._repeated(rows, at, cells))
+    assert max(map(len, out)) == 7
+    whole = pd.concat(out)
+    assert whole["_qid"].tolist() == at.tolist() and whole["_cell"].tolist() == cells.tolist()
