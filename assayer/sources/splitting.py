@@ -41,5 +41,6 @@ def put_together(parts: DataFrame, separator: str) -> DataFrame:
         "path", "block").agg(F.sum("n").alias("n"))
     before = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select("path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return whole.unionAll(last).join(offsets, ["path", "block"]).select(
+    # one number per split: the records stay where they are
+    return whole.unionAll(last).join(F.broadcast(offsets), ["path", "block"]).select(
         "path", "block", (F.col("before") + F.col("number")).alias("place"), "record")

@@ -103,3 +103,11 @@ def test_entries_of_one_large_document(spark, tmp_path, split_bytes, indent, siz
     got = {x["record_id"]: (x["QUESTION"], x["CONTEXTS"], x["final_decision"])
            for x in readers.read_object_map_json(spark, str(tmp_path)).collect()}
     assert got == {k: (v["QUESTION"], v["CONTEXTS"], v["final_decision"]) for d in docs for k, v in d.items()}
+
+
+def test_records_are_not_shuffled(spark, tmp_path):
+    """Places come from one number per split; only pieces that splits share move."""
+    (tmp_path / "f.csv").write_text('a,b\n1,"x\ny"\n2,z\n')
+    rows = csv_records(spark, str(tmp_path / "f.csv"))
+    assert sorted((r["source_row_id"], r["record"]) for r in rows.collect()) == [(0, "a,b"), (1, '1,"x\ny"'), (2, "2,z")]
+    assert "strategy=broadcast" in rows._jdf.queryExecution().optimizedPlan().toString()
