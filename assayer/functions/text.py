@@ -14,6 +14,7 @@ from pyspark.sql import Column, functions as F
 from assayer import terms
 
 WHITESPACE = " \t\n\r\f\x0b"
+CLAIM_LENGTH, SENTENCE_LENGTH = 12, 20
 
 
 def _col(c: Column | str) -> Column:
@@ -78,13 +79,13 @@ def numbers_set(c: Column | str) -> Column:
 
 # --- claim and sentence splitting -------------------------------------------
 
-def split_claims(c: Column | str, min_length: int = 12) -> Column:
+def split_claims(c: Column | str, min_length: int = CLAIM_LENGTH) -> Column:
     """Sentence-like pieces of at least ``min_length`` characters."""
     pieces = F.transform(F.split(strip(text_of(c)), terms.CLAIM_BREAKS), strip)
     return F.filter(pieces, lambda p: F.length(p) >= min_length)
 
 
-def split_sentences(c: Column | str, min_length: int = 20) -> Column:
+def split_sentences(c: Column | str, min_length: int = SENTENCE_LENGTH) -> Column:
     """Evidence sentences; a text without a long one is kept whole."""
     kept = split_claims(c, min_length)
     whole = strip(text_of(c))

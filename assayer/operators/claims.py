@@ -1,11 +1,12 @@
 """Claims of whole records scored in one Arrow step.
 
-The JVM splits an answer into claims and its evidence into sentences and sends the hashes of their
-words.  One Arrow step looks the words of all claims of a batch up in a sorted index of the evidence
-words of their records, finds the best sentence by TF-IDF, and returns a short row per claim.  No word
-list leaves it, and the evidence of a record is hashed once however many claims it has.
+The JVM lower-cases the texts and marks the characters that are in no word.  One Arrow step cuts the bytes
+of an answer into claims and those of its evidence into sentences (as ``text.split_claims`` and
+``text.split_sentences`` do), hashes their words, looks the words of all claims of a batch up in a sorted
+index of the evidence words of their records, finds the best sentence by TF-IDF, and returns a short row
+per claim.  No word list leaves it, and the evidence of a record is hashed once however many claims it has.
 
-A batch is cut into blocks of about ``WORDS_AT_ONCE`` words (a longer record stands alone), and the
+A batch is cut into blocks of about ``BYTES_AT_ONCE`` bytes of text (a longer record stands alone), and the
 (claim, sentence) table is filled ``CELLS_AT_ONCE`` cells at a time.
 """
 
@@ -15,12 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from assayer import terms
 from assayer.functions import text as tx
 
-WORDS_AT_ONCE = 1 << 20
+BYTES_AT_ONCE = 1 << 20
 CELLS_AT_ONCE = 1 << 20
 NUMBER = 1  # lowest bit of a claim word's hash: it is a number
 
@@ -29,42 +30,25 @@ LEXICAL = ["claim_token_support", "clinical_direction_support", "negation_suppor
 SEMANTIC = ["semantic_claim_support_score", "best_evidence_sentence"]
 
 
-# --- words as hashes, in the JVM ---------------------------------------------
+# --- texts as bytes ------------------------------------------------------------
 
-def _flagged(word: Column) -> Column:
-    number = word.rlike("^[0-9]").cast("bigint")
-    return F.xxhash64(word).bitwiseAND(F.lit(-2)).bitwiseOR(number)
+def _bytes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of texts one after the other, and where each begins (one more at the end)."""
+    if not len(values):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, offsets, data = values.buffers()
+    wide = np.int64 if pa.types.is_large_string(values.type) else np.int32
+    cuts = np.frombuffer(offsets, wide)[values.offset:values.offset + len(values) + 1].astype(np.int64)
+    whole = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    return whole[cuts[0]:cuts[-1]], cuts - cuts[0]
 
 
-def claim_words(text: Column | str, strict_terms: bool) -> Column:
-    """Hashes of all words and numbers the lexical scorer reads, in order."""
-    return F.transform(tx.claim_words(text, strict_terms), _flagged)
-
-
-def sentence_words(text: Column | str) -> Column:
-    """Hashes of all words of two or more letters, in order."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(terms.WORD_OF_TWO), F.lit(0))
-    return F.transform(words, lambda w: F.xxhash64(w))
-
-
-def word_hashes(spark: SparkSession, words, flagged: bool) -> np.ndarray:
-    """The same hashes for a word list (a local relation: no job runs)."""
-    hashed = F.transform(tx.literal_array(words), _flagged if flagged else lambda w: F.xxhash64(w))
-    return np.array(spark.sql("VALUES (1)").select(hashed).first()[0], np.int64)
-
-
-# --- ragged columns ------------------------------------------------------------
-
-def _lists(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
-    """Sizes of the lists of a column, and their values one after the other."""
-    if not len(column):  # an empty column may come without offsets
-        return np.zeros(0, np.int64), column.values.slice(0, 0)
-    at = column.offsets.to_numpy()
-    return np.diff(at), column.values.slice(at[0], at[-1] - at[0])
-
-
-def _numbers(values: pa.Array) -> np.ndarray:
-    return values.to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the keys, which of them in that order are the first of their value, and one place of each value."""
+    order = np.argsort(key)
+    key = key[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]])[:len(key)]
+    return order, new, order[new]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -80,6 +64,181 @@ def _keyed(words: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return _mixed(words.view(np.uint64) + _mixed(owner.astype(np.uint64) + np.uint64(1)))
 
 
+# --- claims and sentences in bytes -------------------------------------------------------
+
+BREAK, SEMICOLON, POINT = 10, 59, 46
+_WHITE, _STOPS = np.zeros(256, bool), np.zeros(256, bool)
+_WHITE[[ord(c) for c in tx.WHITESPACE]] = True
+_STOPS[[ord(c) for c in ".!?;"]] = True
+
+
+class Texts:
+    """The bytes of some texts, a line break after each, and the pieces between the claim breaks.
+
+    White space is a break after one of ``.!?;`` or where it holds a line break; a semicolon before it goes with it.
+    The pieces are stripped.  ``bare`` keeps every one of these characters, so a text and its bare form have their
+    pieces in the same order.
+    """
+
+    def __init__(self, texts: pa.Array):
+        data, cuts = _bytes(texts)
+        ends = np.arange(len(cuts))
+        self.data, self.cuts = np.insert(data, cuts[1:], BREAK), cuts + ends
+        white = _WHITE[self.data]
+        edges = np.flatnonzero(np.diff(white, prepend=False, append=False))
+        self.opens, self.closes = edges[::2], edges[1::2]  # runs of white space
+        last = self._run(self.cuts[1:] - 1)
+        before = np.where(self.opens > 0, self.data[self.opens - 1], BREAK) if len(self.opens) else self.opens
+        cut = _STOPS[before] | (before == BREAK)
+        cut[self._run(np.flatnonzero(self.data == BREAK))] = True
+        dropped = before == SEMICOLON
+        dropped[last] = False  # at the end of a text there was no white space after it
+        self.starts = np.concatenate([[0], self.closes[cut]])[:int(cut.sum())]
+        self.ends = (self.opens - dropped)[cut]
+        open_ = np.flatnonzero(dropped[cut] & (self.ends > self.starts))
+        open_ = open_[white[self.ends[open_] - 1]]
+        self.ends[open_] = self.opens[self._run(self.ends[open_] - 1)]
+        # whole texts, stripped
+        self.first, self.last = self.cuts[:-1].copy(), np.maximum(self.cuts[:-1], self.opens[last])
+        led = np.flatnonzero(white[self.first])
+        self.first[led] = np.minimum(self.last[led], self.closes[self._run(self.first[led])])
+        self.last = np.maximum(self.first, self.last)
+
+    def _run(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.opens, at, "right") - 1
+
+    def lengths(self) -> np.ndarray:
+        """Characters of the pieces."""
+        return characters(self.data, self.starts, self.ends)
+
+    def kept(self, pieces: np.ndarray, or_whole: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Where these pieces begin and end, and those of whole texts."""
+        starts, ends = self.starts[pieces], self.ends[pieces]
+        if or_whole is not None and len(or_whole):
+            starts = np.concatenate([starts, self.first[or_whole]])
+            ends = np.concatenate([ends, self.last[or_whole]])
+            order = np.argsort(starts, kind="stable")
+            starts, ends = starts[order], ends[order]
+        return starts, ends
+
+    def owner(self, starts: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.cuts, starts, "right") - 1
+
+    def take(self, starts: np.ndarray, ends: np.ndarray, chosen: np.ndarray) -> pa.Array:
+        """The chosen ones of these parts; null for -1."""
+        if not len(starts):
+            return pa.nulls(len(chosen), pa.string())
+        edges = np.column_stack([starts, ends]).ravel().astype(np.int32)  # parts and the gaps between them
+        parts = pa.Array.from_buffers(pa.string(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(self.data)])
+        return parts.take(pa.array(chosen * 2, pa.int64(), mask=chosen < 0))
+
+
+def characters(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    length = ends - starts
+    if len(data) and data.max() > 127:
+        later = np.zeros(len(data) + 1, np.int32)  # bytes that go on with a character
+        np.cumsum(data & 0xC0 == 0x80, out=later[1:])
+        length = length - (later[ends] - later[starts])
+    return length
+
+
+# --- words in bytes -------------------------------------------------------------------
+
+LETTER, DIGIT, OTHER = 1, 2, 3  # a to z, 0 to 9, whatever else is in words
+_KIND = np.zeros(256, np.uint8)
+_KIND[97:123], _KIND[48:58], _KIND[95], _KIND[128:] = LETTER, DIGIT, OTHER, OTHER
+_WIDTH = np.repeat([1, 2, 3, 4], [192, 32, 16, 16])  # bytes of the character that begins with a byte
+_BASE = 0x9E3779B97F4A7C15
+_VALUE = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+
+
+def bare(text: Column | str) -> Column:
+    """Lower case, with a mark for the characters beyond ASCII that are in no word."""
+    return F.regexp_replace(F.lower(tx.text_of(text)), terms.NOT_IN_WORDS, "|")
+
+
+_POWERS: dict[int, list[np.ndarray]] = {}
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """At least ``n`` powers of the base and of its inverse, kept for blocks of the usual size."""
+    size = max(n, 2 * BYTES_AT_ONCE)
+    found = _POWERS.get(size)
+    if found is None:
+        found = []
+        for base in (_BASE, pow(_BASE, -1, 2**64)):
+            p = np.full(size, base, np.uint64)
+            p[0] = 1
+            found.append(np.cumprod(p, dtype=np.uint64))
+        if size == 2 * BYTES_AT_ONCE:
+            _POWERS[size] = found
+    return found
+
+
+class Words:
+    """Hashes of the words in ``bare`` bytes: a polynomial over byte values modulo 2**64, mixed.
+
+    The last byte is in no word.
+    """
+
+    def __init__(self, data: np.ndarray):
+        self.data = data
+        kind = _KIND[data]
+        turns = np.flatnonzero(kind[1:] != kind[:-1]) + 1
+        edges = np.concatenate([[0], turns, [len(kind)]]) if len(kind) else np.zeros(1, np.int64)
+        self.starts, self.ends = edges[:-1], edges[1:]  # runs of bytes of one kind
+        self.kind = kind[self.starts]
+        up, self.down = _powers(len(data))
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_VALUE[data] * up[:len(data)], out=self.sums[1:])
+
+    def hashed(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return _mixed((self.sums[ends] - self.sums[starts]) * self.down[starts]).view(np.int64)
+
+    def _inside(self, starts: np.ndarray, ends: np.ndarray, low: np.ndarray, high: np.ndarray):
+        """How many words lie in each part, and the bounds of those that do."""
+        a, z = np.searchsorted(starts, low), np.searchsorted(starts, high)
+        turn = np.bincount(a, minlength=len(starts) + 1) - np.bincount(z, minlength=len(starts) + 1)
+        inside = np.cumsum(turn)[:len(starts)] > 0
+        return z - a, starts[inside], ends[inside]
+
+    def tokens(self, strict_terms: bool, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words of three or more letters (or of any length) and numbers: how many in each part, and their hashes."""
+        at = np.flatnonzero(self.kind == DIGIT)
+        # a number takes one point with it: runs joined by points are paired from the first one on
+        joined = (self.starts[at[1:]] == self.ends[at[:-1]] + 1) & (self.data[self.ends[at[:-1]]] == POINT)
+        place = np.arange(len(at))
+        first = np.maximum.accumulate(np.where(np.concatenate([[True], ~joined])[:len(at)], place, 0))
+        opens = (place - first) % 2 == 0
+        ends = self.ends.copy()
+        whole = np.flatnonzero(opens[:-1] & joined)
+        ends[at[whole]] = self.ends[at[whole + 1]]
+        taken = (self.kind == LETTER) & (self.ends - self.starts >= (3 if strict_terms else 1))
+        taken[at[opens]] = True
+        sizes, starts, ends = self._inside(self.starts[taken], ends[taken], low, high)
+        number = (_KIND[self.data[starts]] == DIGIT).astype(np.int64)
+        return sizes, self.hashed(starts, ends) & ~NUMBER | number
+
+    def words(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words of two or more letters: how many in each part, and their hashes in order."""
+        inside = self.kind > 0
+        before = np.concatenate([[False], inside[:-1]])[:len(inside)]
+        starts, ends = self.starts[inside & ~before], self.starts[~inside & before]
+        kept = ends - starts > _WIDTH[self.data[starts]]
+        sizes, starts, ends = self._inside(starts[kept], ends[kept], low, high)
+        return sizes, self.hashed(starts, ends)
+
+
+def word_hashes(listed, flagged: bool) -> np.ndarray:
+    """The same hashes for a word list."""
+    listed = list(listed)
+    data, cuts = _bytes(pa.array(listed, pa.string()))
+    hashes = Words(data).hashed(cuts[:-1], cuts[1:]) if len(data) else np.zeros(len(listed), np.int64)
+    if flagged:
+        hashes = hashes & ~NUMBER | np.array([w[:1].isascii() and w[:1].isdigit() for w in listed], np.int64)
+    return hashes
+
+
 # --- lexical support --------------------------------------------------------------
 
 def lexical_support(claim_record: np.ndarray, claim_sizes: np.ndarray, claim_tokens: np.ndarray,
@@ -92,11 +251,11 @@ def lexical_support(claim_record: np.ndarray, claim_sizes: np.ndarray, claim_tok
     n_claims, n_records = len(claim_sizes), len(evidence_sizes)
     record = np.repeat(np.arange(n_records), evidence_sizes)
     kept = ~np.isin(evidence_tokens, lists["dropped"])
-    index = np.unique(_keyed(evidence_tokens[kept], record[kept]))
+    index = np.sort(_keyed(evidence_tokens[kept], record[kept]))
     claim = np.repeat(np.arange(n_claims), claim_sizes)
     kept = ~np.isin(claim_tokens, lists["dropped"])
     own, claim = claim_tokens[kept], claim[kept]
-    _, first = np.unique(_keyed(own, claim), return_index=True)
+    _, _, first = _distinct(_keyed(own, claim))
     own, claim = own[first], claim[first]
     key = _keyed(own, claim_record[claim])
     at = np.searchsorted(index, key)
@@ -149,8 +308,9 @@ def best_sentences(claim_record: np.ndarray, claim_sizes: np.ndarray, claim_word
     c_owner, c_word = _grams(claim_sizes, claim_words, stop)
     s_owner, s_word = _grams(sentence_sizes, sentence_words, stop)
     record = np.concatenate([claim_record[c_owner], sentence_record[s_owner]])
-    _, first, term = np.unique(_keyed(np.concatenate([c_word, s_word]), record), return_index=True,
-                               return_inverse=True)
+    order, new, first = _distinct(_keyed(np.concatenate([c_word, s_word]), record))
+    term = np.empty(len(order), np.int64)
+    term[order] = np.cumsum(new) - 1
     width = max(1, len(first))
     s_term, s_at, s_tf = _counted(term[len(c_word):], s_owner, max(1, n_sentences))  # by term, then sentence
     c_at, c_term, c_tf = _counted(c_owner, term[:len(c_word)], width)
@@ -177,12 +337,14 @@ def best_sentences(claim_record: np.ndarray, claim_sizes: np.ndarray, claim_word
             continue
         place = np.cumsum(cells) - cells
         hits = frequency[c_term[lo:hi]]
-        entry = np.repeat(np.arange(lo, hi), hits)
-        posting = start[c_term[entry]] + np.arange(len(entry)) - np.repeat(np.cumsum(hits) - hits, hits)
-        claim, t, sentence = c_at[entry], c_term[entry], s_at[posting]
-        cell = place[claim - low] + sentence - opening[claim]
-        product = np.bincount(cell, c_tf[entry] * s_tf[posting] * idf[t] ** 2, total)
-        correction = np.bincount(cell, s_tf[posting] ** 2 * change[t], total)
+        claim, t = c_at[lo:hi], c_term[lo:hi]
+        posting = np.repeat(start[t] - (np.cumsum(hits) - hits), hits)
+        posting += np.arange(len(posting))
+        cell = np.repeat(place[claim - low] - opening[claim], hits)
+        cell += s_at[posting]
+        times = s_tf[posting].astype(float)
+        product = np.bincount(cell, np.repeat(c_tf[lo:hi] * idf[t] ** 2, hits) * times, total)
+        correction = np.bincount(cell, np.repeat(change[t], hits) * times * times, total)
         owner = np.repeat(np.arange(low, high), cells)
         there = opening[owner] + np.arange(total) - np.repeat(place, cells)
         scale = np.sqrt(own[owner]) * np.sqrt(np.maximum(base[there] + correction, 0.0))
@@ -201,44 +363,41 @@ def best_sentences(claim_record: np.ndarray, claim_sizes: np.ndarray, claim_word
 # --- the Arrow step ---------------------------------------------------------------------
 
 def _blocks(batch: pa.RecordBatch, counted: list[str]) -> Iterator[pa.RecordBatch]:
-    """Row ranges of about ``WORDS_AT_ONCE`` words."""
-    words = np.zeros(batch.num_rows, np.int64)
-    for name in counted:
-        sizes, inner = _lists(batch.column(name))
-        if pa.types.is_list(inner.type):
-            many, _ = _lists(inner)
-            total = np.concatenate([[0], np.cumsum(many)])
-            ends = np.cumsum(sizes)
-            sizes = total[ends] - total[ends - sizes]
-        words += sizes
-    total, first = np.cumsum(words + 1), 0
+    """Row ranges of about ``BYTES_AT_ONCE`` bytes of text."""
+    size = sum(np.diff(_bytes(batch.column(name))[1]) for name in counted)
+    total, first = np.cumsum(size + 1), 0
     while first < batch.num_rows:
         done = total[first - 1] if first else 0
-        last = max(first + 1, int(np.searchsorted(total, done + WORDS_AT_ONCE, "right")))
+        last = max(first + 1, int(np.searchsorted(total, done + BYTES_AT_ONCE, "right")))
         yield batch.slice(first, last - first)
         first = last
 
 
 def _score_batch(block: pa.RecordBatch, keep: list[str], known: dict[str, np.ndarray] | None,
-                 stop: np.ndarray | None) -> pa.RecordBatch:
+                 stop: np.ndarray | None, strict_terms: bool = True) -> pa.RecordBatch:
     """The claims of whole records with their lexical supports (``known`` words) and best sentences (``stop`` words)."""
-    sizes, claims = _lists(block.column("_claims"))
-    record = np.repeat(np.arange(len(sizes)), sizes)
-    out = {"claim_text": claims}
+    answers, bare_answers = Texts(block.column("_answer")), Texts(block.column("_ab"))
+    claims = np.flatnonzero(answers.lengths() >= tx.CLAIM_LENGTH)
+    record = answers.owner(answers.starts[claims])
+    sizes = np.bincount(record, minlength=block.num_rows)
+    out = {"claim_text": answers.take(*answers.kept(claims), np.arange(len(claims)))}
+    own, evidence = Words(bare_answers.data), Texts(block.column("_kb"))
+    parts, others = bare_answers.kept(claims), Words(evidence.data)
     if known is not None:
-        _, inner = _lists(block.column("_ct"))
-        claim_sizes, tokens = _lists(inner)
-        evidence_sizes, evidence = _lists(block.column("_et"))
-        found = lexical_support(record, claim_sizes, _numbers(tokens), evidence_sizes, _numbers(evidence), known)
+        found = lexical_support(record, *own.tokens(strict_terms, *parts),
+                                *others.tokens(strict_terms, evidence.cuts[:-1], evidence.cuts[1:]), known)
         out |= {c: pa.array(found[c]) for c in LEXICAL}
     if stop is not None:
-        claim_sizes, words = _lists(_lists(block.column("_cw"))[1])
-        many, sentences = _lists(block.column("_sentences"))
-        sentence_sizes, others = _lists(_lists(block.column("_sw"))[1])
-        owner = np.repeat(np.arange(len(many)), many)
-        score, best = best_sentences(record, claim_sizes, _numbers(words), owner, sentence_sizes,
-                                     _numbers(others), block.num_rows, stop)
-        chosen = sentences.take(pa.array(best, pa.int64(), mask=best < 0))
+        knowledge = Texts(block.column("_knowledge"))
+        long = np.flatnonzero(knowledge.lengths() >= tx.SENTENCE_LENGTH)
+        # a text without a long sentence is kept whole
+        alone = np.ones(block.num_rows, bool)
+        alone[knowledge.owner(knowledge.starts[long])] = False
+        alone = np.flatnonzero(alone & (knowledge.last > knowledge.first))
+        sentences = knowledge.kept(long, alone)
+        score, best = best_sentences(record, *own.words(*parts), knowledge.owner(sentences[0]),
+                                     *others.words(*evidence.kept(long, alone)), block.num_rows, stop)
+        chosen = knowledge.take(*sentences, best)
         out |= dict(zip(SEMANTIC, (pa.array(score), chosen.fill_null("")), strict=True))
     rows = pa.StructArray.from_arrays(list(out.values()), list(out))
     offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
@@ -253,36 +412,28 @@ def claim_rows(df: DataFrame, keep: list[str], answer: str = "answer", knowledge
     ``lists`` (term lists) adds the lexical supports, ``stopwords`` the TF-IDF score and best sentence.  A record
     without claims has one row with a null claim.
     """
-    spark = df.sparkSession
-    prepared = df.select(*keep, F.col(answer).alias("_answer"), F.col(knowledge).alias("_knowledge")).withColumn(
-        "_claims", tx.split_claims("_answer"))
-    counted, known, stop = [], None, None
+    texts, known, stop, strict_terms = ["_answer", "_ab", "_kb"], None, None, True
+    prepared = df.select(*keep, tx.text_of(answer).alias("_answer"), bare(answer).alias("_ab"),
+                         tx.text_of(knowledge).alias("_knowledge"), bare(knowledge).alias("_kb"))
     if lists is not None:
-        counted += ["_ct", "_et"]
-        prepared = prepared.withColumns({
-            "_ct": F.transform("_claims", lambda c: claim_words(c, lists.strict_terms)),
-            "_et": claim_words("_knowledge", lists.strict_terms)})
-        negation = set(lists.negation)
-        known = {name: word_hashes(spark, words, True) for name, words in {
+        negation, strict_terms = set(lists.negation), lists.strict_terms
+        known = {name: word_hashes(words, True) for name, words in {
             "dropped": [w for w in lists.stopwords if w not in negation], "direction": lists.direction,
             "negation": lists.negation, "uncertainty": lists.uncertainty, "high_impact": lists.high_impact}.items()}
     if stopwords is not None:
-        counted += ["_cw", "_sw"]
-        prepared = prepared.withColumn("_sentences", tx.split_sentences("_knowledge")).withColumns({
-            "_cw": F.transform("_claims", sentence_words), "_sw": F.transform("_sentences", sentence_words)})
-        stop = word_hashes(spark, stopwords, False)
-    texts = ["_claims"] + ["_sentences"] * (stopwords is not None)
+        texts.append("_knowledge")
+        stop = word_hashes(stopwords, False)
     names = (LEXICAL if lists is not None else []) + (SEMANTIC if stopwords is not None else [])
     kinds = {"high_impact_claim": "boolean", "best_evidence_sentence": "string"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in _blocks(batch, counted):
-                yield _score_batch(block, keep, known, stop)
+            for block in _blocks(batch, texts):
+                yield _score_batch(block, keep, known, stop, strict_terms)
 
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prepared.select(*keep).schema)
     inner = ", ".join(f"{c}: {kinds.get(c, 'double')}" for c in names)
-    rows = prepared.select(*keep, *texts, *counted).mapInArrow(
+    rows = prepared.select(*keep, *texts).mapInArrow(
         run, f"{shape}, _c array<struct<claim_text: string{', ' if names else ''}{inner}>>")
     return rows.select(*keep, F.posexplode_outer("_c").alias("_pos", "_c")).select(
         *keep, (F.col("_pos") + 1).alias("claim_index"), "_c.*")

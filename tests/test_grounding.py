@@ -98,6 +98,39 @@ def test_tfidf_words_of_any_script(spark):
     assert got["b"]["semantic_claim_support_score"] == 0.0
 
 
+def test_pieces_and_words_in_bytes_are_those_of_the_expressions(spark):
+    """Claims, sentences and words cut in bytes are what ``split_claims``, ``split_sentences`` and the patterns find."""
+    from assayer.functions import text as tx
+    from assayer.operators import claims as cl
+    draw = np.random.default_rng(4)
+    parts = ["alpha", "the", "1.2.3", "3.5", "x", "é", "Niño", "İs", "ΣΑΣ", "中文字", "a_b", "—", "\u00a0", "😀", ".", "!", "?", ";", "\x1c", "\u0085",
+             " ", "  ", "\n", ". ", "; ", ";\n", "\t", " ; ", "? ; ", ".\r\n"]
+    texts = [None, "", " ", ";", "; ", "short; ", " a long enough text;", "no break\u00a0here"] + [
+        "".join(draw.choice(parts, draw.integers(0, 60))) for _ in range(400)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    rows = df.select(
+        "t", cl.bare("t").alias("b"), tx.split_claims("t").alias("claims"), tx.split_sentences("t").alias("sentences"),
+        tx.claim_words("t").alias("tokens"), tx.claim_words("t", False).alias("any"),
+        F.regexp_extract_all(F.lower(tx.text_of("t")), F.lit(terms.WORD_OF_TWO), F.lit(0)).alias("words")).orderBy("i").collect()
+    import pyarrow as pa
+    column = lambda c: pa.array([r[c] or "" for r in rows], pa.string())
+    own, plain = cl.Texts(column("t")), cl.Texts(column("b"))
+    owned = lambda bounds, found: [[t for t, o in zip(found.to_pylist(), own.owner(bounds[0])) if o == k] for k in range(len(rows))]
+    claims = np.flatnonzero(own.lengths() >= tx.CLAIM_LENGTH)
+    bounds = own.kept(claims)
+    assert owned(bounds, own.take(*bounds, np.arange(len(claims)))) == [r["claims"] for r in rows]
+    long = np.flatnonzero(own.lengths() >= tx.SENTENCE_LENGTH)
+    alone = np.flatnonzero(~np.isin(np.arange(len(rows)), own.owner(own.starts[long])) & (own.last > own.first))
+    bounds = own.kept(long, alone)
+    assert owned(bounds, own.take(*bounds, np.arange(len(bounds[0])))) == [r["sentences"] for r in rows]
+    assert len(plain.starts) == len(own.starts)
+    words, whole = cl.Words(plain.data), (plain.cuts[:-1], plain.cuts[1:])
+    for found, name, flagged in ((words.tokens(True, *whole), "tokens", True), (words.tokens(False, *whole), "any", True),
+                                 (words.words(*whole), "words", False)):
+        assert found[0].tolist() == [len(r[name]) for r in rows]
+        assert (found[1] == cl.word_hashes([w for r in rows for w in r[name]], flagged)).all()
+
+
 def test_tfidf_without_evidence(spark):
     df = spark.createDataFrame([("x", "A claim of some length.", "")], "record_id string, answer string, knowledge string")
     row = gr.claim_best_sentence_tfidf(df, ["record_id"]).first()
