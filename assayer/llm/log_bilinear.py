@@ -13,7 +13,7 @@ Training: texts are dealt into shards of about ``SHARD_TOKENS`` tokens by a hash
 learn from whatever its number.  Each shard runs numpy stochastic gradient steps on the contrastive loss over
 its texts in the order of their hash (unigram noise, shared by a batch), all from the same start, and the
 parameters are averaged by token count in Spark.  A second pass starts from that average.  Scoring
-computes all units' scores of a batch as one matrix product and normalises them exactly.
+computes all units' scores of the distinct contexts of a batch as one matrix product and normalises them exactly.
 
 Counts of the most frequent words (``LISTED``) are sent to every task, all others meet their counts
 in a join.  Only a text's sums leave its task.
@@ -39,7 +39,8 @@ UNITS = HEAD + GROUPS + 1  # the last unit is the end of a text, which also stan
 LISTED = 1 << 16
 BATCH, NOISE, RATE, PASSES = 2048, 48, 0.05, 2
 SMALL = 1 << 17  # multiplications of a matrix product
-SCORED = 512  # tokens scored at once: all units' scores of them stay in a core's cache
+SCORED = 512  # contexts scored at once: all units' scores of them stay in a core's cache
+MET = 1 << 20  # tokens whose contexts are compared at once
 SHARD_TOKENS, MAX_SHARDS = 1 << 21, 4096  # beyond that many, shards grow
 END_HASH = np.uint64(1)
 FLUSH = 1 << 21
@@ -326,17 +327,31 @@ def train_pass(units: DataFrame, shared, start: Model) -> Model:
 
 
 def unit_log10(model: Model, target: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """Normalised log10 probability of each target unit."""
-    hidden = sum(model["inner"][context[:, j]] * model["place"][j] for j in range(CONTEXT))
-    scores = _product(hidden, model["outer"].T)
-    scores += model["bias"]
-    own = scores[np.arange(len(target)), target]
-    top = scores.max()
-    if top - own.min() > 60:  # far apart: each row by its own maximum
-        top = scores.max(1, keepdims=True)
-    scores -= top
-    total = np.exp(scores, out=scores).sum(1)
-    return (own - np.ravel(top) - np.log(total)) / math.log(10)
+    """Normalised log10 probability of each target unit.  All units' scores are computed once for equal contexts."""
+    key = np.zeros(len(target), np.int32)
+    for j in range(CONTEXT):
+        key = key * UNITS + context[:, j]
+    order = np.argsort(key)
+    key = key[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]])[:len(key)]
+    first, row = np.flatnonzero(new), np.cumsum(new) - 1
+    cuts = np.append(first, len(key))
+    out = np.empty(len(target), np.float32)
+    for a in range(0, len(first), SCORED):
+        z = min(a + SCORED, len(first))
+        before = context[order[first[a:z]]]
+        hidden = sum(model["inner"][before[:, j]] * model["place"][j] for j in range(CONTEXT))
+        scores = _product(hidden, model["outer"].T)
+        scores += model["bias"]
+        at, of = order[cuts[a]:cuts[z]], row[cuts[a]:cuts[z]] - a
+        own = scores[of, target[at]]
+        top = scores.max()
+        if top - own.min() > 60:  # far apart: each row by its own maximum
+            top = scores.max(1, keepdims=True)
+        scores -= top
+        total = np.ravel(top) + np.log(np.exp(scores, out=scores).sum(1))
+        out[at] = (own - total[of]) / math.log(10)
+    return out
 
 
 def local_sums(docs: DataFrame, shared, model: Model) -> DataFrame:
@@ -347,8 +362,8 @@ def local_sums(docs: DataFrame, shared, model: Model) -> DataFrame:
         for batch, (h, g, splits) in _slices(batches):
             at = voc.look_up(h)
             target, context = with_ends(voc.units(at, g), splits)
-            unit = np.concatenate([unit_log10(model, target[a:a + SCORED], context[a:a + SCORED])
-                                   for a in range(0, len(target), SCORED)])
+            unit = np.concatenate([unit_log10(model, target[a:a + MET], context[a:a + MET])
+                                   for a in range(0, len(target), MET)])
             listed, head = at >= 0, voc.units(at, g) < HEAD
             logs = np.where(listed, log_count[at], 0.0) if len(log_count) else np.zeros(len(h))
             # inside a group: log10((c + 1) / (count + words + 1)); rare words add log10(c + 1) later

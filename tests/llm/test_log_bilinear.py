@@ -62,6 +62,23 @@ def test_probabilities_sum_to_one():
     assert abs(10 ** voc.group_log[3] - (2 + 1 + 1)) < 1e-9
 
 
+def test_equal_contexts_are_scored_once(monkeypatch):
+    """Tokens of equal contexts share one row of scores, and every token gets its own probability."""
+    draw = np.random.default_rng(1)
+    model = {"inner": draw.standard_normal((lb.UNITS, lb.WIDTH)).astype(np.float32),
+             "outer": draw.standard_normal((lb.UNITS, lb.WIDTH)).astype(np.float32),
+             "place": np.ones((lb.CONTEXT, lb.WIDTH), np.float32), "bias": draw.standard_normal(lb.UNITS).astype(np.float32)}
+    context = draw.integers(0, 9, (5000, lb.CONTEXT)).astype(np.int16)
+    target = draw.integers(0, lb.UNITS, 5000).astype(np.int16)
+    scores = model["inner"][context].astype(float).sum(1) @ model["outer"].T.astype(float) + model["bias"]
+    want = (scores[np.arange(5000), target] - np.log(np.exp(scores).sum(1))) / math.log(10)
+    rows, product = [], lb._product
+    monkeypatch.setattr(lb, "_product", lambda left, right: rows.append(len(left)) or product(left, right))
+    assert np.abs(lb.unit_log10(model, target, context) - want).max() < 1e-4
+    assert sum(rows) == len(np.unique(context, axis=0)) < 5000
+    assert lb.unit_log10(model, target[:0], context[:0]).tolist() == []
+
+
 def test_training_does_not_depend_on_partitions(spark):
     """One partition or many: the same shards, the same scores, well above the unigram."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
