@@ -13,7 +13,8 @@ Training: texts are dealt into shards of about ``SHARD_TOKENS`` tokens by a hash
 learn from whatever its number.  Each shard runs numpy stochastic gradient steps on the contrastive loss over
 its texts in the order of their hash (unigram noise, shared by a batch), all from the same start, and the
 parameters are averaged by token count in Spark.  A second pass starts from that average.  Scoring
-computes all units' scores of the distinct contexts of a batch as one matrix product and normalises them exactly.
+normalises exactly, over all units: the sums of their exponentials are made by matrix products, once per
+context and worker process.
 
 Counts of the most frequent words (``LISTED``) are sent to every task, all others meet their counts
 in a join.  Only a text's sums leave its task.
@@ -37,10 +38,13 @@ from assayer.session import materialize
 HEAD, GROUPS, CONTEXT, WIDTH = 191, 64, 3, 24
 UNITS = HEAD + GROUPS + 1  # the last unit is the end of a text, which also stands before its beginning
 LISTED = 1 << 16
+BUCKET_BITS = 18  # listed words lie in buckets by the first bits of their hash
+SHIFT = np.uint64(64 - BUCKET_BITS)
 BATCH, NOISE, RATE, PASSES = 2048, 48, 0.05, 2
 SMALL = 1 << 17  # multiplications of a matrix product
 SCORED = 512  # contexts scored at once: all units' scores of them stay in a core's cache
 MET = 1 << 20  # tokens whose contexts are compared at once
+FAR = 600  # scores of a context may lie this far apart for their exponentials to be products
 SHARD_TOKENS, MAX_SHARDS = 1 << 21, 4096  # beyond that many, shards grow
 END_HASH = np.uint64(1)
 FLUSH = 1 << 21
@@ -123,6 +127,7 @@ class Vocabulary:
         unit = np.full(len(h), -1)
         unit[:HEAD] = np.arange(min(HEAD, len(h)))  # listed by falling count
         self.hash, self.count, self.unit = h[order], c[order], unit[order]
+        self.begin = np.searchsorted(self.hash >> SHIFT, np.arange((1 << BUCKET_BITS) + 1, dtype=np.uint64)).astype(np.int32)
         # what a group's words share: its count without head words, its words and one unknown
         counts, kinds = np.zeros(GROUPS), np.zeros(GROUPS)
         for k, (total, many) in totals.items():
@@ -137,8 +142,16 @@ class Vocabulary:
         """Place of each hash among the listed words, or -1."""
         if not len(self.hash):
             return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
-        return np.where(self.hash[at] == h, at, -1)
+        bucket = (h >> SHIFT).astype(np.intp)
+        at, end = self.begin.take(bucket).astype(np.intp), self.begin.take(bucket + 1)
+        out = np.where(self.hash.take(at, mode="clip") == h, at, -1)
+        rest = np.flatnonzero((out < 0) & (at + 1 < end))
+        while len(rest):
+            at[rest] += 1
+            hit = self.hash[at[rest]] == h[rest]
+            out[rest[hit]] = at[rest[hit]]
+            rest = rest[~hit & (at[rest] + 1 < end[rest])]
+        return out
 
     def units(self, at: np.ndarray, groups: np.ndarray) -> np.ndarray:
         unit = np.where(at >= 0, self.unit[at], -1) if len(self.hash) else np.full(len(at), -1)
@@ -149,11 +162,11 @@ def with_ends(units: np.ndarray, splits: np.ndarray) -> tuple[np.ndarray, np.nda
     """Units with an end token after each text, and the ``CONTEXT`` units before each token."""
     every = np.insert(units, splits[1:], UNITS - 1).astype(np.int16)
     starts = splits[:-1] + np.arange(len(splits) - 1)
-    place = np.arange(len(every)) - np.repeat(starts, np.diff(splits) + 1)
-    context = np.full((len(every), CONTEXT), UNITS - 1, np.int16)
+    context = np.full((CONTEXT, len(every)), UNITS - 1, np.int16).T
     for j in range(CONTEXT):
-        use = place > j
-        context[use, j] = every[np.flatnonzero(use) - j - 1]
+        context[j + 1:, j] = every[:-j - 1]
+    for j in range(CONTEXT if len(every) else 0):  # a text's first tokens have fewer units before them
+        context[np.minimum(starts + j, len(every) - 1), j:] = UNITS - 1
     return every, context
 
 
@@ -168,13 +181,13 @@ def fresh(vocabulary: Vocabulary) -> Model:
             "place": np.full((CONTEXT, WIDTH), 1.0, np.float32), "bias": np.log(share).astype(np.float32)}
 
 
-def _summed(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Sum of ``values`` per row number (16-bit numbers sort by digits)."""
+def _summed(rows: np.ndarray, values) -> np.ndarray:
+    """Sum per row number of the values, which ``values`` gives in an order of rows (16-bit numbers sort by digits)."""
     order = np.argsort(rows, kind="stable")
     rows = rows[order]
     cut = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    out = np.zeros((UNITS, values.shape[1]), np.float32)
-    out[rows[cut]] = np.add.reduceat(values[order], cut, axis=0)
+    out = np.zeros((UNITS, WIDTH), np.float32)
+    out[rows[cut]] = np.add.reduceat(values(order), cut, axis=0)
     return out
 
 
@@ -191,6 +204,15 @@ def _product(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return out
 
 
+def _crossed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """``left.T @ right``, in pieces like those of ``_product``."""
+    rows = max(1, SMALL // (left.shape[1] * right.shape[1]))
+    whole = len(left) // rows * rows
+    pieces = np.matmul(left[:whole].reshape(-1, rows, left.shape[1]).transpose(0, 2, 1),
+                       right[:whole].reshape(-1, rows, right.shape[1]))
+    return pieces.sum(0) + left[whole:].T @ right[whole:]
+
+
 def _squashed(x: np.ndarray) -> np.ndarray:
     """``1 / (1 + exp(x))``, in place."""
     np.clip(x, -30, 30, out=x)
@@ -205,30 +227,37 @@ class Trainer:
     def __init__(self, model: Model, share: np.ndarray, seed: int):
         self.m = {k: v.copy() for k, v in model.items()}
         self.power = {k: np.full_like(v, 1e-2) for k, v in model.items()}
-        self.share, self.random, self.tokens = share, np.random.default_rng(seed), 0
+        self.random, self.tokens = np.random.default_rng(seed), 0
+        self.reach = np.cumsum(share) / np.cumsum(share)[-1]
         self.log_noise = np.log(share * NOISE).astype(np.float32)
 
     def step(self, target: np.ndarray, context: np.ndarray) -> None:
+        # whole rows are copied by ``take``, which costs a third of an index in brackets
         m, n = self.m, len(target)
-        vectors = [m["inner"][context[:, j]] for j in range(CONTEXT)]
-        hidden = sum(v * p for v, p in zip(vectors, m["place"], strict=True))
-        noise = self.random.choice(UNITS, NOISE, p=self.share)
-        outer_own, outer_other = m["outer"][target], m["outer"][noise]
-        own = np.einsum("nd,nd->n", hidden, outer_own) + (m["bias"] - self.log_noise)[target]
-        other = _product(hidden, outer_other.T)
-        other += m["bias"][noise] - self.log_noise[noise]
+        before = context.T.astype(np.intp, order="C")
+        scaled = m["inner"] * m["place"][:, None]
+        hidden = scaled[0].take(before[0], 0)
+        for j in range(1, CONTEXT):
+            hidden += scaled[j].take(before[j], 0)
+        noise = np.searchsorted(self.reach, self.random.random(NOISE), "right")
+        outer_own, outer_other = m["outer"].take(target, 0), m["outer"].take(noise, 0)
+        offset = self.log_noise - m["bias"]
+        own = np.einsum("nd,nd->n", hidden, outer_own) - offset.take(target)
+        other = _product(hidden, -outer_other.T)
+        other += offset.take(noise)
         up = _squashed(own)  # the true word is taken for noise
-        down = _squashed(np.negative(other, out=other))  # noise is taken for the true word
-        np.negative(down, out=down)
+        down = _squashed(other)  # noise is taken for the true word
         to_hidden = up[:, None] * outer_own
-        to_hidden += _product(down, outer_other)
-        outer = _summed(target, up[:, None] * hidden)
-        step = SMALL // (NOISE * WIDTH)
-        np.add.at(outer, noise, sum(down[at:at + step].T @ hidden[at:at + step] for at in range(0, n, step)))
+        to_hidden -= _product(down, outer_other)
+        toward = up[:, None] * hidden
+        outer = _summed(target, lambda order: toward.take(order, 0))
+        np.subtract.at(outer, noise, _crossed(down, hidden))
         bias = np.bincount(target, up, UNITS)
-        np.add.at(bias, noise, down.sum(0))
-        inner = _summed(context.T.ravel(), np.concatenate([to_hidden * p for p in m["place"]]))
-        place = np.stack([np.einsum("nd,nd->d", v, to_hidden) for v in vectors])
+        np.subtract.at(bias, noise, down.sum(0))
+        token, distance = np.tile(np.arange(n), CONTEXT), np.repeat(np.arange(CONTEXT), n)
+        inner = _summed(context.T.ravel(), lambda order: to_hidden.take(token[order], 0)
+                        * m["place"].take(distance[order], 0))
+        place = np.stack([np.einsum("nd,nd->d", m["inner"].take(b, 0), to_hidden) for b in before])
         for name, grad in (("inner", inner), ("outer", outer), ("bias", bias.astype(np.float32)), ("place", place)):
             grad = grad / n
             self.power[name] += grad * grad
@@ -354,17 +383,74 @@ def unit_log10(model: Model, target: np.ndarray, context: np.ndarray) -> np.ndar
     return out
 
 
+class Normaliser:
+    """Log10 probabilities of units after contexts, normalised over all units.
+
+    A score is the unit's bias plus one number for each place of the context, by the unit there, so the
+    exponentials of all scores are products of a row per place: their sums for the contexts that share all
+    units but the farthest are one row of a matrix product.  Such a row is made when its first context comes
+    and serves every later one.
+    """
+
+    def __init__(self, model: Model):
+        self.model = model
+        inner, place, outer = (model[k].astype(np.float64) for k in ("inner", "place", "outer"))
+        self.parts = np.matmul(inner * place[:, None], outer.T)  # place, unit there, unit to come
+        self.parts[0] += model["bias"]
+        self.top = self.parts.max(2)
+        self.far = (self.top - self.parts.min(2)).max(1).sum() > FAR
+        self.exps = np.exp(self.parts - self.top[:, :, None])
+        self.made = np.zeros(UNITS ** (CONTEXT - 1), bool)
+        self.logs = np.empty((len(self.made), UNITS), np.float32)  # memory of rows not made is never touched
+
+    def make(self, near: np.ndarray) -> None:
+        """The rows of these contexts without their farthest unit, as numbers of ``CONTEXT - 1`` digits."""
+        for a in range(0, len(near), UNITS):
+            rest, product, top = near[a:a + UNITS], 1.0, 0.0
+            for j in range(CONTEXT - 2, -1, -1):
+                rest, unit = np.divmod(rest, UNITS)
+                product, top = product * self.exps[j, unit], top + self.top[j, unit]
+            sums = np.log(product @ self.exps[-1].T)
+            self.logs[near[a:a + UNITS]] = sums + top[:, None] + self.top[-1]
+        self.made[near] = True
+
+    def log10(self, target: np.ndarray, context: np.ndarray) -> np.ndarray:
+        if self.far:  # products of exponentials could all vanish
+            return np.concatenate([unit_log10(self.model, target[a:a + MET], context[a:a + MET])
+                                   for a in range(0, max(1, len(target)), MET)])
+        near, own = np.zeros(len(target), np.intp), np.zeros(len(target))
+        for j in range(CONTEXT):
+            before = context[:, j].astype(np.intp)
+            own += self.parts[j].ravel().take(before * UNITS + target)
+            if j < CONTEXT - 1:
+                near = near * UNITS + before
+        new = near[~self.made.take(near)]
+        if len(new):
+            self.make(np.unique(new))
+        own -= self.logs.ravel().take(near * UNITS + before)
+        return own / math.log(10)
+
+
+def normaliser(model: Model) -> Normaliser:
+    """The model's, with the rows made so far; a worker process keeps that of the last model for its next tasks."""
+    kept, key = words.kept("log_bilinear", dict), _packed(model).tobytes()
+    if key not in kept:
+        kept.clear()
+        kept[key] = Normaliser(model)
+    return kept[key]
+
+
 def local_sums(docs: DataFrame, shared, model: Model) -> DataFrame:
     """Per row (``id``, ``held_out``): sums over end and listed tokens, and hash and number of the others."""
     def run(batches):
         voc = shared.value
-        log_count = np.log10(voc.count + 1.0)
+        log_count, after = np.log10(voc.count + 1.0), normaliser(model)
         for batch, (h, g, splits) in _slices(batches):
             at = voc.look_up(h)
-            target, context = with_ends(voc.units(at, g), splits)
-            unit = np.concatenate([unit_log10(model, target[a:a + MET], context[a:a + MET])
-                                   for a in range(0, len(target), MET)])
-            listed, head = at >= 0, voc.units(at, g) < HEAD
+            units = voc.units(at, g)
+            target, context = with_ends(units, splits)
+            unit = after.log10(target, context)
+            listed, head = at >= 0, units < HEAD
             logs = np.where(listed, log_count[at], 0.0) if len(log_count) else np.zeros(len(h))
             # inside a group: log10((c + 1) / (count + words + 1)); rare words add log10(c + 1) later
             inner = np.where(head, 0.0, logs - voc.group_log[g])

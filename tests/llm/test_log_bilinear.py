@@ -79,6 +79,100 @@ def test_equal_contexts_are_scored_once(monkeypatch):
     assert lb.unit_log10(model, target[:0], context[:0]).tolist() == []
 
 
+def drawn(draw, spread=1.0):
+    return {"inner": draw.standard_normal((lb.UNITS, lb.WIDTH)).astype(np.float32),
+            "outer": draw.standard_normal((lb.UNITS, lb.WIDTH)).astype(np.float32) * np.float32(spread),
+            "place": draw.standard_normal((lb.CONTEXT, lb.WIDTH)).astype(np.float32),
+            "bias": draw.standard_normal(lb.UNITS).astype(np.float32)}
+
+
+def log10_by_definition(model, target, context):
+    hidden = (model["inner"].astype(float)[context] * model["place"]).sum(1)
+    scores = hidden @ model["outer"].T.astype(float) + model["bias"]
+    top = scores.max(1, keepdims=True)
+    return (scores[np.arange(len(target)), target] - top[:, 0] - np.log(np.exp(scores - top).sum(1))) / math.log(10)
+
+
+def test_contexts_are_normalised_once_for_all_slices(monkeypatch):
+    draw = np.random.default_rng(4)
+    model = drawn(draw)
+    context = draw.integers(0, 12, (4000, lb.CONTEXT)).astype(np.int16)
+    target = draw.integers(0, lb.UNITS, 4000).astype(np.int16)
+    want = log10_by_definition(model, target, context)
+    made, make = [], lb.Normaliser.make
+    monkeypatch.setattr(lb.Normaliser, "make", lambda self, near: made.extend(near.tolist()) or make(self, near))
+    for a in range(0, 4000, 500):  # a new slice or task of the same process
+        got = lb.normaliser({k: v.copy() for k, v in model.items()}).log10(target[a:a + 500], context[a:a + 500])
+        assert np.abs(got - want[a:a + 500]).max() < 1e-5
+    assert len(made) == len(set(made)) == len({(a, b) for a, b, *_ in context.tolist()})
+    other = drawn(draw)
+    assert np.abs(lb.normaliser(other).log10(target, context) - log10_by_definition(other, target, context)).max() < 1e-5
+    assert lb.normaliser(other).log10(target[:0], context[:0]).tolist() == []
+
+
+def test_scores_that_lie_far_apart():
+    draw = np.random.default_rng(5)
+    model = drawn(draw, 100)
+    context = draw.integers(0, lb.UNITS, (300, lb.CONTEXT)).astype(np.int16)
+    target = draw.integers(0, lb.UNITS, 300).astype(np.int16)
+    assert lb.Normaliser(model).far
+    want = log10_by_definition(model, target, context)
+    assert np.allclose(lb.Normaliser(model).log10(target, context), want, rtol=1e-4, atol=1e-3)
+
+
+def test_step_by_definition():
+    draw = np.random.default_rng(6)
+    model, share = drawn(draw, 0.1), draw.random(lb.UNITS) + 0.01
+    share /= share.sum()
+    for n in (1, 113, 700):
+        context, target = draw.integers(0, lb.UNITS, (n, lb.CONTEXT)), draw.integers(0, lb.UNITS, n)
+        context[: n // 2] = context[0]
+        trainer = lb.Trainer(model, share, 7)
+        trainer.step(target.astype(np.int16), context.astype(np.int16))
+        noise = np.random.default_rng(7).choice(lb.UNITS, lb.NOISE, p=share)
+        m = {k: v.astype(float) for k, v in model.items()}
+        grad = {k: np.zeros_like(v) for k, v in m.items()}
+        for t, c in zip(target, context, strict=True):
+            hidden = (m["inner"][c] * m["place"]).sum(0)
+            to_hidden = np.zeros(lb.WIDTH)
+            for unit, true in [(t, 1), *((u, 0) for u in noise)]:
+                x = hidden @ m["outer"][unit] + m["bias"][unit] - math.log(share[unit] * lb.NOISE)
+                miss = true - 1 / (1 + math.exp(-x))
+                grad["outer"][unit] += miss * hidden
+                grad["bias"][unit] += miss
+                to_hidden += miss * m["outer"][unit]
+            for j, unit in enumerate(c):
+                grad["inner"][unit] += to_hidden * m["place"][j]
+                grad["place"][j] += to_hidden * m["inner"][unit]
+        for k, g in grad.items():
+            want = m[k] + lb.RATE * (g / n) / np.sqrt(1e-2 + (g / n) ** 2)
+            assert np.abs(trainer.m[k] - want).max() < 1e-4, k
+        assert trainer.tokens == n
+
+
+def test_contexts_and_places_of_words():
+    draw = np.random.default_rng(8)
+    end = lb.UNITS - 1
+    for _ in range(100):
+        splits = np.concatenate([[0], np.cumsum(draw.integers(0, 6, draw.integers(0, 7)))])
+        units = draw.integers(0, end, splits[-1])
+        every, context = lb.with_ends(units, splits)
+        texts = [units[a:z].tolist() + [end] for a, z in zip(splits[:-1], splits[1:], strict=True)]
+        assert every.tolist() == [u for t in texts for u in t]
+        assert context.tolist() == [([end] * lb.CONTEXT + t)[i:i + lb.CONTEXT][::-1] for t in texts for i in range(len(t))]
+
+
+def test_look_up_where_listed_words_share_first_bits():
+    import pyarrow as pa
+    hashes = [5, 6, 7, 1 << 46, (1 << 46) + 9, (1 << 63) + 3, (1 << 64) - 1]
+    listed = pa.table({"word": pa.array(np.array([1, *hashes], np.uint64).view(np.int64)),
+                       "grp": pa.array([-1] + [0] * 7, pa.int32()), "c": pa.array([1] * 8, pa.int64())})
+    voc = lb.Vocabulary(listed, {0: (7, 7)}, 8, 8)
+    asked = np.array([0, 4, 5, 6, 7, 8, 1 << 46, (1 << 46) + 9, (1 << 46) + 10, 1 << 62, (1 << 63) + 3, (1 << 64) - 2, (1 << 64) - 1], np.uint64)
+    assert voc.look_up(asked).tolist() == [hashes.index(h) if h in hashes else -1 for h in asked.tolist()]
+    assert voc.look_up(asked[:0]).tolist() == []
+
+
 def test_training_does_not_depend_on_partitions(spark):
     """One partition or many: the same shards, the same scores, well above the unigram."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
