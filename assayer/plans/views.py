@@ -228,9 +228,18 @@ def evidence_table(spark, sf_dir) -> DataFrame:
 
 
 def query_vectors(spark, sf_dir) -> DataFrame:
-    """The stated query set: every row whose id is divisible by 20, searched for among all rows."""
-    return vectors(spark, sf_dir).filter(F.col("vec_id") % 20 == 0).select(
-        F.concat(F.lit("q"), "vec_id").alias("query_id"), "embedding")
+    """Every vector is searched for among all of them."""
+    return vectors(spark, sf_dir).select(F.concat(F.lit("q"), "vec_id").alias("query_id"), "embedding")
+
+
+def near_queries(spark, sf_dir) -> DataFrame:
+    """One query near each vector: it and a smaller part of the next one."""
+    e = vectors(spark, sf_dir).select("vec_id", F.col("embedding").cast("array<double>").alias("_own"))
+    after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("_own").alias("_next"))
+    mixed = F.coalesce(F.zip_with("_own", "_next", lambda x, y: x + 0.6 * y), "_own")
+    norm = F.sqrt(F.aggregate("_m", F.lit(0.0), lambda a, x: a + x * x))
+    return (e.join(after, "vec_id", "left").withColumn("_m", mixed)
+            .select("vec_id", F.transform("_m", lambda x: x / norm).alias("embedding")))
 
 
 def clustered_vectors(spark, sf_dir) -> DataFrame:
@@ -249,13 +258,18 @@ SELECT 'e' || e.vec_id AS record_id, CAST(embedding AS DOUBLE[]) AS embedding,
        'topic ' || label AS question, d.source, d.text AS evidence
 FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id"""
 SQL_VIEWS["query_vecs"] = """
-SELECT 'q' || vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings WHERE vec_id % 20 = 0"""
+SELECT 'q' || vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings"""
 # exact top 3 with the fixture guard
 SQL_VIEWS["topk_hits"] = """
 SELECT query_id, rank, record_id, round(score, 3) AS similarity_score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, record_id) AS rank FROM (
     SELECT q.query_id, c.record_id, round(list_dot_product(q.embedding, c.embedding), 12) AS score
     FROM query_vecs q, corpus_vecs c) WHERE score >= 0.30) WHERE rank <= 3"""
+SQL_VIEWS["near_vecs"] = """
+SELECT vec_id, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) AS embedding FROM (
+  SELECT e.vec_id, CASE WHEN n.vec_id IS NULL THEN CAST(e.embedding AS DOUBLE[]) ELSE list_transform(
+      list_zip(CAST(e.embedding AS DOUBLE[]), CAST(n.embedding AS DOUBLE[])), lambda p: p[1] + 0.6 * p[2]) END AS m
+  FROM embeddings e LEFT JOIN embeddings n ON n.vec_id = e.vec_id + 1)"""
 
 
 def claim_vectors(spark, sf_dir) -> DataFrame:
