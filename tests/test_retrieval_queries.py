@@ -36,3 +36,14 @@ def test_every_vector_is_a_query(spark, own):
     got = entry.queries()["topk_retrieve"](spark, path).collect()
     assert len(got) == len(want) and {(r["query_id"], r["rank"], r["record_id"]) for r in got} == want
     assert {r["evidence"] for r in got if r["record_id"] in ("e1", "e2")} == {"a", "b"}
+
+
+def test_every_vector_has_a_status(spark, own):
+    path, ids, m = own
+    score = np.round(m @ m.T, 12)
+    got = {r["query_id"]: r for r in entry.queries()["retrieval_status"](spark, path).collect()}
+    assert set(got) == {f"q{k}" for k in [*ids, 1001]}
+    for k, s in zip(ids, score):
+        assert got[f"q{k}"]["status"] == "matched" and got[f"q{k}"]["sources"] == min(3, (s >= 0.30).sum())
+        assert got[f"q{k}"]["best_similarity"] == pytest.approx(s.max(), abs=6e-4)
+    assert got["q1001"]["status"] == "no_relevant_evidence" and got["q1001"]["sources"] == 0
