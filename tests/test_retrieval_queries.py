@@ -47,3 +47,15 @@ def test_every_vector_has_a_status(spark, own):
         assert got[f"q{k}"]["status"] == "matched" and got[f"q{k}"]["sources"] == min(3, (s >= 0.30).sum())
         assert got[f"q{k}"]["best_similarity"] == pytest.approx(s.max(), abs=6e-4)
     assert got["q1001"]["status"] == "no_relevant_evidence" and got["q1001"]["sources"] == 0
+
+
+def test_recall_is_measured_for_every_vector(spark, own):
+    """All given rows at the lower guard, and a query near each of them at the default one."""
+    path, ids, m = own
+    at = {k: i for i, k in enumerate(ids)}
+    near = np.stack([m[i] + 0.6 * m[at[k + 1]] if k + 1 in at else m[i] for i, k in enumerate(ids)])
+    near /= np.linalg.norm(near, axis=1, keepdims=True)
+    got = entry.queries()["topk_retrieve_lsh"](spark, path).first()
+    assert got["expected"] == sum(map(len, _best(m, m, ids, 0.30)))
+    assert got["near_expected"] == sum(map(len, _best(near, m, ids, 0.70)))
+    assert got["recall_reached"]
