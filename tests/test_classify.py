@@ -102,3 +102,43 @@ def test_gradient_tells_the_minimum_from_other_weights(spark, texts):
     assert cl.gradient_norm(model, ready, 0.01) > 1e-2
     other = cl.class_weights(frame(x, 1 - y)).select("label", "weight", "features")
     assert cl.gradient_norm(model, other, 1.0) > 0.1
+
+
+@pytest.mark.parametrize("part,held", [(1 << 20, 1 << 22), (5, 3)])
+def test_views_are_cut_by_column_and_count_as_their_filled_texts(spark, monkeypatch, part, held):
+    """Each column is cut once for all views; words, limits, ties and counts are those of the filled texts."""
+    rng = np.random.default_rng(1)
+    words = ["aa", "b", "Café", "café", "ΑΣ", "dd_1", "ab", "a", "question", "ℂx", "z9"]
+    line = lambda: None if rng.random() < 0.1 else " ".join(rng.choice(words, rng.integers(0, 9)))
+    df = spark.createDataFrame([(float(i % 2), line(), line(), line()) for i in range(60)],
+                               "label double, question string, knowledge string, answer string").repartition(3)
+    df = cl.materialize(df, "rows")
+    monkeypatch.setattr(cl, "PART_WORDS", part)
+    monkeypatch.setattr(cl, "HELD_PAIRS", held)
+    cut, grams = [], cl._grams
+    monkeypatch.setattr(cl, "_grams", lambda c: (cut.append(c), grams(c))[1])
+    sets = list(cl.FEATURE_SETS.values())
+    for limits in (dict(min_df=2, max_df=0.5), dict(min_df=0.1, max_df=1.0, vocabulary=25)):
+        cut.clear()
+        fitted, vocabularies = cl.fit_text_views(df, cl.template_views(sets), ["label"], **limits)
+        assert sorted(cut) == sorted(2 * ["question", "knowledge", "answer"])  # once for the terms, once for the counts
+        for template, found, vocabulary in zip(sets, fitted, vocabularies):
+            slots = {s: F.col(s) for s in ("question", "knowledge", "answer") if f"{{{s}}}" in template}
+            filled = df.select("label", cl.tx.fill_template(template, **slots).alias("text"))
+            every = [r["g"] for r in cl._with_grams(filled, "text").select(F.col("_grams").alias("g")).collect()]
+            rows = {g: sum(g in d for d in every) for d in every for g in d}
+            low = limits["min_df"] if limits["min_df"] >= 1 else limits["min_df"] * len(every)
+            high = len(every) * limits["max_df"] if limits["max_df"] < 1 else len(every)
+            want = sorted((g for g in rows if low <= rows[g] <= high), key=lambda g: (-sum(d.count(g) for d in every), g))
+            assert vocabulary == want[:limits.get("vocabulary", 60_000)]
+            as_is = lambda d: sorted((r["label"], r["_tf"].size, *map(tuple, (r["_tf"].indices, r["_tf"].values)))
+                                     for r in d.select("label", "_tf").collect())
+            assert as_is(found.trained) == as_is(found.counted(filled))
+
+
+def test_views_where_words_could_join_are_cut_filled(texts):
+    assert cl.template_views(["{answer}s of", "{answer}"]) is None and cl.template_views(["{question}{answer}"]) is None
+    assert cl.template_views(["It is: {answer}\n{question}"]).views == [[("it", "is"), 0, (), 1, ()]]
+    rows = cl.ablation_metrics(texts.filter("slot < 8"), texts.filter("slot >= 8"), max_df=1.0,
+                               feature_sets={"joined": "{answer}s of {question}"}).collect()
+    assert [(r["feature_set"], r["accuracy"]) for r in rows] == [("joined", 1.0)]
