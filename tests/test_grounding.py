@@ -307,3 +307,19 @@ def test_rows_and_cells_leave_a_task_in_bounded_parts(monkeypatch):
     assert max(map(len, out)) == 7
     whole = pd.concat(out)
     assert whole["_qid"].tolist() == at.tolist() and whole["_cell"].tolist() == cells.tolist()
+
+
+def test_a_query_travels_once_per_group_of_cells(spark):
+    """150 cells are three groups; hits and share are those of single cells by definition."""
+    rng = np.random.default_rng(4)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    m, centres, probes = unit(rng.normal(size=(300, 8))), unit(rng.normal(size=(150, 8))), 40
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "vec_id long, embedding array<double>")
+    near = np.argsort(-(m @ centres.T), axis=1, kind="stable")
+    met = np.array([[near[j, 0] in near[i, :probes] for j in range(300)] for i in range(300)])
+    score = np.where(met, np.round(m @ m.T, 12), -1.0)
+    want = {(i, n + 1, j) for i in range(300) for n, j in enumerate(np.lexsort((np.arange(300), -score[i]))[:3]) if score[i, j] >= 0.5}
+    got = rt.topk_retrieve_cells(df, df, centres, guard=0.5, probes=probes, block_rows=64).collect()
+    assert {(r["query_id"], r["rank"], r["record_id"]) for r in got} == want and len(got) == len(want)
+    assert rt.candidate_share(df, df, centres, probes=probes).first()["pairs"] == met.sum()
+    assert rt._in_groups(df, "embedding", centres, probes).groupBy("vec_id").count().agg(F.max("count")).first()[0] == 3
